@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +124,7 @@ def shared_windows(records: DataFrame, length: int = LENGTH, seed: int = SEED) -
                     continue
                 first = np.searchsorted(who, np.arange(s.num_rows))
                 hit = s.column(3)
-                at = np.asarray(hit.flatten()).astype(np.int64) + np.repeat(first, np.asarray(pa.compute.list_value_length(hit)))
+                at = np.asarray(hit.flatten()).astype(np.int64) + np.repeat(first, np.asarray(pc.list_value_length(hit)))
                 delta = np.zeros(len(h) + 1, dtype=np.int32)
                 lo = np.maximum(at - (length - seed), first[who[at]])
                 np.add.at(delta, lo, 1)

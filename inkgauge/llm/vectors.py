@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -50,8 +51,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 def usable_vectors(b: pa.RecordBatch, dim: int) -> tuple[list[str], np.ndarray]:
     """Ids and vectors of the rows whose vector has dim finite values that aren't all zero."""
     v = b.column(1)
-    n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(v), -1))
-    ok = (n == dim) & np.asarray(pa.compute.is_valid(b.column(0)))
+    n = np.asarray(pc.fill_null(pc.list_value_length(v), -1))
+    ok = (n == dim) & np.asarray(pc.is_valid(b.column(0)))
     t = v.filter(pa.array(ok))
     x = np.asarray(t.flatten().to_numpy(zero_copy_only=False), dtype=np.float32).reshape(-1, dim)
     good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
