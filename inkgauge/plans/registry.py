@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
-def queries() -> dict:
+def query(name: str, sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame, with its SQL where DuckDB can express it."""
+
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            SQL[name] = sql
+        return fn
+
+    return add
+
+
+def queries() -> dict[str, Callable]:
+    from inkgauge.plans import checks, selection, style  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
