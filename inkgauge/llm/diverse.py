@@ -14,7 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgauge.llm.common import map_rows
@@ -89,65 +89,81 @@ def swap_search(x: np.ndarray, chosen: list[int], files: list[str], due: dict[st
     return sel
 
 
-def varied_subset(chunks: DataFrame, k: int = K, dim: int = DIM, family: float = FAMILY, voice: str | None = None) -> DataFrame:
-    """(id, filename, rank): up to k exemplars of the store, or of one voice.
+def varied_subset(chunks: DataFrame, k: int = K, dim: int = DIM, family: float = FAMILY) -> DataFrame:
+    """(voice, id, filename, rank): up to k exemplars of every voice, and of the store (voice null).
 
-    A file's due places are its share of the usable rows, rounded up. Rows with
-    an unusable vector (null, not dim finite values, all zero) aren't chosen;
-    repeated rows of an id are one; a null filename counts as one file. Fewer
-    than k come out if quotas or families leave no more.
+    A file's due places are its share of the scope's usable rows, rounded up.
+    Rows with an unusable vector (null, not dim finite values, all zero) aren't
+    chosen; repeated rows of an id are one; a null filename counts as one file;
+    rows of a null voice stand in the store alone. Fewer than k come out if
+    quotas or families leave no more.
     """
     spark = chunks.sparkSession
     ship_code(spark)
-    src = chunks if voice is None else chunks.where(F.col("voice") == voice)
-    src = src.where("id is not null").select(F.col("id").cast("string").alias("id"), F.coalesce("filename", F.lit("")).alias("filename"), "embedding")
+    src = chunks.where("id is not null").select(F.col("id").cast("string").alias("id"), F.coalesce("filename", F.lit("")).alias("filename"), "voice", "embedding")
     core_size = 2 * k
+    names = ("id", "filename", "voice", "vec")
 
-    def reduce_rows(ids, files, x):
-        seen: dict[str, int] = {}
+    def core_of(ids, files, voices, x):
+        """Core-sets of the rows of each voice; together they are one of all rows."""
+        first: dict[str, int] = {}
         for j, i in enumerate(ids):
-            seen.setdefault(i, j)
-        keep = sorted(seen.values())
-        ids, files, x = [ids[j] for j in keep], [files[j] for j in keep], x[keep]
-        pick = farthest_first(unit(x), ids, core_size) if len(ids) else []
-        return {"id": [ids[j] for j in pick], "filename": [files[j] for j in pick], "vec": [pack(x[j]) for j in pick]}
-
-    def first(b):
-        t = b.select(["id", "embedding"])
-        ids, x = usable_vectors(t, dim)
-        name = dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        return reduce_rows(ids, [name[i] for i in ids], x)
-
-    schema = "id string, filename string, vec binary"
-    core = checkpointed(map_rows(src, first, schema))
-    n = core.count()
-    while n > FINAL:  # a core-set of core-sets
-        groups = math.ceil(n / BLOCK)
-        out = pa.schema([("id", pa.string()), ("filename", pa.string()), ("vec", pa.binary())])
-
-        def again(t: pa.Table) -> pa.Table:
-            r = reduce_rows(t.column("id").to_pylist(), t.column("filename").to_pylist(), unpack(t.column("vec").to_pylist(), dim))
-            return pa.table([pa.array(r[f.name], type=f.type) for f in out], schema=out)
-
-        core = checkpointed(core.groupBy(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g")).applyInArrow(again, schema))
-        n, before = core.count(), n
-        if n >= before:
+            first.setdefault(i, j)
+        by: dict[str | None, list[int]] = {}
+        for j in first.values():
+            by.setdefault(voices[j], []).append(j)
+        out = []
+        for rows in by.values():
+            out += [rows[j] for j in farthest_first(unit(x[rows]), [ids[j] for j in rows], core_size)]
+        return out
+
+    def scan(b):
+        ids, x = usable_vectors(b.select(["id", "embedding"]), dim)
+        place = {i: j for j, i in enumerate(b.column(0).to_pylist())}
+        at = pa.array([place[i] for i in ids], type=pa.int64())
+        files, voices = b.column(1).take(at).to_pylist(), b.column(2).take(at).to_pylist()
+        pick = core_of(ids, files, voices, x) if ids else []
+        return {"id": [ids[j] for j in pick], "filename": [files[j] for j in pick], "voice": [voices[j] for j in pick], "vec": [pack(x[j]) for j in pick]}
+
+    schema = "id string, filename string, voice string, vec binary"
+    core = map_rows(src, scan, schema)
+    store = core.withColumn("scope", F.lit(None).cast("string"))
+    both = checkpointed(store.unionByName(core.where("voice is not null").withColumn("scope", F.col("voice"))))
+    out_schema = pa.schema([*((n, pa.binary() if n == "vec" else pa.string()) for n in names), ("scope", pa.string())])
+
+    def shrink(t: pa.Table) -> pa.Table:
+        x = unpack(t.column("vec").to_pylist(), dim)
+        ids = t.column("id").to_pylist()
+        first: dict[str, int] = {}
+        for j, i in enumerate(ids):
+            first.setdefault(i, j)
+        rows = sorted(first.values())
+        keep = [rows[j] for j in farthest_first(unit(x[rows]), [ids[j] for j in rows], core_size)]
+        return t.take(pa.array(keep, type=pa.int64())).select(out_schema.names).cast(out_schema)
+
+    while True:  # core-sets of core-sets, until each scope fits a task
+        size = both.groupBy("scope").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if size <= FINAL:
             break
+        groups = F.ceil(F.count("*").over(Window.partitionBy("scope")) / BLOCK)
+        smaller = both.withColumn("g", F.pmod(F.xxhash64("id"), groups)).groupBy("scope", "g").applyInArrow(shrink, schema + ", scope string")
+        both = checkpointed(smaller)
     usable = src.where(F.size("embedding") == dim)
-    per = usable.groupBy("filename").agg(F.count("*").alias("n"))
-    share = per.join(core.select("filename").distinct(), "filename").select("filename", "n")
-    total = usable.count()
-    final_schema = pa.schema([("id", pa.string()), ("filename", pa.string()), ("rank", pa.int32())])
+    per = usable.groupBy("voice", "filename").agg(F.count("*").alias("n"))
+    files = per.groupBy("filename").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("scope"), "filename", "n").unionByName(per.where("voice is not null").select(F.col("voice").alias("scope"), "filename", "n"))
+    files = files.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("scope"))).drop("n")
+    final_schema = pa.schema([("voice", pa.string()), ("id", pa.string()), ("filename", pa.string()), ("rank", pa.int32())])
 
     def choose(t: pa.Table) -> pa.Table:
-        by = {i: (f, v, c) for i, f, v, c in zip(t.column("id").to_pylist(), t.column("filename").to_pylist(), t.column("vec").to_pylist(), t.column("n").to_pylist(), strict=True)}
+        by = {i: (f, v, s) for i, f, v, s in zip(t.column("id").to_pylist(), t.column("filename").to_pylist(), t.column("vec").to_pylist(), t.column("share").to_pylist(), strict=True)}
         ids = sorted(by)
-        files = [by[i][0] for i in ids]
-        due = {by[i][0]: max(1, math.ceil(k * by[i][2] / max(1, total))) for i in ids}
-        x = unit(unpack([by[i][1] for i in ids], dim)) if ids else np.zeros((0, dim), np.float32)
-        sel = swap_search(x, farthest_first(x, ids, k, files, due, family), files, due, family)
+        names_ = [by[i][0] for i in ids]
+        due = {f: max(1, math.ceil(k * s - 1e-9)) for f, _, s in by.values()}
+        x = unit(unpack([by[i][1] for i in ids], dim))
+        sel = swap_search(x, farthest_first(x, ids, k, names_, due, family), names_, due, family)
         sel.sort(key=lambda j: ids[j])
-        return pa.table([pa.array([ids[j] for j in sel]), pa.array([files[j] for j in sel]), pa.array(range(1, len(sel) + 1), type=pa.int32())], schema=final_schema)
+        n = len(sel)
+        return pa.table([pa.array(t.column("scope").to_pylist()[:1] * n, type=pa.string()), pa.array([ids[j] for j in sel]), pa.array([names_[j] for j in sel]), pa.array(range(1, n + 1), type=pa.int32())], schema=final_schema)
 
-    # at most FINAL core vectors (or one block's worth beyond, if they can't shrink)
-    return core.join(share, "filename").groupBy(F.lit(0).alias("g")).applyInArrow(choose, "id string, filename string, rank int")
+    joined = both.join(files, both["scope"].eqNullSafe(files["scope"]) & (both["filename"] == files["filename"])).select(both["scope"], "id", both["filename"], "vec", "share")
+    return joined.groupBy("scope").applyInArrow(choose, "voice string, id string, filename string, rank int")  # at most FINAL core vectors
