@@ -70,11 +70,21 @@ def mean(a: Column) -> Column:
 
 
 def stdev(a: Column, population: bool = False) -> Column:
-    """Sample (or population) deviation; 0 of fewer than two values."""
-    m = mean(a)
-    ss = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
-    n = F.size(a)
-    return F.when(n > 1, F.sqrt(ss / (n if population else n - 1))).otherwise(F.lit(0.0))
+    """Sample (or population) deviation; 0 of fewer than two values. One pass (Welford).
+
+    A lambda must not hold an expression over the whole array, such as its
+    mean: it would be evaluated once per element.
+    """
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("n"), zero.alias("m"), zero.alias("s"))
+
+    def step(acc, x):
+        x = x.cast("double")
+        d = x - acc["m"]
+        m = acc["m"] + d / (acc["n"] + 1)
+        return F.struct((acc["n"] + 1).alias("n"), m.alias("m"), (acc["s"] + d * (x - m)).alias("s"))
+
+    return F.aggregate(a, start, step, lambda acc: F.when(acc["n"] > 1, F.sqrt(acc["s"] / (acc["n"] if population else acc["n"] - 1))).otherwise(zero))
 
 
 def share(a: Column, test) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgauge.functions import patterns as P
@@ -32,15 +32,22 @@ def _tics(t: Column) -> dict[str, Column]:
     return {"not-just-X": T.count(t, P.NOT_JUST), "wh-cleft": T.count(t, P.WH_CLEFT), "contrarian colon": T.count(t, P.COLON_HOOK)}
 
 
-def findings(source: str, output: str, fmt: str | None = None) -> Column:
-    """array<axis, severity, detail> in the order of the axes; null texts give null."""
+def with_findings(df: DataFrame, source: str, output: str, fmt: str | None = None) -> DataFrame:
+    """df with ``findings``: array<axis, severity, detail> in the order of the axes; null where a text is.
+
+    What several axes share (prose, headings, ranges, lengths) is written out
+    as columns first, so that it is computed once per row.
+    """
+    keep = [F.col(f"`{c}`") for c in df.columns]
     s, o = F.col(source), F.col(output)
-    kind = F.lower(F.coalesce(F.col(fmt), markup.guess_format(s))) if fmt else markup.guess_format(s)
-    kind = F.when(kind == "tex", "latex").when(kind == "md", "markdown").otherwise(kind)
-    sp, op = markup.to_prose(s, kind), markup.to_prose(o, kind)
+    sniffed = F.lower(F.coalesce(F.col(fmt), markup.guess_format(s))) if fmt else markup.guess_format(s)
+    x = df.withColumn("_kind", F.when(sniffed == "tex", "latex").when(sniffed == "md", "markdown").otherwise(sniffed))
+    kind = F.col("_kind")
+    x = x.withColumns({"_sp": markup.to_prose(s, kind), "_op": markup.to_prose(o, kind), "_sh": _headings(s, kind), "_oh": _headings(o, kind), "_sr": T.find_all(s, P.NUMERIC_RANGE), "_or": T.find_all(o, P.NUMERIC_RANGE)})
+    x = x.withColumns({"_sl": _lengths(F.col("_sp")), "_ol": _lengths(F.col("_op"))})
+    sp, op, sh, oh, sr, orr, sl, ol = (F.col(c) for c in ("_sp", "_op", "_sh", "_oh", "_sr", "_or", "_sl", "_ol"))
     out: list[Column] = []
     out.append(F.when(T.count(o, P.SCAFFOLD) > 0, _finding("scaffold", "hard", F.concat(T.count(o, P.SCAFFOLD).cast("string"), F.lit(" artefacts")))))
-    sh, oh = _headings(s, kind), _headings(o, kind)
     levels = F.array_sort(F.array_union(F.transform(sh, lambda h: h["level"]), F.transform(oh, lambda h: h["level"])))
 
     def level_diff(v):
@@ -48,9 +55,7 @@ def findings(source: str, output: str, fmt: str | None = None) -> Column:
         return F.when(a != b, _finding("structure", "hard", F.concat_ws(" ", v, a.cast("string"), F.lit("->"), b.cast("string"))))
 
     structure = F.transform(levels, level_diff)
-    sr, orr = T.find_all(s, P.NUMERIC_RANGE), T.find_all(o, P.NUMERIC_RANGE)
     out.append(F.when(F.size(orr) < F.size(sr), _finding("house-style", "hard", F.array_join(F.filter(sr, lambda r: ~F.array_contains(orr, r)), "; "))))
-    sl, ol = _lengths(sp), _lengths(op)
     enough = (F.size(sl) >= 8) & (F.size(ol) >= 8)
 
     def fell(new, old, tol):
@@ -80,7 +85,7 @@ def findings(source: str, output: str, fmt: str | None = None) -> Column:
     out.append(F.when((n0 > 0) & (n1 / F.nullif(n0, F.lit(0)) - 1 > P.MAX_GROWTH), _finding("length", "hard", F.concat(n0.cast("string"), F.lit(" -> "), n1.cast("string")))))
     first, rest = F.array(out[0]), F.array(*out[1:])
     every = F.concat(first.cast(FINDING), structure.cast(FINDING), rest.cast(FINDING), headings.cast(FINDING))
-    return F.when(s.isNotNull() & o.isNotNull(), F.array_compact(every))
+    return x.select(*keep, F.when(s.isNotNull() & o.isNotNull(), F.array_compact(every)).alias("findings"))
 
 
 def n_of(f: Column, severity: str) -> Column:

@@ -286,8 +286,8 @@ def rewrite_counts(s, d):
 
 @query("rewrite_findings")
 def rewrite_findings(s, d):
-    x = edits(s, d).withColumn("f", fidelity.findings("ai_text", "human_text"))
-    return x.select("id", (fidelity.n_of(F.col("f"), "hard") == 0).alias("ok"), F.explode_outer("f").alias("z")).select("id", "ok", "z.axis", "z.severity", "z.detail")
+    x = fidelity.with_findings(edits(s, d), "ai_text", "human_text")
+    return x.select("id", (fidelity.n_of(F.col("findings"), "hard") == 0).alias("ok"), F.explode_outer("findings").alias("z")).select("id", "ok", "z.axis", "z.severity", "z.detail")
 
 
 @query("verdict_tiers")
