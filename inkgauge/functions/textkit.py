@@ -97,6 +97,17 @@ def adjacent(a: Column, fn, lag: int = 1) -> Column:
     return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(1 + lag), n), fn)
 
 
+def exploded(df, keep: list, values: Column, name: str, pos: str | None = None):
+    """Rows of an array's elements.
+
+    The outer generators: for the plain ones the optimizer adds a filter on the
+    array's size below, and with it computes the array, however dear, twice.
+    """
+    if pos is None:
+        return df.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+    return df.select(*keep, F.posexplode_outer(values).alias(pos, name)).where(F.col(name).isNotNull())
+
+
 def rounded(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 

@@ -115,7 +115,7 @@ def with_features(df: DataFrame, text: str = "text", cadence: bool = False, lo:
 
 def sentence_cuts(df: DataFrame, by: str = "voice", text: str = "text") -> DataFrame:
     """(by, lo, hi): terciles of the pooled positive sentence lengths; the defaults below ten lengths."""
-    lens = df.where(F.col(text).isNotNull()).select(by, F.explode(F.transform(T.sentences(F.col(text)), lambda s: F.size(T.words_ascii(s)))).alias("n")).where("n > 0")
+    lens = T.exploded(df.where(F.col(text).isNotNull()), [by], F.transform(T.sentences(F.col(text)), lambda s: F.size(T.words_ascii(s))), "n").where("n > 0")
     few = F.count("*") < 10
     cut = lambda p, d: F.when(few, F.lit(d)).otherwise(T.pct_linear(F.col("n"), p))
     return lens.groupBy(by).agg(cut(1 / 3, P.DEFAULT_CUTS[0]).alias("lo"), cut(2 / 3, P.DEFAULT_CUTS[1]).alias("hi"))

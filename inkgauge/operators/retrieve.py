@@ -75,7 +75,7 @@ def fold_accents(t: Column) -> Column:
 def postings(docs: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
     """(id, term, tf, len): terms are folded plain words."""
     w = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), T.find_all(fold_accents(F.col(text)), P.WORD_PLAIN).alias("w"))
-    return w.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("id", "term", "len").agg(F.count("*").alias("tf"))
+    return T.exploded(w, ["id", F.size("w").alias("len")], F.col("w"), "term").groupBy("id", "term", "len").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "id", q_col: str = "query_id", q_text: str = "text", text: str = "text") -> DataFrame:
@@ -88,7 +88,7 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "id", q_col: str = "
     base = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), T.find_all(fold_accents(F.col(text)), P.WORD_PLAIN).alias("w"))
     stats = base.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avglen"))
     wanted = terms.select("term").distinct()
-    post = base.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+    post = T.exploded(base, ["id", F.size("w").alias("len")], F.col("w"), "term").join(wanted, "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)

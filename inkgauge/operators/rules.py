@@ -177,7 +177,7 @@ def quality_columns(t: Column) -> dict[str, Column]:
     }
 
 
-def redundancy(df: DataFrame, key: str, text: str = "text", salt: int = 8) -> DataFrame:
+def redundancy(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, redundancy, i, j): the worst pair of sentences by overlap of content words; the first in order on ties.
 
     Sentence pairs are found through shared words, so only pairs with some
@@ -185,12 +185,11 @@ def redundancy(df: DataFrame, key: str, text: str = "text", salt: int = 8) -> Da
     spreads over tasks. Texts below 40 words or without a pair give 0 and nulls.
     """
     base = df.where(F.col(text).isNotNull()).select(key, text).dropDuplicates([key])
-    s = base.where(F.size(T.words_ascii(F.col(text))) >= 40).select(key, F.posexplode(F.transform(T.sentences(F.col(text)), lambda x: F.array_distinct(content_words(x)))).alias("i", "c")).where(F.size("c") >= 4)
-    w = s.select(key, "i", F.size("c").alias("n"), F.explode("c").alias("w"))
+    s = T.exploded(base.where(F.size(T.words_ascii(F.col(text))) >= 40), [key], F.transform(T.sentences(F.col(text)), lambda x: F.array_distinct(content_words(x))), "c", "i").where(F.size("c") >= 4)
+    w = T.exploded(s, [key, "i", F.size("c").alias("n")], F.col("c"), "w")
     a, b = w.select(key, "w", "i", F.col("n").alias("ni")), w.select(key, "w", F.col("i").alias("j"), F.col("n").alias("nj"))
     p = a.join(b, [key, "w"]).where("i < j").groupBy(key, "i", "j").agg((F.count("*") / F.min(F.least("ni", "nj"))).alias("ov"))
     best = p.groupBy(key).agg(F.min(F.struct((-F.col("ov")).alias("d"), "i", "j")).alias("b"))
-    del salt
     return base.select(key).join(best, key, "left").select(key, F.coalesce(-F.col("b.d"), F.lit(0.0)).alias("redundancy"), F.col("b.i").alias("i"), F.col("b.j").alias("j"))
 
 
@@ -222,16 +221,14 @@ def tell_usage(df: DataFrame, words: tuple, by: str = "voice", text: str = "text
     """(by, word, uses) of the words of a list in texts of three sentences or more; other words never leave their row."""
     t = F.col(text)
     x = df.where(F.col(by).isNotNull() & t.isNotNull()).where(F.size(sentence_lengths(t)) >= 3)
-    w = x.select(by, F.explode(F.filter(T.words_unicode(F.lower(t)), lambda v: v.isin(*words))).alias("word"))
+    w = T.exploded(x, [by], F.filter(T.words_unicode(F.lower(t)), lambda v: v.isin(*words)), "word")
     return w.groupBy(by, "word").agg(F.count("*").alias("uses"))
 
 
 def banlists(df: DataFrame, words: tuple = P.TELL_WORDS, least: int = 3, by: str = "voice", text: str = "text") -> DataFrame:
     """(by, word, banned): of each voice, the listed words it uses fewer than ``least`` times."""
-    spark = df.sparkSession
     voices = df.where(F.col(by).isNotNull()).select(by).distinct()
     listed = voices.select(by, F.explode(F.array(*(F.lit(w) for w in words))).alias("word"))
-    del spark
     u = tell_usage(df, words, by, text)
     return listed.join(u, [by, "word"], "left").select(by, "word", (F.coalesce("uses", F.lit(0)) < least).alias("banned"))
 

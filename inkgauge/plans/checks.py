@@ -251,7 +251,7 @@ def document_prose(s, d):
 @query("protected_spans")
 def protected_spans(s, d):
     x = table(s, d, "chunks").where("text is not null").select("id", "text").dropDuplicates(["id"])
-    return x.select("id", F.explode(markup.protected_spans("text", markup.guess_format(F.col("text")))).alias("z")).select("id", "z.a", "z.b")
+    return T.exploded(x, ["id"], markup.protected_spans("text", markup.guess_format(F.col("text"))), "z").select("id", "z.a", "z.b")
 
 
 @query("dash_scalpel_markup")
@@ -348,13 +348,13 @@ def calibration_segments(s, d):
     """Documents' pieces cut where their voice's lengths are lopsided or few."""
     docs = table(s, d, "documents").where("text is not null and voice is not null").select("doc_id", "voice", "text")
     p = chunking.segmentation(docs, "voice", len(P.SURFACE))
-    x = docs.join(p.select("voice", "target"), "voice").select("doc_id", "voice", F.posexplode(chunking.segment_udf("text", "target")).alias("seg", "text"))
+    x = T.exploded(docs.join(p.select("voice", "target"), "voice"), ["doc_id", "voice"], chunking.segment_udf("text", "target"), "text", "seg")
     return x.select("doc_id", "voice", "seg", F.size(T.tokens(F.col("text"))).alias("words"), F.md5("text").alias("text_md5"))
 
 
 @query("paragraphs", f"with p as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), {S.lit(P.PARAGRAPH_GAP)}), lambda q: {S.strip('regexp_replace(q, ' + S.lit(P.WS + '+') + ', chr(32), ' + S.lit('g') + ')')}), lambda q: len({S.tok('q')}) >= 8) as p from documents where text is not null) select doc_id, unnest(range(0, len(p))) as idx, unnest(p) as paragraph from p")
 def paragraphs(s, d):
-    x = table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(chunking.paragraphs_of(F.col("text"))).alias("idx", "paragraph"))
+    x = T.exploded(table(s, d, "documents").where("text is not null"), ["doc_id"], chunking.paragraphs_of(F.col("text")), "paragraph", "idx")
     return x.select("doc_id", F.col("idx").cast("long").alias("idx"), "paragraph")
 
 

@@ -67,7 +67,7 @@ def _overlap(s, d, k):
     """A second list: documents by the number of distinct query terms they hold."""
     docs = table(s, d, "documents").where("text is not null")
     q = table(s, d, "briefs").where("task is not null").select(F.col("id").alias("query_id"), F.explode(F.array_distinct(T.query_terms(retrieve.fold_accents(F.col("task"))))).alias("term"))
-    w = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.find_all(retrieve.fold_accents(F.col("text")), P.WORD_PLAIN))).alias("term"))
+    w = T.exploded(docs, [F.col("doc_id").alias("id")], F.array_distinct(T.find_all(retrieve.fold_accents(F.col("text")), P.WORD_PLAIN)), "term")
     n = w.join(q, "term").groupBy("query_id", "id").agg(F.count("*").alias("score"))
     return retrieve.topk(n, k, ascending=False)
 

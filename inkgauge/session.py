@@ -19,6 +19,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
         .appName("inkgauge")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")  # small tables, much work per row
         .config("spark.driver.memory", conf.pop("driver_memory", "8g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
@@ -31,8 +32,20 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
+TEXT_TABLES = ("chunks", "candidates", "documents")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder; text tables in fewer parts than the cluster has cores are spread over these.
+
+    Work on texts is bound by CPU, and a file of one row group is one task
+    however many cores wait. Tables of many parts stay as they are read.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def ship_code(spark: SparkSession) -> None:

@@ -57,7 +57,7 @@ def test_logs_and_artifacts(spark, tmp_path):
 
 def test_pages_and_imports(spark):
     pages = spark.createDataFrame([("p", 2, "goes on\nhere."), ("p", 1, "A hyphen-\nated line \nthat "), ("p", 3, None)], "name string, page int, text string")
-    assert io.page_text(pages).first()["text"] == "A hyphenated line that \n\ngoes on here.\n\n"
+    assert io.page_text(pages).first()["text"] == "A hyphenated line that\n\n goes on here.\n\n"
     new = spark.createDataFrame([(1, "f", "x"), (2, "f", "y"), (3, "g", "x"), (4, "f", "z")], "k int, name string, text string")
     stored = spark.createDataFrame([("z",)], "t string").select(F.sha2("t", 256).alias("sha"))
     assert {(r["k"], r["import_name"]) for r in io.import_documents(new, stored, "k", "name", "text").collect()} == {(1, "f"), (2, "f-2")}
