@@ -241,8 +241,8 @@ def rhetoric_calibration(df: DataFrame, by: str = "voice", text: str = "text", m
     c, a = F.col("c") * long_, F.col("a") * long_  # null, and so out of the aggregates, where too short
     return x.groupBy(by).agg(
         F.count(long_).alias("n_pieces"),
-        F.coalesce(F.greatest(T.pct_floor(c, 0.95), F.lit(1.0)), F.lit(2.0)).alias("cleft_p95"),
-        F.coalesce(F.greatest(T.pct_floor(a, 0.95), F.lit(3.0)), F.lit(6.0)).alias("antithesis_p95"),
+        F.when(F.count(long_) > 0, F.greatest(T.pct_floor(c, 0.95), F.lit(1.0))).otherwise(2.0).alias("cleft_p95"),
+        F.when(F.count(long_) > 0, F.greatest(T.pct_floor(a, 0.95), F.lit(3.0))).otherwise(6.0).alias("antithesis_p95"),
         F.coalesce(T.pct_floor(c, 0.25), F.lit(0.0)).alias("cleft_p25"),
         F.coalesce(T.pct_floor(a, 0.25), F.lit(0.0)).alias("antithesis_p25"),
     )
