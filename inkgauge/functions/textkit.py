@@ -112,34 +112,6 @@ def rounded(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
-# Percentiles, as aggregates over a column. The numbers of the rules differ by operator.
-
-
 def pct_linear(c: Column, p: float) -> Column:
-    """Linear interpolation at p * (n - 1)."""
+    """An aggregate: linear interpolation at p * (n - 1). Its state holds the distinct values; see operators.quantiles for real numbers."""
     return F.percentile(c, F.lit(p))
-
-
-def _at(c: Column, index) -> Column:
-    s = F.sort_array(F.collect_list(c))
-    n = F.count(c)
-    return F.when(n > 0, F.get(s, index(n).cast("int")))
-
-
-def pct_even(c: Column, p: float) -> Column:
-    """The element at p * (n - 1), rounded half to even."""
-    return _at(c, lambda n: F.bround(F.lit(p) * (n - 1), 0))
-
-
-def pct_floor(c: Column, p: float) -> Column:
-    """The element at floor(p * (n - 1))."""
-    return _at(c, lambda n: F.floor(F.lit(p) * (n - 1)))
-
-
-def pct_cut(c: Column, p: float) -> Column:
-    """The element at floor(p * n)."""
-    return _at(c, lambda n: F.least(F.floor(F.lit(p) * n), n - 1))
-
-
-def upper_median(c: Column) -> Column:
-    return pct_cut(c, 0.5)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgauge.functions import patterns as P
-from inkgauge.functions import textkit as T
+from inkgauge.operators.quantiles import group_quantiles
 
 Features = tuple[str, ...]
 
@@ -93,7 +93,8 @@ def leave_one_out(units: DataFrame, features: Features = P.SURFACE, by: str = "v
 
 def baselines(loo: DataFrame, by: str = "voice") -> DataFrame:
     """(by, n_pieces, self_baseline, fit_threshold) of leave_one_out()."""
-    return loo.groupBy(by).agg(F.count("*").alias("n_pieces"), F.avg("loo").alias("self_baseline"), T.pct_linear(F.col("loo"), 0.95).alias("fit_threshold"))
+    q = group_quantiles(loo.select(by, "loo"), [by], {"fit_threshold": ("loo", "linear", 0.95)})
+    return loo.groupBy(by).agg(F.count("*").alias("n_pieces"), F.avg("loo").alias("self_baseline")).join(q, by)
 
 
 def corpus_spread(units: DataFrame, key: str, features: Features = P.SURFACE, by: str = "voice", most: int | None = P.SPREAD_SAMPLE) -> DataFrame:

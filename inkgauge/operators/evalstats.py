@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkgauge.functions import patterns as P
 from inkgauge.functions import textkit as T
+from inkgauge.operators.quantiles import group_quantiles
 
 
 def auroc(df: DataFrame, positive: str, score: str, by: str | None = None) -> DataFrame:
@@ -31,8 +32,9 @@ def detector_threshold(df: DataFrame, machine: str, score: str, by: str, fpr: fl
     human, ai = F.when(~F.col(machine), F.col(score)), F.when(F.col(machine), F.col(score))
     s = x.groupBy(by).agg(
         F.count(human).alias("n_human"), F.count(ai).alias("n_ai"), F.avg(human).alias("hm"), F.coalesce(F.stddev_samp(human), F.lit(0.0)).alias("hs"), F.avg(ai).alias("am"), F.coalesce(F.stddev_samp(ai), F.lit(0.0)).alias("as_"),
-        T.pct_even(human, fpr).alias("low"), T.pct_even(human, 1 - fpr).alias("high"),
     ).where((F.col("n_human") >= least) & (F.col("n_ai") >= least))
+    cut = group_quantiles(x.select(by, human.alias("h")), [by], {"low": ("h", "even", fpr), "high": ("h", "even", 1 - fpr)})
+    s = s.join(cut, by)
     s = s.join(auroc(x, machine, score, by).select(by, "auroc"), by)
     low = F.col("auroc") >= 0.5
     return s.select(by, "n_human", "n_ai", F.round(F.when(low, F.col("low")).otherwise(F.col("high")), 5).alias("threshold"), F.when(low, "low_is_machine").otherwise("high_is_machine").alias("direction"), F.round(F.greatest("auroc", 1 - F.col("auroc")), 4).alias("auroc"), F.round("hm", 5).alias("human_mean"), F.round("hs", 5).alias("human_stdev"), F.round("am", 5).alias("ai_mean"), F.round("as_", 5).alias("ai_stdev"))

@@ -11,6 +11,9 @@ from inkgauge.functions import patterns as P
 from inkgauge.functions import textkit as T
 
 
+QUERY_BLOCK = 8192
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -21,50 +24,60 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double")))
 
 
-def vector_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", q_col: str = "query_id", v: str = "vec") -> DataFrame:
-    """(query, id, sim, rank): the k rows most similar to each query; ties to the smaller id.
+def _query_blocks(queries: DataFrame, q_col: str, v: str, size: int):
+    """The queries' (id, vector) in blocks of at most ``size``, fetched one partition at a time."""
+    block: list[tuple] = []
+    for r in queries.select(q_col, v).where(F.col(v).isNotNull()).toLocalIterator():
+        block.append((r[0], r[1]))
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
 
-    Queries are a stated set: they are sent to the rows in blocks of one array
-    (some hundreds of vectors), scored in the scan, and each row's partition
-    hands on only its k best per query.
-    """
-    q = [(r[0], list(r[1])) for r in queries.select(q_col, v).where(F.col(v).isNotNull()).toLocalIterator()]
-    best = None
-    for a in range(0, len(q), 256):
-        lit = F.array(*(F.struct(F.lit(i).alias("q"), F.array(*(F.lit(float(x)) for x in vec)).alias("v")) for i, vec in q[a : a + 256]))
-        scored = rows.where(F.col(v).isNotNull()).select(F.col(id_col).alias("id"), F.col(v).alias("v"), F.explode(lit).alias("q")).select(F.col("q.q").alias(q_col), "id", dot(F.col("v"), F.col("q.v")).alias("sim"))
-        best = scored if best is None else best.unionByName(scored)
-    w = Window.partitionBy(q_col).orderBy(F.col("sim").desc(), "id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)  # Spark limits each partition by rank before the shuffle
 
+def vector_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", q_col: str = "query_id", v: str = "vec", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, id, sim, rank): the k rows of the highest dot product for each query; ties to the smaller id.
 
-def vector_topk_join(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", q_col: str = "query_id", v: str = "vec") -> DataFrame:
-    """As vector_topk, for queries kept as a table: batches of rows are multiplied with the query matrix."""
+    The queries are a stated set. They go to the rows in blocks of a bounded
+    size, one scan per block: Arrow batches are multiplied with the block's
+    matrix and hand on only their k best (with ties) per query. From the second
+    block on, results are cut from their lineage, so that plans stay small.
+    Null vectors take no part.
+    """
     import numpy as np
     import pyarrow as pa
 
-    got = [(r[0], r[1]) for r in queries.select(q_col, v).where(F.col(v).isNotNull()).toLocalIterator()]
+    from inkgauge.session import checkpointed
+
     q_type, id_type = queries.schema[q_col].dataType, rows.schema[id_col].dataType
-    m = np.array([x for _, x in got], dtype=np.float64)
-    names = [i for i, _ in got]
-    send = rows.sparkSession.sparkContext.broadcast((names, m))  # the stated query set
-
-    def score(batches):
-        names, m = send.value
-        for b in batches:
-            x = np.array(b.column(1).to_pylist(), dtype=np.float64).reshape(b.num_rows, -1)
-            if not len(x) or not len(m):
-                continue
-            s = m @ x.T
-            n = min(k, s.shape[1])
-            part = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            kth = np.take_along_axis(s, part, 1).min(axis=1, keepdims=True)
-            row, col = np.nonzero(s >= kth)  # with all ties
-            yield pa.record_batch([pa.array([names[i] for i in row]), b.column(0).take(pa.array(col)), pa.array(s[row, col])], names=[q_col, "id", "sim"])
-
-    out = rows.where(F.col(v).isNotNull()).select(id_col, v).mapInArrow(score, f"{q_col} {q_type.simpleString()}, id {id_type.simpleString()}, sim double")
+    schema = f"{q_col} {q_type.simpleString()}, id {id_type.simpleString()}, sim double"
     w = Window.partitionBy(q_col).orderBy(F.col("sim").desc(), "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    src = rows.where(F.col(v).isNotNull()).select(id_col, v)
+    out: list[DataFrame] = []
+    for got in _query_blocks(queries, q_col, v, block):
+        send = rows.sparkSession.sparkContext.broadcast(([i for i, _ in got], np.array([x for _, x in got], dtype=np.float64)))
+
+        def score(batches, send=send):
+            names, m = send.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = np.array(b.column(1).to_pylist(), dtype=np.float64).reshape(b.num_rows, -1)
+                s = m @ x.T
+                n = min(k, s.shape[1])
+                part = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                kth = np.take_along_axis(s, part, 1).min(axis=1, keepdims=True)
+                row, col = np.nonzero(s >= kth)  # with all ties
+                yield pa.record_batch([pa.array([names[i] for i in row]), b.column(0).take(pa.array(col)), pa.array(s[row, col])], names=[q_col, "id", "sim"])
+
+        best = src.mapInArrow(score, schema).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out.append(checkpointed(best) if len(got) == block else best)
+    if not out:
+        return rows.sparkSession.createDataFrame([], schema + ", rank int")
+    for one in out[1:]:
+        out[0] = out[0].unionByName(one)
+    return out[0]
 
 
 def fold_accents(t: Column) -> Column:

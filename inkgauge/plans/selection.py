@@ -34,7 +34,7 @@ def cosine_topk(s, d):
     """The ten nearest others of every vector whose id is divisible by 20."""
     v = table(s, d, "embeddings").where("embedding is not null").select("vec_id", retrieve.normalized(F.col("embedding")).alias("vec"))
     q = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
-    x = retrieve.vector_topk_join(v, q, 11, "vec_id").where("query_id <> id").drop("rank")
+    x = retrieve.vector_topk(v, q, 11, "vec_id").where("query_id <> id").drop("rank")
     w = Window.partitionBy("query_id").orderBy(F.round("sim", 9).desc(), "id")
     return x.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 10").select("query_id", "id", "rank", R(F.col("sim")).alias("sim"))
 
@@ -100,7 +100,7 @@ def anchor_overlap(s, d):
 def mmr_diversified(s, d):
     v = table(s, d, "embeddings").where("embedding is not null").select("vec_id", retrieve.normalized(F.col("embedding")).alias("vec"))
     q = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
-    pool = retrieve.vector_topk_join(v, q, 36, "vec_id").join(v.withColumnRenamed("vec_id", "id"), "id")
+    pool = retrieve.vector_topk(v, q, 36, "vec_id").join(v.withColumnRenamed("vec_id", "id"), "id")
     return retrieve.mmr(pool, 8)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkgauge.functions import patterns as P
 from inkgauge.functions import textkit as T
-from inkgauge.operators import blend, calibrate, chunking, evalstats, feedback, fidelity, gate, markup, retrieve, rules
+from inkgauge.operators import blend, calibrate, chunking, evalstats, feedback, fidelity, gate, markup, quantiles, retrieve, rules
 from inkgauge.operators import features as X
 
 
@@ -41,20 +41,22 @@ def test_words_and_sentences(spark):
     assert one(spark, "", T.sentences(F.col("text"))) == [] and one(spark, None, T.sentences(F.col("text"))) is None
 
 
-def test_percentiles(spark):
+def test_percentiles(spark, monkeypatch):
     r = random.Random(0)
-    for n in (1, 2, 5, 10, 11, 20, 41):
-        v = [float(r.randrange(30)) for _ in range(n)]
-        s = sorted(v)
-        d = spark.createDataFrame([(x,) for x in v], "x double")
-        x = F.col("x")
-        got = d.agg(T.pct_even(x, 0.05), T.pct_even(x, 0.95), T.pct_floor(x, 0.25), T.upper_median(x), T.pct_cut(x, 0.9), T.pct_linear(x, 0.95)).first()
-        pos = 0.95 * (n - 1)
-        lo = int(pos)
-        lin = s[lo] + (pos - lo) * (s[min(lo + 1, n - 1)] - s[lo])
-        assert list(got)[:5] == [s[int(round(0.05 * (n - 1)))], s[int(round(0.95 * (n - 1)))], s[int(0.25 * (n - 1))], s[n // 2], s[min(n - 1, int(n * 0.9))]]
-        assert got[5] == pytest.approx(lin)
-    assert spark.createDataFrame([], "x double").agg(T.pct_even(F.col("x"), 0.5)).first()[0] is None
+    specs = {"e5": ("x", "even", 0.05), "e95": ("x", "even", 0.95), "f25": ("x", "floor", 0.25), "c5": ("x", "cut", 0.5), "c9": ("x", "cut", 0.9), "l95": ("x", "linear", 0.95), "l5": ("y", "linear", 0.5)}
+    groups = {f"g{n}": [float(r.randrange(30)) for _ in range(n)] for n in (1, 2, 5, 10, 11, 20, 41, 900)} | {"tie": [0.0] * 700 + [1.0]}
+    d = spark.createDataFrame([(g, x, -x) for g, v in groups.items() for x in v] + [("none", None, None)], "g string, x double, y double")
+    for small in (5000, 100):  # 100: large groups go by intervals
+        monkeypatch.setattr(quantiles, "SMALL", small)
+        got = {x["g"]: x for x in quantiles.group_quantiles(d, ["g"], specs).collect()}
+        assert got["none"]["e5"] is None and set(got) == set(groups) | {"none"}
+        for g, v in groups.items():
+            s, n = sorted(v), len(v)
+            pos = 0.95 * (n - 1)
+            lin = s[int(pos)] + (pos - int(pos)) * (s[min(int(pos) + 1, n - 1)] - s[int(pos)])
+            want = [s[int(round(0.05 * (n - 1)))], s[int(round(0.95 * (n - 1)))], s[int(0.25 * (n - 1))], s[n // 2], s[min(n - 1, int(n * 0.9))]]
+            assert [got[g][k] for k in ("e5", "e95", "f25", "c5", "c9")] == want, g
+            assert got[g]["l95"] == pytest.approx(lin) and got[g]["l5"] == pytest.approx(-st.median(v))
 
 
 # --- features ---
@@ -276,7 +278,7 @@ def test_topk_variants_agree(spark):
     rows = spark.createDataFrame([(k, [r.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for k in range(60)] + [(99, None)], "id long, vec array<double>")
     q = rows.where("id < 3").withColumnRenamed("id", "query_id")
     a = {tuple(x) for x in retrieve.vector_topk(rows, q, 5).select("query_id", "id", "rank").collect()}
-    b = {tuple(x) for x in retrieve.vector_topk_join(rows, q, 5).select("query_id", "id", "rank").collect()}
+    b = {tuple(x) for x in retrieve.vector_topk(rows, q, 5, block=2).select("query_id", "id", "rank").collect()}
     assert a == b and len(a) == 15
 
 
