@@ -1,10 +1,35 @@
-"""SQL of the queries here that DuckDB can express on whole tables."""
+"""SQL of the queries here that DuckDB can express on whole tables, by definition rather than by method."""
+
+# a token is a run between white space as Python's str.split() sees it
+_TOKEN = r"'[^\x{0009}-\x{000d}\x{001c}-\x{0020}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'"
+_WORD = r"'[\p{L}\p{N}_]+'"
 
 SQL: dict[str, str] = {
-    # a token is a run between white space as Python's str.split() sees it
-    "p3_found": r"""
-select distinct id from chunks
-where text is not null and id is not null
-  and len(regexp_extract_all(text, '[^\x{0009}-\x{000d}\x{001c}-\x{0020}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > 350
+    "p3_found": f"select distinct id from chunks where text is not null and id is not null and len(regexp_extract_all(text, {_TOKEN})) > 350",
+    # every run of 30 tokens that stands in two origins
+    "p4_found": f"""
+with r as (select distinct id as rec_id, coalesce(filename, chr(0)) as origin, text from chunks where id is not null and text is not null
+  union select distinct cand_id, coalesce(task_id, chr(0)), text from candidates where cand_id is not null and text is not null),
+t as (select rec_id, origin, regexp_extract_all(text, {_TOKEN}) as w from r),
+g as (select rec_id, origin, unnest(list_transform(range(1, len(w) - 28), lambda k: array_to_string(w[k:k + 29], ' '))) as gram from t where len(w) >= 30),
+s as (select gram from g group by gram having count(distinct origin) > 1)
+select distinct rec_id from g where gram in (select gram from s)
+""",
+    # every pair of vectors
+    "p5_found": """
+with v as (select id, any_value(list_transform(embedding, lambda x: x::double)) as e from chunks where id is not null and len(embedding) = 384 group by id),
+n as (select id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as e from v where list_dot_product(e, e) > 0),
+p as (select a.id as a, b.id as b, list_dot_product(a.e, b.e) as cos from n a join n b on a.id <> b.id),
+k as (select *, row_number() over (partition by a order by cos desc, b) as rank from p)
+select distinct least(a, b) as id_a, greatest(a, b) as id_b from k where rank <= 5 and cos >= 0.8
+""",
+    # every run of 13 words, or of all words of a shorter item
+    "p8_found": f"""
+with i as (select distinct item_id, regexp_extract_all(lower(text), {_WORD}) as w from holdout_items where text is not null),
+iw as (select item_id, least(13, len(w)) as n, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda k: array_to_string(w[k:k + least(13, len(w)) - 1], ' '))) as gram from i where len(w) > 0),
+sizes as (select distinct n from iw),
+d as (select doc_id, regexp_extract_all(lower(text), {_WORD}) as w from documents where text is not null),
+dw as (select doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) as gram from d cross join sizes where len(w) >= n)
+select distinct doc_id, item_id from dw join iw using (n, gram)
 """,
 }
