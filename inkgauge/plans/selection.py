@@ -13,7 +13,7 @@ from inkgauge.functions import textkit as T
 from inkgauge.operators import blend, chunking, evalstats, fidelity, gate, retrieve, rules
 from inkgauge.operators import calibrate as C
 from inkgauge.plans import sqlkit as S
-from inkgauge.plans.checks import _SLEN, _WORDS_TESTED, _even, drafts
+from inkgauge.plans.checks import _PHRASES, _SLEN, _TELLS, _TESTED, _WORDS_TESTED, _even, drafts, edits
 from inkgauge.plans.registry import query
 from inkgauge.plans.style import _CAND, _CANDF, _FP, _LOO, candidate_units, doc_units
 from inkgauge.session import table
@@ -153,13 +153,25 @@ def composite_scrub(s, d):
     return x.select("slug", "n_pieces", *(R(F.col(k)).alias(k) for k in ("burstiness_floor", "hedge_ceiling", "mean_sentence_len")))
 
 
-@query("composite_banlist")
+_BANNED = f"bw as (select a.voice as source, v.word, coalesce(uses, 0) < 3 as banned from (select distinct voice from documents where voice is not null and text is not null) a cross join {_TESTED} left join (select voice, word, count(*) as uses from (select voice, unnest({S.w2('lower(text)')}) as word, len({_SLEN}) as k from documents where text is not null and voice is not null) where k >= 3 group by all) u on u.voice = a.voice and u.word = v.word)"
+
+
+@query("composite_banlist", f"{_FP}, {_SHARES}, {_BANNED} select slug, word from sh join bw using (source) group by slug, word having bool_and(banned)")
 def composite_banlist(s, d):
     sh = blend.shares(blend.usable_parts(table(s, d, "profiles")), _doc_counts(s, d))
     return blend.blended_banlist(rules.banlists(table(s, d, "documents").where("text is not null"), _WORDS_TESTED), sh)
 
 
-@query("composite_fingerprint")
+_WCU = ", ".join(f"sum(wt * {f}) / sum(wt) as {f}_m" for f in P.SURFACE)
+_WSU = ", ".join(f"sqrt(sum(wt * pow({f} - {f}_m, 2)) / sum(wt)) as {f}_s" for f in P.SURFACE)
+
+
+@query(
+    "composite_fingerprint",
+    f"{_FP}, {_SHARES}, cu as (select slug, weight / sh.n as wt, {', '.join('u.' + f for f in P.SURFACE)} from u join sh on sh.source = u.voice), cm as (select slug, count(*) as n_pieces, {_WCU} from cu group by slug having count(*) >= 5), cs as (select slug, {_WSU} from cu join cm using (slug) group by slug), l as ("
+    + " union all ".join(f"select slug, n_pieces, '{f}' as feature, {f}_m as m, {f}_s as sd from cm join cs using (slug)" for f in P.SURFACE)
+    + f") select slug, n_pieces, feature, {S.r6('m')} as mean, {S.r6('sd')} as std from l",
+)
 def composite_fingerprint(s, d):
     u = C.usable(doc_units(s, d))
     sh = blend.shares(blend.usable_parts(table(s, d, "profiles")), u.groupBy(F.col("voice").alias("source")).agg(F.count("*").alias("n")))
@@ -226,6 +238,95 @@ def slate_spread(s, d):
     return gate.slate_spread(z, P.SURFACE, order="cand_id").select("task_id", "n_units", R(F.col("spread")).alias("spread"))
 
 
+@query("slate_collapse")
+def slate_collapse(s, d):
+    """Slates that spread less than half as wide as their voice's documents."""
+    u = C.usable(doc_units(s, d))
+    z = C.with_distance(candidate_units(s, d), C.fingerprint(u))
+    voice = z.groupBy("task_id").agg(F.min("voice").alias("voice"))
+    own = C.corpus_spread(u, "doc_id").select("voice", F.col("spread").alias("corpus_spread"))
+    x = gate.slate_spread(z, P.SURFACE).join(voice, "task_id").join(own, "voice")
+    return x.select("task_id", "n_units", R(F.col("spread")).alias("spread"), R(F.col("spread") / F.col("corpus_spread")).alias("ratio"), gate.collapsed(F.col("spread"), F.col("corpus_spread")).alias("collapsed"))
+
+
+_ONE_SCORED = "os as (select * from (select *, row_number() over (partition by cand_id order by created_at, rmsz) as k from candidates) where k = 1)"
+
+
+@query(
+    "detector_accept",
+    f"with {_ONE_SCORED} select a.task_id, coalesce(b.detector_score > a.detector_score and b.rmsz <= 1.1, false) as accepted from os a join os b on a.task_id = b.task_id and a.cand_idx = 0 and b.cand_idx = 1",
+)
+def detector_accept(s, d):
+    """Whether a task's second draft may replace its first by the detector's rule (low scores are a machine's)."""
+    c = scored(s, d)
+    a = c.where("cand_idx = 0").select("task_id", F.col("detector_score").alias("before"))
+    b = c.where("cand_idx = 1").select("task_id", F.col("detector_score").alias("after"), "rmsz")
+    ok = gate.detector_accepted(F.col("before"), F.col("after"), F.lit("low_is_machine"), F.col("rmsz"), F.lit(1.1), F.lit(0))
+    return a.join(b, "task_id").select("task_id", F.coalesce(ok, F.lit(False)).alias("accepted"))
+
+
+@query(
+    "repair_accept",
+    f"with e as (select distinct id, ai_text, human_text from edit_pairs where ai_text is not null and human_text is not null), f as (select id, {_FLAGS.replace('text', 'ai_text')} as a, {_FLAGS.replace('text', 'human_text')} as b from e) select id, a as flags_before, b as flags_after, b < a and b = 0 as accepted from f",
+)
+def repair_accept(s, d):
+    """Edits as repairs: fewer hard flags than before, and none left."""
+    n = lambda c: F.size(fidelity.hard_flags(F.col(c)))
+    x = edits(s, d).select("id", n("ai_text").alias("flags_before"), n("human_text").alias("flags_after"))
+    ok = gate.repair_accepted(F.col("flags_before"), F.col("flags_after"), F.lit(9.0), F.lit(1.0), F.lit(0), F.lit(0))
+    return x.select("id", "flags_before", "flags_after", ok.alias("accepted"))
+
+
+_LINES = f"""list_filter([case when dashes > 0 then 'HIGH dashes: ' || dashes::varchar end, case when len(bp) > 0 then 'HIGH phrases: ' || array_to_string(bp, ', ') end,
+case when len(bw) > 0 then 'HIGH words: ' || array_to_string(bw, ', ') end, case when hedges > 2 then 'MEDIUM hedges' end], lambda x: x is not null)"""
+
+
+@query(
+    "scrub_report",
+    f"with {_CAND}, x as (select cand_id, {S.n_found('regexp_replace(text, ' + S.rx(P.RULE_LINE) + ', ' + S.lit('') + ', ' + S.lit('g') + ')', P.DASH_RUN)} as dashes, list_filter({_PHRASES}, lambda p: contains(lower(text), p)) as bp, list_sort(list_filter({_TELLS}, lambda w: list_contains({S.found('lower(text)', P.WORD_PLAIN)}, w))) as bw, {S.n_found('text', P.HEDGES_SOFT)} * 200.0::double / nullif(len({S.w2('text')}), 0) as hedges from c0) "
+    f"select cand_id, case when len({_LINES}) = 0 then 'CLEAN' else array_to_string({_LINES}, chr(10)) end as report from x",
+)
+def scrub_report(s, d):
+    """The findings of every draft as lines of text."""
+    t = F.col("text")
+    x = drafts(s, d).select("cand_id", rules.plain_dashes(t).alias("dashes"), rules.banned_phrases(t).alias("bp"), rules.banned_words(t).alias("bw"), rules.hedges_per_200(t).alias("hedges"))
+    lines = F.array_compact(F.array(
+        F.when(F.col("dashes") > 0, F.concat(F.lit("HIGH dashes: "), F.col("dashes").cast("string"))),
+        F.when(F.size("bp") > 0, F.concat(F.lit("HIGH phrases: "), F.array_join("bp", ", "))),
+        F.when(F.size("bw") > 0, F.concat(F.lit("HIGH words: "), F.array_join("bw", ", "))),
+        F.when(F.col("hedges") > 2, F.lit("MEDIUM hedges")),
+    ))
+    return x.select("cand_id", F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise("CLEAN").alias("report"))
+
+
+@query("presence_states")
+def presence_states(s, d):
+    """Every draft against its voice's presence floors: measurable, absent classes, missed floors."""
+    t = F.col("text")
+    cal = rules.presence_calibration(table(s, d, "documents")).select("voice", *(f"{k}_floor" for k in P.FIELD_FLOOR))
+    x = drafts(s, d).select("cand_id", "voice", F.size(T.words_unicode(t)).alias("n"), *(c.alias(k) for k, c in rules.presence_columns(t).items())).join(cal, "voice", "left")
+    st = rules.presence_state(F.col("n"), {k: F.coalesce(f"{k}_floor", F.lit(v)) for k, v in P.FIELD_FLOOR.items()})
+    return x.select("cand_id", st["measurable"].alias("measurable"), F.array_join(st["absent"], "|").alias("absent"), F.array_join(st["missed"], "|").alias("missed"), st["presence_missing"].alias("presence_missing"))
+
+
+@query("transform_demos")
+def transform_demos(s, d):
+    """The three edits whose human side is closest to each brief."""
+    e = edits(s, d).select("id", retrieve.encode(F.col("human_text")).alias("vec"))
+    q = table(s, d, "briefs").where("task is not null").select(F.col("id").alias("query_id"), retrieve.encode(F.col("task")).alias("vec"))
+    return retrieve.vector_topk(e, q, 3).select("query_id", "id", F.col("rank").cast("long").alias("rank"), R(F.col("sim")).alias("sim"))
+
+
+@query("nearest_pieces")
+def nearest_pieces(s, d):
+    """The three documents closest to every document whose id is divisible by 20, itself left out."""
+    v = table(s, d, "documents").where("text is not null").select("doc_id", retrieve.encode(F.col("text")).alias("vec"))
+    q = v.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    x = retrieve.vector_topk(v, q, 4, "doc_id").where("query_id <> id").drop("rank")
+    w = Window.partitionBy("query_id").orderBy(F.round("sim", 9).desc(), "id")
+    return x.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("query_id", "id", "rank", R(F.col("sim")).alias("sim"))
+
+
 # --- evaluation ---
 
 _ONE = "one as (select * from (select *, row_number() over (partition by cand_id order by created_at, rmsz) as k from candidates) where k = 1)"
@@ -247,7 +348,16 @@ def auroc_by_label(s, d):
     return x.select("voice", "n_pos", "n_neg", R(F.col("auroc")).alias("auroc"))
 
 
-@query("detector_threshold")
+_PCT = lambda p: f"list_sort(list(s) filter (where not m))[round_even({p} * (count(*) filter (where not m) - 1), 0)::int + 1]"
+
+
+@query(
+    "detector_threshold",
+    f"with {_ONE}, x as (select voice, emdash_fixed > 0 as m, detector_score as s from one where detector_score is not null and voice is not null and emdash_fixed is not null), "
+    f"g as (select voice, count_if(not m)::bigint as n_human, count_if(m)::bigint as n_ai, avg(s) filter (where not m) as hm, coalesce(stddev_samp(s) filter (where not m), 0.0) as hs, avg(s) filter (where m) as am, coalesce(stddev_samp(s) filter (where m), 0.0) as sa, {_PCT('0.05')} as low, {_PCT('0.95')} as high from x group by voice having count_if(not m) >= 3 and count_if(m) >= 3), "
+    "w as (select a.voice, sum(case when a.s < h.s then 1.0 when a.s = h.s then 0.5 else 0.0 end) / count(*) as auc from x a join x h on a.voice = h.voice and a.m and not h.m group by a.voice) "
+    "select voice, n_human, n_ai, round(case when auc >= 0.5 then low else high end, 5) + 0.0 as threshold, case when auc >= 0.5 then 'low_is_machine' else 'high_is_machine' end as direction, round(greatest(auc, 1 - auc), 4) + 0.0 as auroc, round(hm, 5) + 0.0 as human_mean, round(hs, 5) + 0.0 as human_stdev, round(am, 5) + 0.0 as ai_mean, round(sa, 5) + 0.0 as ai_stdev from g join w using (voice)",
+)
 def detector_threshold(s, d):
     return evalstats.detector_threshold(scored(s, d).where("voice is not null and machine is not null"), "machine", "detector_score", "voice", fpr=0.05)
 

@@ -41,6 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     Work on texts is bound by CPU, and a file of one row group is one task
     however many cores wait. Tables of many parts stay as they are read.
     """
+    ship_code(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
