@@ -39,7 +39,8 @@ LOOKALIKE = dict(
         strict=True,
     )
 )
-HYPHENS = "‐‑﹣－⁃֊᠆"
+HYPHENS = "‐‑﹣－⁃֊᠆˗"
+SIGNS = dict(zip("∶⁄∕․ǃ", "://.!", strict=True))  # signs that look like a Latin one
 NOT_MAPPED = "З"
 for _c in NOT_MAPPED + "ꓒꓤυ":
     LOOKALIKE.pop(_c, None)
@@ -54,13 +55,15 @@ def _map_char(code: int) -> str | None:
         return "-"
     if c in LOOKALIKE:
         return LOOKALIKE[c]
+    if c in SIGNS:
+        return SIGNS[c]
     cat = unicodedata.category(c)
     if code in WIDTHLESS_EXTRA or cat == "Cf" or (cat == "Cc" and c not in KEPT_CONTROLS):
         return ""
     if cat == "Zs" or c in "\t⠀ㅤ":
         return " "
     kind, _, rest = unicodedata.decomposition(c).partition("> ")
-    if kind in ("<wide", "<narrow", "<font", "<noBreak"):
+    if kind in ("<wide", "<narrow", "<small", "<font", "<noBreak"):
         return "".join(_map_char(int(x, 16)) or "" for x in rest.split())
     if kind == "<compat" and cat in ("Ll", "Lu", "Lt", "Nl"):
         parts = "".join(chr(int(x, 16)) for x in rest.split())
