@@ -28,6 +28,7 @@ from inkgauge.session import checkpointed, ship_code
 DIM, K = 384, 5
 DEGREE, BEAM, ALPHA, TILE = 20, 32, 1.2, 256
 SHARD_ROWS, SPREAD, SAMPLE_ROWS = 4000, 2, 20_000
+SUB_SAMPLE = 40
 KEPT_IDS = 6  # of a class; more copies than that are answered by these
 SEED = 11
 
@@ -199,10 +200,11 @@ def nearest_vectors(chunks: DataFrame, k: int = K, dim: int = DIM, shard_rows: i
     ship_code(spark)
     src = chunks.select(F.col("id").cast("string").alias("id"), "embedding")
     n = src.count()
-    shards = max(1, min(round(n / shard_rows), sample_rows // 20))
+    wanted = max(1, round(n / shard_rows))
+    shards = min(wanted, max(1, sample_rows // 20))
     if shards > 1:
         got = src.where(F.size("embedding") == dim).select("embedding").sample(fraction=min(1.0, sample_rows / n), seed=SEED).limit(2 * sample_rows)
-        sample = np.array([r[0] for r in got.toLocalIterator()], dtype=np.float32).reshape(-1, dim)
+        sample = np.stack([np.zeros(dim, np.float32), *(np.array(r[0], dtype=np.float32) for r in got.toLocalIterator())])
         sample = unit(sample[np.isfinite(sample).all(axis=1) & (sample != 0).any(axis=1)])
         shards = min(shards, max(1, len(sample) // 4))
     centroids = spark.sparkContext.broadcast(fit_centroids(sample, shards) if shards > 1 else None)  # at most sample_rows // 20 vectors
@@ -227,6 +229,8 @@ def nearest_vectors(chunks: DataFrame, k: int = K, dim: int = DIM, shard_rows: i
         return {"shard": pa.array(near), "vkey": pa.array(list(by), type=pa.binary()).take(rows), "vec": pa.array([pack(x[j]) for j in at], type=pa.binary()).take(rows), "ids": kept.take(rows)}
 
     routed = map_rows(src, route, "shard int, vkey binary, vec binary, ids array<string>")
+    if wanted > 1.5 * shards > 1.5:
+        routed = split_shards(routed, wanted / shards, n * ways, shard_rows, dim, ways)
     near_type = pa.list_(pa.struct([("d", pa.float64()), ("neighbor", pa.string())]))
     schema = pa.schema([("vkey", pa.binary()), ("ids", pa.list_(pa.string())), ("near", near_type)])
 
@@ -265,6 +269,55 @@ def nearest_vectors(chunks: DataFrame, k: int = K, dim: int = DIM, shard_rows: i
     return picked.select("id", F.posexplode("near").alias("rank", "z")).select("id", F.col("z.neighbor").alias("neighbor"), (F.col("rank") + 1).alias("rank"), (-F.col("z.d")).alias("cos"))
 
 
+def split_shards(routed: DataFrame, parts: float, rows: int, shard_rows: int, dim: int, ways: int) -> DataFrame:
+    """Rows of too large shards, again routed to the nearest ``ways`` of their shard's own centroids.
+
+    Each shard fits its centroids, one per shard_rows of its rows, on SUB_SAMPLE
+    sampled rows for each. Centroids then meet their shard's rows in sorted
+    partitions (centroids first), salted, so that rows stream by and a large
+    shard is many tasks.
+    """
+    fraction = min(1.0, SUB_SAMPLE / shard_rows)
+    fit_schema = pa.schema([("shard", pa.int32()), ("vec", pa.binary())])
+
+    def fit(t: pa.Table) -> pa.Table:
+        x = unit(unpack(t.column("vec").to_pylist(), dim))
+        k = max(1, min(len(x) // 4, round(len(x) / (fraction * shard_rows))))
+        c = fit_centroids(x, k)
+        return pa.table([pa.array([t.column("shard")[0].as_py()] * k, pa.int32()), pa.array([pack(v) for v in c], pa.binary())], schema=fit_schema)
+
+    centroids = checkpointed(routed.select("shard", "vec").sample(fraction=fraction, seed=SEED).groupBy("shard").applyInArrow(fit, "shard int, vec binary"))
+    salts = max(1, min(64, round(parts)))
+    none = F.lit(None)
+    first = centroids.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("flag"), none.cast("binary").alias("vkey"), "vec", none.cast("array<string>").alias("ids"))
+    then = routed.select("shard", F.pmod(F.xxhash64("vkey"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("flag"), "vkey", "vec", "ids")
+    both = first.unionByName(then).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "flag")
+    schema = pa.schema([("shard", pa.int64()), ("vkey", pa.binary()), ("vec", pa.binary()), ("ids", pa.list_(pa.string()))])
+
+    def route(batches):
+        at, own = None, np.zeros((0, dim), np.float32)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([np.asarray(b.column(j)) for j in range(3)], axis=1)
+            cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [b.num_rows]])
+            for lo, hi in zip(cuts, cuts[1:]):
+                shard, salt, flag = (int(v) for v in key[lo])
+                x = unpack(b.column(4).slice(lo, hi - lo).to_pylist(), dim)
+                if flag == 0:
+                    own = np.concatenate([own, x]) if at == (shard, salt) else x
+                    at = (shard, salt)
+                    continue
+                if at != (shard, salt):  # a shard so small that none of its rows was sampled
+                    own, at = np.zeros((1, dim), np.float32), (shard, salt)
+                n = min(ways, len(own))
+                near = np.argpartition(-(unit(x) @ own.T), n - 1, axis=1)[:, :n].ravel()
+                i = pa.array(np.repeat(np.arange(lo, hi), n))
+                yield pa.record_batch([pa.array(shard * 1_000_000 + near.astype(np.int64)), *(b.column(j).take(i) for j in (3, 4, 5))], schema=schema)
+
+    return both.mapInArrow(route, "shard long, vkey binary, vec binary, ids array<string>")
+
+
 def close_pairs(chunks: DataFrame, least: float = 0.8, k: int = K, dim: int = DIM) -> DataFrame:
     """(id_a < id_b) with a cosine of at least ``least`` of which one is among the k most similar of the other."""
     near = nearest_vectors(chunks, k, dim).where(F.col("cos") >= least)

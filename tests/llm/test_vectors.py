@@ -60,6 +60,20 @@ def test_nearest_recall_over_shards(spark, cloud):
     assert pairs == {(min(i, n), max(i, n)) for i, v in want.items() for n, c in v if c >= 0.8}
 
 
+def test_nearest_recall_over_split_shards(spark, cloud):
+    """More shards than the sample allows centroids for: shards are split by centroids of their own."""
+    ids, x = cloud
+    d = spark.createDataFrame([(i, "f", "v", v.tolist()) for i, v in zip(ids, x, strict=True)], SCHEMA)
+    got = {}
+    for r in vectors.nearest_vectors(d, shard_rows=60, sample_rows=100).collect():
+        got.setdefault(r["id"], set()).add(r["neighbor"])
+    want = brute(ids, x.astype(np.float64), 5)
+    assert set(got) == set(ids) and all(len(v) == 5 for v in got.values())
+    assert sum(len(got[i] & {n for n, _ in want[i]}) for i in ids) / (5 * len(ids)) >= 0.8
+    pairs = {tuple(r) for r in vectors.close_pairs(d).collect()}
+    assert pairs == {(min(i, n), max(i, n)) for i, v in want.items() for n, c in v if c >= 0.8}
+
+
 def test_nearest_edge_cases(spark, cloud):
     _, x = cloud
     a, b = x[0].tolist(), x[1].tolist()
