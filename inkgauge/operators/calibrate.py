@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from inkgauge.functions import patterns as P
 from inkgauge.operators.quantiles import group_quantiles
+from inkgauge.session import checkpointed
 
 Features = tuple[str, ...]
 
@@ -93,7 +94,8 @@ def leave_one_out(units: DataFrame, features: Features = P.SURFACE, by: str = "v
 
 def baselines(loo: DataFrame, by: str = "voice") -> DataFrame:
     """(by, n_pieces, self_baseline, fit_threshold) of leave_one_out()."""
-    q = group_quantiles(loo.select(by, "loo"), [by], {"fit_threshold": ("loo", "linear", 0.95)})
+    loo = checkpointed(loo.select(by, "loo"))
+    q = group_quantiles(loo, [by], {"fit_threshold": ("loo", "linear", 0.95)})
     return loo.groupBy(by).agg(F.count("*").alias("n_pieces"), F.avg("loo").alias("self_baseline")).join(q, by)
 
 

@@ -32,7 +32,8 @@ def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inne
 
 def group_quantiles(df: DataFrame, by: list[str], specs: dict[str, tuple[str, str, float]]) -> DataFrame:
     """(by, alias...) for specs alias -> (column, rule, p); null values don't count, a group without any gives null.
-    A null key is a group.
+    A null key is a group. df is read several times: callers write it out first
+    where it is dear.
 
     Rules: even (rank p(n-1), halves to even), floor (rank floor p(n-1)), cut
     (rank floor pn), linear (interpolated at p(n-1)).

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkgauge.functions import patterns as P
 from inkgauge.functions import textkit as T
 from inkgauge.operators.quantiles import group_quantiles
+from inkgauge.session import checkpointed
 
 
 def _safe(x: Column, n: Column) -> Column:
@@ -215,6 +216,7 @@ def scrub_calibration(df: DataFrame, by: str = "voice", text: str = "text") -> D
     x = df.where(F.col(by).isNotNull() & t.isNotNull()).select(by, sentence_lengths(t).alias("l"), T.count(t, P.HEDGES_SOFT).alias("h"), plain_dashes(t).alias("d")).where(F.size("l") >= 3)
     n = T.total(F.col("l"))
     x = x.select(by, T.stdev(F.col("l")).alias("b"), T.mean(F.col("l")).alias("m"), (F.col("h") * 200.0 / n).alias("h"), (F.col("d") * 1000.0 / n).alias("d"))
+    x = checkpointed(x)
     q = group_quantiles(x, [by], {"burstiness_floor": ("b", "even", 0.05), "hedge_ceiling": ("h", "even", 0.95), "dash_per1k_p95": ("d", "even", 0.95), "mean_sentence_len": ("m", "even", 0.5)})
     return x.groupBy(by).agg(F.count("*").alias("n_pieces")).join(q, by)
 
@@ -241,7 +243,7 @@ def rhetoric_calibration(df: DataFrame, by: str = "voice", text: str = "text", m
     x = df.where(F.col(by).isNotNull() & t.isNotNull()).select(by, F.size(T.words_unicode(t)).alias("n"), rate(t, P.WH_CLEFT).alias("c"), rate(t, P.ANTITHESIS).alias("a"))
     long_ = F.when(F.col("n") >= min_words, F.lit(1))
     c, a = F.col("c") * long_, F.col("a") * long_  # null, and so out of the aggregates, where too short
-    x = x.select(by, long_.alias("one"), c.alias("c"), a.alias("a"))
+    x = checkpointed(x.select(by, long_.alias("one"), c.alias("c"), a.alias("a")))
     q = group_quantiles(x, [by], {"c95": ("c", "floor", 0.95), "a95": ("a", "floor", 0.95), "c25": ("c", "floor", 0.25), "a25": ("a", "floor", 0.25)})
     y = x.groupBy(by).agg(F.count("one").alias("n_pieces")).join(q, by)
     some = F.col("n_pieces") > 0
@@ -259,6 +261,7 @@ def quality_calibration(df: DataFrame, by: str = "voice", text: str = "text", mi
     t = F.col(text)
     q = quality_columns(t)
     x = df.where(F.col(by).isNotNull() & t.isNotNull()).where(F.size(T.words_ascii(t)) >= min_words).select(by, q["density"].alias("d"), q["specificity"].alias("s"))
+    x = checkpointed(x)
     q = group_quantiles(x, [by], {"density_p25": ("d", "floor", 0.25), "specificity_p25": ("s", "floor", 0.25), "density_median": ("d", "linear", 0.5), "specificity_median": ("s", "linear", 0.5)})
     return x.groupBy(by).agg(F.count("*").alias("n_pieces")).where(F.col("n_pieces") >= min_pieces).join(q, by)
 
@@ -268,6 +271,7 @@ def presence_calibration(df: DataFrame, by: str = "voice", text: str = "text") -
     t = F.col(text)
     p = presence_columns(t)
     x = df.where(F.col(by).isNotNull() & t.isNotNull()).where(F.size(T.words_unicode(t)) >= P.ABSENCE_WORDS).select(by, *(p[k].alias(k) for k in P.PRESENCE))
+    x = checkpointed(x)
     q = group_quantiles(x, [by], {f"{k}_median": (k, "linear", 0.5) for k in P.PRESENCE} | {f"{k}_floor": (k, "even", 0.25) for k in P.FIELD_FLOOR})
     med = [F.round(f"{k}_median", 3).alias(f"{k}_median") for k in P.PRESENCE]
     floor = [F.round(F.greatest(f"{k}_floor", F.lit(f)), 3).alias(f"{k}_floor") for k, f in P.FIELD_FLOOR.items()]

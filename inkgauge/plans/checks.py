@@ -293,11 +293,11 @@ def rewrite_findings(s, d):
 @query("verdict_tiers")
 def verdict_tiers(s, d):
     """Findings of every draft in tiers: fingerprint, presence, quality, tells, shapes against its voice's calibrations."""
-    from inkgauge.plans.style import accepted_units, candidate_units, doc_units  # noqa: F401
+    from inkgauge.plans.style import calibration_units, candidate_units
 
     c = drafts(s, d)
     t = F.col("text")
-    u = C.usable(doc_units(s, d))
+    u = calibration_units(s, d)
     base = C.baselines(C.leave_one_out(u)).drop("n_pieces")
     dist = C.with_distance(candidate_units(s, d), C.fingerprint(u)).join(base, "voice").select("cand_id", C.fit_state(F.col("rmsz"), F.col("fit_threshold"), F.col("self_baseline"), C.worst_features()).alias("fit"))
     docs = table(s, d, "documents")

@@ -15,7 +15,7 @@ from inkgauge.operators import calibrate as C
 from inkgauge.plans import sqlkit as S
 from inkgauge.plans.checks import _PHRASES, _SLEN, _TELLS, _TESTED, _WORDS_TESTED, _even, drafts, edits
 from inkgauge.plans.registry import query
-from inkgauge.plans.style import _CAND, _CANDF, _FP, _LOO, candidate_units, doc_units
+from inkgauge.plans.style import _CAND, _CANDF, _FP, _LOO, calibration_units, candidate_units
 from inkgauge.session import table
 from inkgauge.sources import io
 from inkgauge.streaming import scorer
@@ -119,7 +119,7 @@ def accepted_anchors(s, d):
 
 
 def _doc_counts(s, d):
-    return C.usable(doc_units(s, d)).groupBy(F.col("voice").alias("source")).agg(F.count("*").alias("n"))
+    return calibration_units(s, d).groupBy(F.col("voice").alias("source")).agg(F.count("*").alias("n"))
 
 
 _PARTS = "pt0 as (select slug, unnest(compose_from).profile as source, unnest(compose_from).weight as weight, unnest(range(0, len(compose_from))) as pos from profiles), pt as (select slug, source, weight from (select *, row_number() over (partition by slug, source order by pos) as rn from pt0 where source <> slug and weight > 0) where rn = 1 and source in (select slug from profiles))"
@@ -173,7 +173,7 @@ _WSU = ", ".join(f"sqrt(sum(wt * pow({f} - {f}_m, 2)) / sum(wt)) as {f}_s" for f
     + f") select slug, n_pieces, feature, {S.r6('m')} as mean, {S.r6('sd')} as std from l",
 )
 def composite_fingerprint(s, d):
-    u = C.usable(doc_units(s, d))
+    u = calibration_units(s, d)
     sh = blend.shares(blend.usable_parts(table(s, d, "profiles")), u.groupBy(F.col("voice").alias("source")).agg(F.count("*").alias("n")))
     fp = C.weighted_fingerprint(blend.weighted_units(u, sh), by="slug")
     return C.fingerprint_long(fp, by="slug").select("slug", "n_pieces", "feature", R(F.col("mean")).alias("mean"), R(F.col("std")).alias("std"))
@@ -195,9 +195,15 @@ def blended_anchors(s, d):
 # --- slates ---
 
 
+def first_rows(c):
+    """One row per cand_id: of repeated rows, whose scores may differ, the earliest, then the one of the lowest rmsz."""
+    w = Window.partitionBy("cand_id").orderBy(F.col("created_at").asc_nulls_last(), F.col("rmsz").asc_nulls_last())
+    return c.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "created_at")
+
+
 def slate(s, d):
     """Distinct drafts with a distance, their number of hard flags, and their voice's threshold and baseline."""
-    c = table(s, d, "candidates").where("text is not null and voice is not null and rmsz is not null").select("cand_id", "task_id", "cand_idx", "voice", "rmsz", "text").dropDuplicates(["cand_id"])
+    c = first_rows(table(s, d, "candidates").where("text is not null and voice is not null and rmsz is not null").select("cand_id", "task_id", "cand_idx", "voice", "rmsz", "text", "created_at"))
     return c.select("cand_id", "task_id", "cand_idx", "voice", "rmsz", F.size(fidelity.hard_flags(F.col("text"))).alias("n_flags"))
 
 
@@ -210,7 +216,7 @@ _SLATE = f"{_CAND.replace('text is not null and voice is not null', 'text is not
 @query("gate_survivors", f"{_LOO}, {_SLATE} select cand_id, {S.r6('rmsz')} as rmsz, {S.r6('coalesce(p.max_rmsz, b.fit_threshold)')} as rmsz_max from sl left join base b using (voice) left join profiles p on p.slug = sl.voice where rmsz <= coalesce(p.max_rmsz, b.fit_threshold)")
 def gate_survivors(s, d):
     """Drafts within their profile's limit, or within the voice's 95th percentile where the profile sets none."""
-    base = C.baselines(C.leave_one_out(C.usable(doc_units(s, d)))).drop("n_pieces")
+    base = C.baselines(C.leave_one_out(calibration_units(s, d))).drop("n_pieces")
     p = table(s, d, "profiles").select(F.col("slug").alias("voice"), F.coalesce(F.col("max_rmsz").cast("string"), F.lit("auto")).alias("setting"))
     x = slate(s, d).join(p, "voice", "left").join(base, "voice", "left").withColumn("limit", gate.threshold(F.coalesce("setting", F.lit("auto")), F.col("fit_threshold"), F.col("self_baseline")))
     return gate.survivors(x, F.col("limit")).select("cand_id", R(F.col("rmsz")).alias("rmsz"), R(F.col("limit")).alias("rmsz_max"))
@@ -223,7 +229,7 @@ def pareto_front(s, d):
 
 @query("least_bad", f"{_LOO}, {_SLATE}, r as (select cand_id, task_id, row_number() over (partition by task_id order by n_flags, case when b.self_baseline > 0 then abs(rmsz - b.self_baseline) else rmsz end, cand_idx) as rn from sl left join base b using (voice)) select task_id, cand_id from r where rn = 1")
 def least_bad(s, d):
-    base = C.baselines(C.leave_one_out(C.usable(doc_units(s, d)))).select("voice", "self_baseline")
+    base = C.baselines(C.leave_one_out(calibration_units(s, d))).select("voice", "self_baseline")
     x = slate(s, d).join(base, "voice", "left")
     return gate.least_bad(x, F.coalesce("self_baseline", F.lit(0.0)), hard="n_flags", mode="band").select("task_id", "cand_id")
 
@@ -234,14 +240,14 @@ def least_bad(s, d):
     f"pr as (select a.task_id, avg(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda q: pow(q[1] - q[2], 2))) / {len(P.SURFACE)}.0)) as spread from zz a join zz b on a.task_id = b.task_id and a.cand_id < b.cand_id group by a.task_id) select task_id, n_units, {S.r6('coalesce(spread, 0.0)')} as spread from n left join pr using (task_id)",
 )
 def slate_spread(s, d):
-    z = C.with_distance(candidate_units(s, d), C.fingerprint(C.usable(doc_units(s, d))))
+    z = C.with_distance(candidate_units(s, d), C.fingerprint(calibration_units(s, d)))
     return gate.slate_spread(z, P.SURFACE, order="cand_id").select("task_id", "n_units", R(F.col("spread")).alias("spread"))
 
 
 @query("slate_collapse")
 def slate_collapse(s, d):
     """Slates that spread less than half as wide as their voice's documents."""
-    u = C.usable(doc_units(s, d))
+    u = calibration_units(s, d)
     z = C.with_distance(candidate_units(s, d), C.fingerprint(u))
     voice = z.groupBy("task_id").agg(F.min("voice").alias("voice"))
     own = C.corpus_spread(u, "doc_id").select("voice", F.col("spread").alias("corpus_spread"))
@@ -333,7 +339,7 @@ _ONE = "one as (select * from (select *, row_number() over (partition by cand_id
 
 
 def scored(s, d):
-    c = table(s, d, "candidates").select("cand_id", "task_id", "cand_idx", "voice", "rmsz", "detector_score", "emdash_fixed").dropDuplicates(["cand_id"])
+    c = first_rows(table(s, d, "candidates").select("cand_id", "task_id", "cand_idx", "voice", "rmsz", "detector_score", "emdash_fixed", "created_at"))
     return c.withColumn("machine", F.col("emdash_fixed") > 0)
 
 
@@ -488,7 +494,7 @@ def profile_listing(s, d):
 
 @query("doctor", f"{_LOO} select b.voice, b.n_pieces, case when b.n_pieces < 39 then 'thin' else 'ok' end as density, case when p.max_rmsz < 0.75 * b.fit_threshold then 'tight' else 'ok' end as gate from base b left join profiles p on p.slug = b.voice")
 def doctor(s, d):
-    base = C.baselines(C.leave_one_out(C.usable(doc_units(s, d))))
+    base = C.baselines(C.leave_one_out(calibration_units(s, d)))
     p = table(s, d, "profiles").select(F.col("slug").alias("voice"), "max_rmsz")
     x = base.join(p, "voice", "left")
     return x.select("voice", "n_pieces", F.when(F.col("n_pieces") < 3 * len(P.SURFACE), "thin").otherwise("ok").alias("density"), F.when(F.col("max_rmsz") < F.col("fit_threshold") * 0.75, "tight").otherwise("ok").alias("gate"))
@@ -502,7 +508,7 @@ def slugs(s, d):
 @query("streamed_scores")
 def streamed_scores(s, d):
     """Drafts scored as a stream against static calibrations, to a table in the shared folder."""
-    u = C.usable(doc_units(s, d))
+    u = calibration_units(s, d)
     fp, base = C.fingerprint(u), C.baselines(C.leave_one_out(u))
     src = table(s, d, "candidates").select("cand_id", "voice", "text", "created_at")
     root = (s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkgauge-stream")) + f"/stream-{uuid.uuid4().hex}"

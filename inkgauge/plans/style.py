@@ -12,7 +12,7 @@ from inkgauge.operators import chunking, evalstats, feedback
 from inkgauge.operators import features as X
 from inkgauge.plans import sqlkit as S
 from inkgauge.plans.registry import query
-from inkgauge.session import table
+from inkgauge.session import checkpointed, table
 
 R = T.rounded
 
@@ -23,9 +23,17 @@ def doc_units(s: SparkSession, d: str, **options) -> DataFrame:
     return X.with_features(docs, **options).drop("text")
 
 
+def calibration_units(s: SparkSession, d: str) -> DataFrame:
+    """The features of usable documents, written once: calibration, leave-one-out and scoring read them several times.
+
+    A row of features is some hundred bytes, whatever its text.
+    """
+    return checkpointed(C.usable(doc_units(s, d)))
+
+
 def doc_fit(s: SparkSession, d: str) -> DataFrame:
     """Documents of voices with a fingerprint: z columns, rmsz, and the voice's baseline and threshold."""
-    u = C.usable(doc_units(s, d))
+    u = calibration_units(s, d)
     fp = C.fingerprint(u)
     base = C.baselines(C.leave_one_out(u)).drop("n_pieces")
     return C.with_distance(u, fp).join(base, "voice")
@@ -50,12 +58,12 @@ def surface_features(s, d):
 
 @query("author_fingerprint", f"{_FP}, l as (" + " union all ".join(f"select voice, n_pieces, '{f}' as feature, {f}_m as m, {f}_s as sd from fp" for f in P.SURFACE) + f") select voice, n_pieces, feature, {S.r6('m')} as mean, {S.r6('sd')} as std from l")
 def author_fingerprint(s, d):
-    return C.fingerprint_long(C.fingerprint(C.usable(doc_units(s, d)))).select("voice", "n_pieces", "feature", R(F.col("mean")).alias("mean"), R(F.col("std")).alias("std"))
+    return C.fingerprint_long(C.fingerprint(calibration_units(s, d))).select("voice", "n_pieces", "feature", R(F.col("mean")).alias("mean"), R(F.col("std")).alias("std"))
 
 
 @query("style_distance", f"{_DIST} select doc_id, voice, {S.r6('rmsz')} as rmsz from dist")
 def style_distance(s, d):
-    u = C.usable(doc_units(s, d))
+    u = calibration_units(s, d)
     return C.with_distance(u, C.fingerprint(u)).select("doc_id", "voice", R(F.col("rmsz")).alias("rmsz"))
 
 
@@ -69,7 +77,7 @@ def off_voice_docs(s, d):
     f"{_FP}, l as (" + " union all ".join(f"select x.doc_id, '{f}' as feature, {i} as idx, {S.z(f)} as z from u x join fp y using (voice)" for i, f in enumerate(P.SURFACE)) + f"), r as (select *, row_number() over (partition by doc_id order by round(abs(z), 9) desc, idx) as rank from l) select doc_id, rank, feature, {S.r6('z')} as z from r where rank <= 3",
 )
 def worst_features_top3(s, d):
-    u = C.usable(doc_units(s, d))
+    u = calibration_units(s, d)
     x = C.with_distance(u, C.fingerprint(u))
     x = x.withColumns({f"{f}__z": F.round(F.col(f"{f}__z"), 9) for f in P.SURFACE})
     return x.select("doc_id", F.posexplode(C.worst_features()).alias("i", "w")).select("doc_id", (F.col("i") + 1).cast("long").alias("rank"), "w.feature", R(F.col("w.z")).alias("z"))
@@ -77,7 +85,7 @@ def worst_features_top3(s, d):
 
 @query("loo_baseline", f"{_LOO} select voice, n_pieces, {S.r6('self_baseline')} as self_baseline, {S.r6('fit_threshold')} as fit_threshold from base")
 def loo_baseline(s, d):
-    return C.baselines(C.leave_one_out(C.usable(doc_units(s, d)))).select("voice", "n_pieces", R(F.col("self_baseline")).alias("self_baseline"), R(F.col("fit_threshold")).alias("fit_threshold"))
+    return C.baselines(C.leave_one_out(calibration_units(s, d))).select("voice", "n_pieces", R(F.col("self_baseline")).alias("self_baseline"), R(F.col("fit_threshold")).alias("fit_threshold"))
 
 
 _STATS = ", ".join(f"avg({f}) as {f}_m, coalesce(stddev_samp({f}), 0.0) as {f}_s" for f in P.SURFACE)
@@ -90,18 +98,18 @@ _PAIR = "sqrt((" + " + ".join(f"pow(case when y.{f}_s > 1e-9 then (a.{f} - b.{f}
     f"select y.voice, any_value(y.n_units) as n_units, {S.r6(f'coalesce(avg({_PAIR}), 0.0)')} as spread from st y left join smp a on a.voice = y.voice left join smp b on b.voice = y.voice and a.rn < b.rn where b.rn is not null or y.n_units = 1 group by y.voice",
 )
 def corpus_spread(s, d):
-    return C.corpus_spread(C.usable(doc_units(s, d)), "doc_id").select("voice", "n_units", R(F.col("spread")).alias("spread"))
+    return C.corpus_spread(calibration_units(s, d), "doc_id").select("voice", "n_units", R(F.col("spread")).alias("spread"))
 
 
 @query("calibration_confidence", f"{_FP} select voice, n_pieces, case when n_pieces < 13 then 'very thin' when n_pieces < 39 then 'thin' else 'ok' end as confidence from fp")
 def calibration_confidence(s, d):
-    return C.fingerprint(C.usable(doc_units(s, d))).select("voice", "n_pieces", C.confidence(F.col("n_pieces"), len(P.SURFACE)).alias("confidence"))
+    return C.fingerprint(calibration_units(s, d)).select("voice", "n_pieces", C.confidence(F.col("n_pieces"), len(P.SURFACE)).alias("confidence"))
 
 
 def accepted_units(s, d) -> DataFrame:
     """Features of the distinct accepted drafts, with how many newer ones their voice has."""
     log = feedback.with_steps_back(table(s, d, "accepted_log").where("text is not null"))
-    return X.with_features(log.select("id", "voice", "seq", "steps_back", "text")).drop("text")
+    return checkpointed(X.with_features(log.select("id", "voice", "seq", "steps_back", "text")).drop("text"))
 
 
 _ACC = "acc0 as (select * from (select *, row_number() over (partition by voice, seq order by id) as k from accepted_log where text is not null and voice is not null) where k = 1), acc as (select *, row_number() over (partition by voice order by seq desc) - 1 as steps_back from acc0)"
@@ -118,7 +126,7 @@ _WSD = ", ".join(f"sqrt(sum(wt * pow({f} - {f}_m, 2)) / sum(wt)) as {f}_s" for f
     + f") select voice, n_pieces, feature, {S.r6('m')} as mean, {S.r6('sd')} as std from l",
 )
 def recency_recalibration(s, d):
-    one = C.usable(doc_units(s, d)).select("voice", F.lit(1.0).alias("weight"), *P.SURFACE)
+    one = calibration_units(s, d).select("voice", F.lit(1.0).alias("weight"), *P.SURFACE)
     acc = C.usable(accepted_units(s, d)).select("voice", C.recency_weight(F.col("steps_back")).alias("weight"), *P.SURFACE)
     return C.fingerprint_long(C.weighted_fingerprint(one.unionByName(acc))).select("voice", "n_pieces", "feature", R(F.col("mean")).alias("mean"), R(F.col("std")).alias("std"))
 
@@ -130,7 +138,7 @@ _CANDF = S.feature_cte("c0", "cand_id", "task_id, cand_idx, voice", name="cf")
 def candidate_units(s, d) -> DataFrame:
     """Features of the distinct drafts with a text and a voice."""
     c = table(s, d, "candidates").where("text is not null and voice is not null").select("cand_id", "task_id", "cand_idx", "voice", "text").dropDuplicates(["cand_id"])
-    return X.with_features(c).drop("text")
+    return checkpointed(X.with_features(c).drop("text"))
 
 
 @query(
@@ -138,7 +146,7 @@ def candidate_units(s, d) -> DataFrame:
     f"{_FP}, {_ACC}, {_ACCF}, {_CAND}, {_CANDF}, tm as (select voice, {', '.join(f'avg({f}) as {f}_m' for f in P.SURFACE)} from af group by voice), tg as (select tm.*, {', '.join(f'fp.{f}_s' for f in P.SURFACE)} from tm join fp using (voice)) select x.cand_id, {S.r6(S.rms())} as distance from cf x join tg y using (voice)",
 )
 def accepted_target_distance(s, d):
-    fp = C.fingerprint(C.usable(doc_units(s, d)))
+    fp = C.fingerprint(calibration_units(s, d))
     target = C.accepted_target(accepted_units(s, d), fp)
     return C.with_distance(candidate_units(s, d), target).select("cand_id", R(F.col("rmsz")).alias("distance"))
 
@@ -197,7 +205,7 @@ def cadence_fit(s, d) -> DataFrame:
 @query("cadence_gap_audit")
 def cadence_gap_audit(s, d):
     """Per voice: leave-one-out cadence distance of its documents, cadence distance of its accepted drafts, the gap."""
-    u = C.usable(cadence_fit(s, d))
+    u = checkpointed(C.usable(cadence_fit(s, d)))
     own = C.leave_one_out(u, P.CADENCE).groupBy("voice").agg(F.avg("loo").alias("corpus"))
     acc = table(s, d, "accepted_log").where("text is not null and voice is not null").dropDuplicates(["voice", "seq"])
     acc = acc.where(F.size(T.tokens(F.col("text"))) >= 80).select("id", "voice", "text")
@@ -210,7 +218,7 @@ def cadence_gap_audit(s, d):
 
 @query("cadence_distance")
 def cadence_distance(s, d):
-    u = C.usable(cadence_fit(s, d))
+    u = checkpointed(C.usable(cadence_fit(s, d)))
     every = P.SURFACE + P.CADENCE
     x = C.with_distance(u, C.fingerprint(u, every), every)
     return x.select("doc_id", "voice", R(F.col("rmsz")).alias("rmsz"), R(C.cadence_rms()).alias("cadence_rmsz"))
@@ -220,11 +228,11 @@ def cadence_distance(s, d):
 def blindness_probe(s, d):
     """Mean distances of control, ramp and shuffled sentence orders under surface and cadence fingerprints."""
     docs = table(s, d, "documents").where("text is not null and voice is not null").select("doc_id", "voice", "text")
-    u = C.usable(X.with_features(docs, cadence=True)).drop("text")
+    u = checkpointed(C.usable(X.with_features(docs, cadence=True)).drop("text"))
     out = None
     for how in ("control", "ramp", "shuffle"):
         x = X.with_features(docs.withColumn("text", chunking.perturbed(T.sentences(F.col("text")), how)), cadence=True)
-        x = C.usable(x).drop("text")
+        x = checkpointed(C.usable(x).drop("text"))
         a = C.with_distance(x, C.fingerprint(u), P.SURFACE).groupBy("voice").agg(F.avg("rmsz").alias("surface"))
         b = C.with_distance(x, C.fingerprint(u, P.CADENCE), P.CADENCE).groupBy("voice").agg(F.avg("rmsz").alias("cadence"))
         y = a.join(b, "voice").select("voice", F.lit(how).alias("order"), R(F.col("surface")).alias("surface"), R(F.col("cadence")).alias("cadence"))
@@ -242,7 +250,7 @@ def held_out_eval(s, d):
     docs = table(s, d, "documents").where("text is not null and voice is not null").select("doc_id", "voice", "text")
     w = Window.partitionBy("voice").orderBy(F.length("text").desc(), "doc_id")
     held = docs.withColumn("rn", F.row_number().over(w)).where("rn <= 5")
-    z = C.with_distance(X.with_features(held).drop("text"), C.fingerprint(C.usable(doc_units(s, d))))
+    z = C.with_distance(X.with_features(held).drop("text"), C.fingerprint(calibration_units(s, d)))
     rows = F.array(*(F.struct(F.lit(f).alias("feature"), F.abs(F.col(f"{f}__z")).alias("az")) for f in P.SURFACE))
     return z.select("voice", F.explode(rows).alias("r")).groupBy("voice", "r.feature").agg(F.count("*").alias("n"), R(F.avg("r.az")).alias("mean_abs_z"))
 
@@ -260,7 +268,7 @@ def false_alarm_rates(s, d):
 
 @query("distinctive_cluster")
 def distinctive_cluster(s, d):
-    u = C.usable(doc_units(s, d))
+    u = calibration_units(s, d)
     return evalstats.cluster_pick(C.with_distance(u, C.fingerprint(u)), P.SURFACE, "doc_id").select("doc_id", R(F.col("distance")).alias("distance"))
 
 
@@ -285,7 +293,7 @@ ADVICE = {
 @query("cadence_hints")
 def cadence_hints(s, d):
     """The advice for the worst cadence feature of every usable document."""
-    u = C.usable(cadence_fit(s, d))
+    u = checkpointed(C.usable(cadence_fit(s, d)))
     x = C.with_distance(u, C.fingerprint(u, P.CADENCE), P.CADENCE)
     x = x.select("doc_id", C.worst_features(P.CADENCE, 1)[0].alias("w")).select("doc_id", "w.feature", "w.z")
     hint = F.create_map(*(v for k, (hi, lo) in ADVICE.items() for v in (F.lit(k), F.struct(F.lit(hi).alias("hi"), F.lit(lo).alias("lo")))))
