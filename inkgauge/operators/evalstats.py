@@ -37,7 +37,9 @@ def detector_threshold(df: DataFrame, machine: str, score: str, by: str, fpr: fl
     s = s.join(cut, by)
     s = s.join(auroc(x, machine, score, by).select(by, "auroc"), by)
     low = F.col("auroc") >= 0.5
-    return s.select(by, "n_human", "n_ai", F.round(F.when(low, F.col("low")).otherwise(F.col("high")), 5).alias("threshold"), F.when(low, "low_is_machine").otherwise("high_is_machine").alias("direction"), F.round(F.greatest("auroc", 1 - F.col("auroc")), 4).alias("auroc"), F.round("hm", 5).alias("human_mean"), F.round("hs", 5).alias("human_stdev"), F.round("am", 5).alias("ai_mean"), F.round("as_", 5).alias("ai_stdev"))
+    # scores have few decimals, so means may lie on a half: 12 places first, or the order of summing decides
+    steady = lambda c: F.round(F.round(c, 12), 5)
+    return s.select(by, "n_human", "n_ai", F.round(F.when(low, F.col("low")).otherwise(F.col("high")), 5).alias("threshold"), F.when(low, "low_is_machine").otherwise("high_is_machine").alias("direction"), F.round(F.greatest("auroc", 1 - F.col("auroc")), 4).alias("auroc"), steady("hm").alias("human_mean"), steady("hs").alias("human_stdev"), steady("am").alias("ai_mean"), steady("as_").alias("ai_stdev"))
 
 
 def detector_label(score: Column, n_tokens: Column, threshold: Column, direction: Column, least: int = 48) -> Column:

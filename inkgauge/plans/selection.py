@@ -362,7 +362,7 @@ _PCT = lambda p: f"list_sort(list(s) filter (where not m))[round_even({p} * (cou
     f"with {_ONE}, x as (select voice, emdash_fixed > 0 as m, detector_score as s from one where detector_score is not null and voice is not null and emdash_fixed is not null), "
     f"g as (select voice, count_if(not m)::bigint as n_human, count_if(m)::bigint as n_ai, avg(s) filter (where not m) as hm, coalesce(stddev_samp(s) filter (where not m), 0.0) as hs, avg(s) filter (where m) as am, coalesce(stddev_samp(s) filter (where m), 0.0) as sa, {_PCT('0.05')} as low, {_PCT('0.95')} as high from x group by voice having count_if(not m) >= 3 and count_if(m) >= 3), "
     "w as (select a.voice, sum(case when a.s < h.s then 1.0 when a.s = h.s then 0.5 else 0.0 end) / count(*) as auc from x a join x h on a.voice = h.voice and a.m and not h.m group by a.voice) "
-    "select voice, n_human, n_ai, round(case when auc >= 0.5 then low else high end, 5) + 0.0 as threshold, case when auc >= 0.5 then 'low_is_machine' else 'high_is_machine' end as direction, round(greatest(auc, 1 - auc), 4) + 0.0 as auroc, round(hm, 5) + 0.0 as human_mean, round(hs, 5) + 0.0 as human_stdev, round(am, 5) + 0.0 as ai_mean, round(sa, 5) + 0.0 as ai_stdev from g join w using (voice)",
+    "select voice, n_human, n_ai, round(case when auc >= 0.5 then low else high end, 5) + 0.0 as threshold, case when auc >= 0.5 then 'low_is_machine' else 'high_is_machine' end as direction, round(greatest(auc, 1 - auc), 4) + 0.0 as auroc, round(round(hm, 12), 5) + 0.0 as human_mean, round(round(hs, 12), 5) + 0.0 as human_stdev, round(round(am, 12), 5) + 0.0 as ai_mean, round(round(sa, 12), 5) + 0.0 as ai_stdev from g join w using (voice)",
 )
 def detector_threshold(s, d):
     return evalstats.detector_threshold(scored(s, d).where("voice is not null and machine is not null"), "machine", "detector_score", "voice", fpr=0.05)
