@@ -238,6 +238,7 @@ def nearest_vectors(chunks: DataFrame, k: int = K, dim: int = DIM, shard_rows: i
         by: dict[bytes, tuple[int, set[str]]] = {}
         for j, (key, ids) in enumerate(zip(t.column("vkey").to_pylist(), t.column("ids").to_pylist(), strict=True)):
             by.setdefault(key, (j, set()))[1].update(ids)
+        by = dict(sorted(by.items()))  # rows arrive in any order; the graph is the same
         vec = t.column("vec")
         raw = unpack([vec[j].as_py() for j, _ in by.values()], dim)
         ids = [sorted(v)[: KEPT_IDS + 1] for _, v in by.values()]
