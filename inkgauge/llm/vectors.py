@@ -1,8 +1,10 @@
 """Problem 5: the k most similar vectors of every vector, by pruned graphs.
 
 Equal vectors are one class. Classes are routed to the SPREAD nearest of
-n_shards centroids (fitted on a bounded sample) and each shard builds a
-directed graph: vectors enter in tiles; greedy beam searches over the graph so
+n_shards centroids (fitted on a bounded sample) and to all within a margin of
+the nearest. The margin is the least at which REACH of the neighbours within
+held-out sample rows share a shard, so it grows with the number of shards as
+the data needs it. Each shard builds a directed graph: vectors enter in tiles; greedy beam searches over the graph so
 far propose neighbours; relaxed distance pruning keeps an edge p -> q unless a
 kept, closer neighbour r of p has ALPHA * d(r, q) <= d(p, q); reverse edges are
 added and pruned alike. Then a beam search asks the finished graph for every
@@ -29,6 +31,7 @@ DIM, K = 384, 5
 DEGREE, BEAM, ALPHA, TILE = 20, 32, 1.2, 256
 SHARD_ROWS, SPREAD, SAMPLE_ROWS = 4000, 2, 20_000
 SUB_SAMPLE = 40
+REACH, REACH_ROWS = 0.99, 2000
 KEPT_IDS = 6  # of a class; more copies than that are answered by these
 SEED = 11
 
@@ -187,12 +190,51 @@ def fit_centroids(sample: np.ndarray, n: int, rounds: int = 8, seed: int = SEED)
     return c.astype(np.float32)
 
 
+def within(x: np.ndarray, c: np.ndarray, margin: float, least: int) -> np.ndarray:
+    """For unit vectors x whether each centroid is among the ``least`` nearest or within the margin of the nearest, a share of its squared distance."""
+    d = np.maximum(2 - 2 * (x @ c.T), 0)
+    kth = np.partition(d, least - 1, axis=1)[:, least - 1]
+    return (d <= kth[:, None]) | (d <= (1 + margin) * d.min(axis=1, keepdims=True))
+
+
+def fit_margin(held: np.ndarray, c: np.ndarray, least: int, k: int = K, reach: float = REACH) -> float:
+    """The least margin at which the share ``reach`` of the k nearest of held rows (that c wasn't fitted on) among each other meet.
+
+    Rows of a sample lie further apart than those of the whole, so it is rather too wide than too narrow.
+    """
+    if len(c) <= least:
+        return 0.0
+    k = min(k, len(held) - 1)
+    if k < 1:
+        return float("inf")
+    d = np.maximum(2 - 2 * (held @ c.T), 0)
+    kth = np.partition(d, least - 1, axis=1)[:, least - 1]
+    enter = np.where(d <= kth[:, None], 0, d / np.maximum(d.min(axis=1, keepdims=True), 1e-9) - 1)  # the margin at which a row enters a shard
+    asked = held[:REACH_ROWS]
+    s = asked @ held.T
+    s[np.arange(len(asked)), np.arange(len(asked))] = -9
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    meet = np.concatenate([np.maximum(enter[i], enter[near[i]]).min(axis=1) for i in range(len(asked))])
+    return float(np.quantile(meet, reach, method="higher")) * (1 + 1e-6)
+
+
+def fit_shards(sample: np.ndarray, n: int, least: int) -> tuple[np.ndarray, float, float]:
+    """n centroids, fitted on three of four sample rows, their margin by the fourth, and the shards that a row then enters on average."""
+    sample = np.unique(sample, axis=0)
+    sample = sample[np.random.default_rng(SEED).permutation(len(sample))]
+    held = sample[::4]
+    c = fit_centroids(np.delete(sample, np.s_[::4], axis=0) if len(sample) > 4 * n else sample, n)
+    margin = fit_margin(held, c, min(least, n))
+    return c, margin, float(within(held, c, margin, min(least, n)).sum(axis=1).mean())
+
+
 def nearest_vectors(chunks: DataFrame, k: int = K, dim: int = DIM, shard_rows: int = SHARD_ROWS, spread: int = SPREAD, sample_rows: int = SAMPLE_ROWS, beam: int = BEAM) -> DataFrame:
     """(id, neighbor, rank, cos): for each id with a usable vector its k most similar other ids.
 
     Usable: dim finite values, not all zero. Repeated rows of an id are one.
     Ties in cosine go to the smaller id. sample_rows bounds the sample that the
-    shards' centroids are fitted on; every vector is indexed.
+    shards' centroids are fitted on; every vector is indexed, in the spread
+    nearest shards and in all within the margin.
     """
     if k >= KEPT_IDS:
         raise ValueError(f"k must be below {KEPT_IDS}")
@@ -206,8 +248,16 @@ def nearest_vectors(chunks: DataFrame, k: int = K, dim: int = DIM, shard_rows: i
         got = src.where(F.size("embedding") == dim).select("embedding").sample(fraction=min(1.0, sample_rows / n), seed=SEED).limit(2 * sample_rows)
         sample = np.stack([np.zeros(dim, np.float32), *(np.array(r[0], dtype=np.float32) for r in got.toLocalIterator())])
         sample = unit(sample[np.isfinite(sample).all(axis=1) & (sample != 0).any(axis=1)])
-        shards = min(shards, max(1, len(sample) // 4))
-    centroids = spark.sparkContext.broadcast(fit_centroids(sample, shards) if shards > 1 else None)  # at most sample_rows // 20 vectors
+        shards = min(shards, max(1, len(np.unique(sample, axis=0)) // 4))
+    fitted, margin, mean = fit_shards(sample, shards, spread) if shards > 1 else (None, 0.0, 1.0)
+    more = round(n * mean / (spread * shard_rows))
+    if shards > 1 and more > 1.25 * wanted:  # rows that enter more shards need more of them, for shards of one size
+        finer = min(more, max(1, sample_rows // 20), max(1, len(np.unique(sample, axis=0)) // 4))
+        again = fit_shards(sample, finer, spread)
+        if again[2] ** 2 / finer < mean**2 / shards:  # what all shards compare
+            shards, (fitted, margin, mean) = finer, again
+        wanted = more
+    centroids = spark.sparkContext.broadcast(fitted)  # at most sample_rows // 20 vectors
     ways = min(spread, shards)
 
     def route(b):
@@ -219,18 +269,17 @@ def nearest_vectors(chunks: DataFrame, k: int = K, dim: int = DIM, shard_rows: i
         if not by:
             return None
         at = [j for j, _ in by.values()]
-        rows = pa.array(np.repeat(np.arange(len(at)), ways))
         if centroids.value is None:
-            near = np.zeros(len(at), dtype=np.int32)
+            rows, near = np.arange(len(at)), np.zeros(len(at), dtype=np.int32)
         else:
-            s = unit(x[at]) @ centroids.value.T
-            near = np.argpartition(-s, ways - 1, axis=1)[:, :ways].ravel().astype(np.int32)
+            rows, near = np.nonzero(within(unit(x[at]), centroids.value, margin, ways))
+        rows = pa.array(rows)
         kept = pa.array([sorted(v)[: KEPT_IDS + 1] for _, v in by.values()], type=pa.list_(pa.string()))
-        return {"shard": pa.array(near), "vkey": pa.array(list(by), type=pa.binary()).take(rows), "vec": pa.array([pack(x[j]) for j in at], type=pa.binary()).take(rows), "ids": kept.take(rows)}
+        return {"shard": pa.array(near.astype(np.int32)), "vkey": pa.array(list(by), type=pa.binary()).take(rows), "vec": pa.array([pack(x[j]) for j in at], type=pa.binary()).take(rows), "ids": kept.take(rows)}
 
     routed = map_rows(src, route, "shard int, vkey binary, vec binary, ids array<string>")
     if wanted > 1.5 * shards > 1.5:
-        routed = split_shards(routed, wanted / shards, n * ways, shard_rows, dim, ways)
+        routed = split_shards(routed, wanted / shards, shard_rows, dim, spread)
     near_type = pa.list_(pa.struct([("d", pa.float64()), ("neighbor", pa.string())]))
     schema = pa.schema([("vkey", pa.binary()), ("ids", pa.list_(pa.string())), ("near", near_type)])
 
@@ -270,33 +319,34 @@ def nearest_vectors(chunks: DataFrame, k: int = K, dim: int = DIM, shard_rows: i
     return picked.select("id", F.posexplode("near").alias("rank", "z")).select("id", F.col("z.neighbor").alias("neighbor"), (F.col("rank") + 1).alias("rank"), (-F.col("z.d")).alias("cos"))
 
 
-def split_shards(routed: DataFrame, parts: float, rows: int, shard_rows: int, dim: int, ways: int) -> DataFrame:
-    """Rows of too large shards, again routed to the nearest ``ways`` of their shard's own centroids.
+def split_shards(routed: DataFrame, parts: float, shard_rows: int, dim: int, ways: int) -> DataFrame:
+    """Rows of too large shards, again routed to the nearest ``ways`` of their shard's own centroids and to all within its margin.
 
-    Each shard fits its centroids, one per shard_rows of its rows, on SUB_SAMPLE
-    sampled rows for each. Centroids then meet their shard's rows in sorted
+    Each shard fits its centroids, one per shard_rows of its rows, and its
+    margin on SUB_SAMPLE sampled rows for each. Centroids then meet their shard's rows in sorted
     partitions (centroids first), salted, so that rows stream by and a large
     shard is many tasks.
     """
     fraction = min(1.0, SUB_SAMPLE / shard_rows)
-    fit_schema = pa.schema([("shard", pa.int32()), ("vec", pa.binary())])
+    fit_schema = pa.schema([("shard", pa.int32()), ("vec", pa.binary()), ("margin", pa.float64())])
 
     def fit(t: pa.Table) -> pa.Table:
         x = unit(unpack(t.column("vec").to_pylist(), dim))
         k = max(1, min(len(x) // 4, round(len(x) / (fraction * shard_rows))))
-        c = fit_centroids(x, k)
-        return pa.table([pa.array([t.column("shard")[0].as_py()] * k, pa.int32()), pa.array([pack(v) for v in c], pa.binary())], schema=fit_schema)
+        k = max(1, min(k, len(np.unique(x, axis=0)) // 4))
+        c, margin, _ = fit_shards(x, k, ways)
+        return pa.table([pa.array([t.column("shard")[0].as_py()] * k, pa.int32()), pa.array([pack(v) for v in c], pa.binary()), pa.array([margin] * k)], schema=fit_schema)
 
-    centroids = checkpointed(routed.select("shard", "vec").sample(fraction=fraction, seed=SEED).groupBy("shard").applyInArrow(fit, "shard int, vec binary"))
+    centroids = checkpointed(routed.select("shard", "vec").sample(fraction=fraction, seed=SEED).groupBy("shard").applyInArrow(fit, "shard int, vec binary, margin double"))
     salts = max(1, min(64, round(parts)))
     none = F.lit(None)
-    first = centroids.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("flag"), none.cast("binary").alias("vkey"), "vec", none.cast("array<string>").alias("ids"))
-    then = routed.select("shard", F.pmod(F.xxhash64("vkey"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("flag"), "vkey", "vec", "ids")
+    first = centroids.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("flag"), none.cast("binary").alias("vkey"), "vec", none.cast("array<string>").alias("ids"), "margin")
+    then = routed.select("shard", F.pmod(F.xxhash64("vkey"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("flag"), "vkey", "vec", "ids", none.cast("double").alias("margin"))
     both = first.unionByName(then).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "flag")
     schema = pa.schema([("shard", pa.int64()), ("vkey", pa.binary()), ("vec", pa.binary()), ("ids", pa.list_(pa.string()))])
 
     def route(batches):
-        at, own = None, np.zeros((0, dim), np.float32)
+        at, own, margin = None, np.zeros((0, dim), np.float32), 0.0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -307,13 +357,12 @@ def split_shards(routed: DataFrame, parts: float, rows: int, shard_rows: int, di
                 x = unpack(b.column(4).slice(lo, hi - lo).to_pylist(), dim)
                 if flag == 0:
                     own = np.concatenate([own, x]) if at == (shard, salt) else x
-                    at = (shard, salt)
+                    at, margin = (shard, salt), b.column(6)[int(lo)].as_py()
                     continue
                 if at != (shard, salt):  # a shard so small that none of its rows was sampled
                     own, at = np.zeros((1, dim), np.float32), (shard, salt)
-                n = min(ways, len(own))
-                near = np.argpartition(-(unit(x) @ own.T), n - 1, axis=1)[:, :n].ravel()
-                i = pa.array(np.repeat(np.arange(lo, hi), n))
+                i, near = np.nonzero(within(unit(x), own, margin, min(ways, len(own))))
+                i = pa.array(i + lo)
                 yield pa.record_batch([pa.array(shard * 1_000_000 + near.astype(np.int64)), *(b.column(j).take(i) for j in (3, 4, 5))], schema=schema)
 
     return both.mapInArrow(route, "shard long, vkey binary, vec binary, ids array<string>")

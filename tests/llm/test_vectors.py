@@ -74,6 +74,21 @@ def test_nearest_recall_over_split_shards(spark, cloud):
     assert pairs == {(min(i, n), max(i, n)) for i, v in want.items() for n, c in v if c >= 0.8}
 
 
+@pytest.mark.parametrize("sizes", [{"shard_rows": 60}, {"shard_rows": 60, "sample_rows": 400}])
+def test_nearest_recall_holds_over_many_shards(spark, sizes):
+    """One cluster in many shards, by the sample's centroids or also by the shards' own: two shards a vector aren't enough."""
+    r = np.random.default_rng(7)
+    x = np.round((r.normal(size=(3000, 24)) @ r.normal(size=(24, 384)) + 0.3 * r.normal(size=(3000, 384))) / 10, 3).astype(np.float32)
+    ids = [f"v{k:04d}" for k in range(len(x))]
+    d = spark.createDataFrame([(i, "f", "v", v.tolist()) for i, v in zip(ids, x, strict=True)], SCHEMA)
+    got = {}
+    for z in vectors.nearest_vectors(d, **sizes).collect():
+        got.setdefault(z["id"], set()).add(z["neighbor"])
+    want = brute(ids, x.astype(np.float64), 5)
+    recall = sum(len(got[i] & {n for n, _ in want[i]}) for i in ids) / (5 * len(ids))
+    assert recall >= 0.9
+
+
 def test_nearest_edge_cases(spark, cloud):
     _, x = cloud
     a, b = x[0].tolist(), x[1].tolist()
