@@ -6,8 +6,9 @@
 2. Candidates share a band of MinHash values. Bands are as long as the
    threshold allows without missing more than 1 pair on it in 1,000; the
    longer they are, the fewer texts that share only common phrases meet. A
-   bucket of more than HOT representatives isn't joined but cut by further
-   bands, so that common boilerplate can't make all pairs of a hot bucket.
+   bucket of more than HOT representatives is joined in blocks that compare
+   sketches (step 3) on the spot, so that common boilerplate costs comparisons
+   but only what survives them is written.
 3. Candidates are compared by one byte per MinHash value, STEP values at a
    time, and dropped as soon as the posterior probability of reaching the
    threshold falls below EPSILON (uniform prior, binomial likelihood). Chance
@@ -31,7 +32,7 @@ from inkgauge.llm.lookalike import one_form
 from inkgauge.session import checkpointed
 
 N_HASH, N_SKETCH, STEP, EPSILON, MISSED = 160, 64, 16, 1e-4, 1e-3
-HOT = 256
+HOT, BLOCK = 256, 2048
 BROADCAST_ROWS = 300_000  # (rep, id) rows, some 15 MB; beyond, the texts are shuffled
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _rng = np.random.default_rng(20240501)
@@ -214,17 +215,61 @@ def _pairs_of(bands: DataFrame, hot: int) -> DataFrame:
     return bands.select("rep", "key").repartition("key").sortWithinPartitions("key").mapInArrow(scan, "a long, b long, hot boolean").distinct()
 
 
-def candidate_pairs(rep: DataFrame, hot: int = HOT) -> DataFrame:
-    """Distinct (a < b) of rows (rep, keys) that share a band; of a hot bucket, two bands."""
-    bands = _bands(rep)
-    found = checkpointed(_pairs_of(bands, hot))
+def close_sketches(x: np.ndarray, y: np.ndarray, steps: list[tuple[int, int]]):
+    """Of sketches x and y, some of x at a time, the index pairs that survive the incremental comparison."""
+    cols = np.ascontiguousarray(y.T)
+    step = max(1, 1_000_000 // max(1, len(y)))
+    for c in range(0, len(x), step):
+        part, done = x[c : c + step], steps[0][0]
+        same = np.zeros((len(part), len(y)), dtype=np.uint8)
+        for j in range(done):
+            same += part[:, j, None] == cols[j]
+        u, v = np.nonzero(same >= steps[0][1])
+        match = same[u, v].astype(np.int32)
+        for n, m in steps[1:]:
+            match += (part[u, done:n] == y[v, done:n]).sum(axis=1, dtype=np.int32)
+            keep = match >= m
+            u, v, match, done = u[keep], v[keep], match[keep], n
+        yield u + c, v
+
+
+def hot_pairs(big: DataFrame, rep: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Distinct (a < b) of rows (rep, key) of hot buckets whose sketches survive; every pair of a bucket is compared.
+
+    A bucket is cut by hash into blocks of some ``block`` rows, and every two
+    of them (and each with itself) meet in a group of their own.
+    """
+    steps = least_matches(threshold)
+    size = big.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    rows = big.join(size, "key").join(rep.select("rep", "sketch"), "rep")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    rows = rows.select("rep", "key", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    rows = rows.select("rep", "key", "sketch", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(t: pa.Table) -> pa.Table:
+        reps, own = np.asarray(t.column("rep")), np.asarray(t.column("own"))
+        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, N_SKETCH)
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out = [np.zeros((2, 0), dtype=np.int64)]
+        for u, v in close_sketches(s[x], s[y], steps):
+            a, b = reps[x[u]], reps[y[v]]
+            keep = a < b if i == j else a != b
+            out.append(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]]))
+        a, b = np.concatenate(out, axis=1)
+        return pa.table([a, b], schema=schema)
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def candidate_pairs(rep: DataFrame, hot: int = HOT, threshold: float = 0.0, block: int = BLOCK) -> DataFrame:
+    """Distinct (a < b) of rows (rep, keys, sketch) that share a band; of hot buckets those whose sketches may reach the threshold."""
+    found = checkpointed(_pairs_of(_bands(rep), hot))
     pairs, big = found.where("not hot").select("a", "b"), found.where("hot").select(F.col("a").alias("rep"), F.col("b").alias("key"))
     if big.isEmpty():
         return pairs
-    # a hot bucket is cut by every other band of its members; what still shares a bucket is alike in more than one phrase
-    other = bands.select("rep", F.col("key").alias("key2"))
-    both = big.join(other, "rep").where("key <> key2").select("rep", F.xxhash64("key", "key2").alias("key"))
-    return pairs.unionByName(_pairs_of(both, 1 << 62).select("a", "b")).distinct()
+    return pairs.unionByName(hot_pairs(big, rep, threshold, block)).distinct()
 
 
 def likely_pairs(pairs: DataFrame, rep: DataFrame, threshold: float) -> DataFrame:
@@ -257,7 +302,7 @@ def similar_texts(texts: DataFrame, threshold: float = 0.8, k: int = 5, min_word
     """
     rep = checkpointed(signatures(texts, k, min_words, band_rows(threshold)))
     members = class_members(texts, min_words)
-    likely = checkpointed(likely_pairs(candidate_pairs(rep, hot), rep, threshold))
+    likely = checkpointed(likely_pairs(candidate_pairs(rep, hot, threshold), rep, threshold))
     needed = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct().join(rep.select("rep", "id"), "rep")
     needed = checkpointed(needed)
 

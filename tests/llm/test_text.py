@@ -5,6 +5,7 @@ import re
 import unicodedata
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +217,21 @@ def test_similar_on_tables_and_edges(spark, sf_dir):
     assert len(c) == 50 and {(r["class_id"], r["n_copies"], r["n_links"]) for r in c} == {("i000", 50, 0)}
 
 
+def test_hot_buckets_are_joined_in_full(spark):
+    """All share one band and no second one: a close pair is found in a bucket of more than HOT, within and across blocks."""
+    r = np.random.default_rng(6)
+    n, bands = neardup.HOT + 60, neardup.N_HASH // neardup.band_rows(0.8)
+    keys = r.permutation(n * bands).reshape(n, bands).astype(np.uint32) + np.uint32(9)
+    keys[:, 3] = 5
+    sketch = r.integers(0, 256, (n, neardup.N_SKETCH), dtype=np.uint8)
+    close = {(k, k + 100) for k in range(60)}
+    for a, b in close:
+        sketch[b, : neardup.N_SKETCH - 8] = sketch[a, : neardup.N_SKETCH - 8]
+    d = spark.createDataFrame([(k, str(k), keys[k].tobytes(), sketch[k].tobytes()) for k in range(n)], "rep long, id string, keys binary, sketch binary")
+    assert rows(neardup.likely_pairs(neardup.candidate_pairs(d), d, 0.8)) == close
+    assert rows(neardup.candidate_pairs(d, threshold=0.8, block=50)) == close
+
+
 def test_bucket_scan_over_batches():
     import pyarrow as pa
 
