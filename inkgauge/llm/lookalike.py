@@ -3,12 +3,12 @@
 Rules per character come from the Unicode database (width forms, joined
 letters, blanks, format characters); letters of other scripts that look like
 a Latin one are a fixed table. Word repair is script-aware: a token is looked
-at letter by letter only if it mixes scripts or consists of look-alikes alone.
+at letter by letter only if it has look-alikes and most of its letters are Latin.
 
 Two forms are offered. ``one_form`` maps every look-alike, which is what the
 equality of equal-looking records needs (two copies may be disguised in
 different letters of the same rare word, so that neither spelling is in any
-vocabulary). ``repair`` keeps a token as it is unless it mixes scripts and the
+vocabulary). ``repair`` keeps a token as it is unless its dominant script is Latin and the
 Latin result is a word of the corpus' own vocabulary.
 """
 
@@ -109,9 +109,8 @@ def script_of(token: str) -> str:
 
 
 def is_suspect(token: str) -> bool:
-    """A token of letters of more than one script, or of look-alikes alone."""
-    kinds = {("look" if c in LOOKALIKE else "latin" if unicodedata.name(c, "").startswith("LATIN") else "other") for c in token if c.isalpha()}
-    return "look" in kinds and ("latin" in kinds or kinds == {"look"})
+    """A token with look-alikes whose dominant script is Latin; words of another script stay."""
+    return any(c in LOOKALIKE for c in token) and script_of(token) == "latin"
 
 
 def light_form(text: str) -> str:

@@ -62,6 +62,13 @@ def test_repair_needs_a_known_word():
     assert lookalike.script_of("rаther") == "latin"
 
 
+def test_repair_goes_by_the_dominant_script():
+    vocabulary = {"a", "o", "cop", "pope", "rather"}
+    for kept in ("а", "о", "сор", "ο", "рорe"):  # Cyrillic and Greek words, and one that is mostly Cyrillic
+        assert lookalike.repair(f"x {kept} y", vocabulary) == f"x {kept} y"
+    assert lookalike.repair("rаther рope", vocabulary) == "rather pope"
+
+
 def test_same_look_pairs_brute_force(spark, sf_dir):
     r = records(spark, sf_dir)
     got = rows(lookalike.same_look_pairs(r))
