@@ -80,7 +80,7 @@ class _Table(dict):
 
 _TABLE = _Table()
 # A text of these characters only is its own form.
-_PLAIN = re.compile("[ !-~\nÀ-ÖØ-öø-ž“”‘’–—…]*")
+_PLAIN = re.compile("[ !-~\nÀ-ÖØ-öø-ıĴ-ž“”‘’–—…]*")
 _ACCENTED_OTHER = re.compile("[Ͱ-׿ἀ-῿]")
 
 

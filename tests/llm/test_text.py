@@ -62,6 +62,11 @@ def test_repair_needs_a_known_word():
     assert lookalike.script_of("rаther") == "latin"
 
 
+def test_plain_characters_stay():
+    assert [c for c in map(chr, range(0x11000)) if lookalike._PLAIN.fullmatch(c) and lookalike._map_char(ord(c)) != c] == []
+    assert lookalike.one_form("d\u0133o") == "dijo"
+
+
 def test_repair_goes_by_the_dominant_script():
     vocabulary = {"a", "o", "cop", "pope", "rather"}
     for kept in ("а", "о", "сор", "ο", "рорe"):  # Cyrillic and Greek words, and one that is mostly Cyrillic
