@@ -123,6 +123,13 @@ def test_statistics_do_not_depend_on_pieces(spark):
     assert quality.text_statistics(d.limit(0)).count() == 0
 
 
+def test_blocks_are_not_cut_where_there_are_blank_lines(spark):
+    blocks = [PROSE.replace(". ", ".\n"), "- iron lamp\n- garden\n- cold stone bridge\n- paper\n- lantern", "qwlkj asdlk qpwoe zmxnc alskd pqowi eurty lkjas\ndmnzx qowie kdjfh ghtyr"]
+    d = spark.createDataFrame([("a", "o", "\n\n".join(blocks * 9))], REC)
+    whole, *cut = (quality.text_statistics(d, **k).first() for k in ({}, {"piece_chars": 333}, {"piece_chars": 400}))
+    assert all(c == whole for c in cut)
+
+
 # --- problem 10 ---
 
 
