@@ -30,14 +30,12 @@ def pareto_front(cands: DataFrame, task: str = "task_id", x: str = "rmsz", y: st
     By rising x, a draft is on the front if its y is the least among its equals
     in x and below every y before them. Equal drafts don't beat each other.
     """
-    w = Window.partitionBy(task).orderBy(x).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(task).orderBy(x)
     same = Window.partitionBy(task, x)
     d = cands.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     d = d.withColumn("low__", F.min(y).over(same)).withColumn("rank__", F.dense_rank().over(before))
     per = d.groupBy(task, "rank__").agg(F.min(y).alias("m__"))
     prior = per.withColumn("prior__", F.min("m__").over(Window.partitionBy(task).orderBy("rank__").rowsBetween(Window.unboundedPreceding, -1))).select(task, "rank__", "prior__")
-    del w
     keep = (F.col(y) == F.col("low__")) & (F.col("prior__").isNull() | (F.col(y) < F.col("prior__")))
     return d.join(prior, [task, "rank__"]).where(keep).drop("low__", "rank__", "prior__")
 

@@ -20,6 +20,38 @@ WRAPPER = r"\\(?:textbf|textit|emph|texttt|textsc|underline|footnote|caption|tex
 FENCE = r"(?smd)^```.*?^```"
 MD_TABLE = r"(?md)^\|.*\|[ \t]*$"
 ENVIRONMENT_DEPTH = 3  # environments nested in one another that are dropped
+LATEX_STEPS = [
+    (r"(?md)(?<!\\)%.*$", ""),
+    *[(ENVIRONMENT, " ")] * ENVIRONMENT_DEPTH,
+    (MATH, " value "),
+    (r"\\(?:sub){0,2}section\*?\{([^{}]*?)\.*\}", " $1. "),
+    (REFERENCE, " "),
+    *[(WRAPPER, "$1")] * 4,
+    (r"\\[a-zA-Z@]+\*?(?:\[[^\]]*\])?", " "),
+    (r"\\([%&_$#])", "$1"),
+    ("~", " "),
+    ("---", "—"),
+    ("--", "–"),
+    (r"[{}]", ""),
+    (r"[ \t]+", " "),
+    (r"\n{3,}", "\n\n"),
+]
+MARKDOWN_STEPS = [
+    (FENCE, " "),
+    (MD_TABLE, " "),
+    (r"(?md)^#{1,6}[ \t]+(.*?)\.*$", "$1."),
+    (r"!\[[^\]]*\]\([^)]*\)", " "),
+    (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"`([^`]*)`", "$1"),
+    (r"(\*\*|__|\*|_)(.+?)\1", "$2"),
+    (r"(?md)^[ \t]*[-*+][ \t]+", ""),
+    (r"(?md)^[ \t]*>[ \t]?", ""),
+    (r"[ \t]+", " "),
+]
+SPAN_SOURCES = {
+    "latex": (ENVIRONMENT, r"(?s)\$\$.*?\$\$|(?<!\\)\$[^$]*\$", r"(?s)\\\[.*?\\\]|\\\(.*?\\\)", REFERENCE, r"\\[a-zA-Z@]+\*?\{[^{}]*\}", r"\d[\d,.]*\s*-{2,3}\s*\d[\d,.]*", r"(?m)^\s*\\(?:usepackage|documentclass|newcommand|def)\b.*$"),
+    "markdown": (FENCE, MD_TABLE, r"`[^`]*`", r"\]\([^)]*\)"),
+}
 
 
 def guess_format(t: Column) -> Column:
@@ -34,46 +66,12 @@ def _chain(t: Column, steps: list[tuple[str, str]]) -> Column:
 
 def detex(t: Column, math_word: str = "value") -> Column:
     """Prose of a LaTeX text; headings become sentences, formulas one word, environments of data fall out."""
-    t = _chain(
-        t,
-        [
-            (r"(?md)(?<!\\)%.*$", ""),
-            *[(ENVIRONMENT, " ")] * ENVIRONMENT_DEPTH,
-            (MATH, f" {math_word} "),
-            (r"\\(?:sub){0,2}section\*?\{([^{}]*?)\.*\}", " $1. "),
-            (REFERENCE, " "),
-            *[(WRAPPER, "$1")] * 4,
-            (r"\\[a-zA-Z@]+\*?(?:\[[^\]]*\])?", " "),
-            (r"\\([%&_$#])", "$1"),
-            ("~", " "),
-            ("---", "—"),
-            ("--", "–"),
-            (r"[{}]", ""),
-            (r"[ \t]+", " "),
-            (r"\n{3,}", "\n\n"),
-        ],
-    )
-    return T.strip(t)
+    return T.strip(_chain(t, [(p, f" {math_word} " if p == MATH else new) for p, new in LATEX_STEPS]))
 
 
 def demarkdown(t: Column) -> Column:
     """Prose of a Markdown text; fences, tables and images fall out, headings become sentences."""
-    t = _chain(
-        t,
-        [
-            (FENCE, " "),
-            (MD_TABLE, " "),
-            (r"(?md)^#{1,6}[ \t]+(.*?)\.*$", "$1."),
-            (r"!\[[^\]]*\]\([^)]*\)", " "),
-            (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-            (r"`([^`]*)`", "$1"),
-            (r"(\*\*|__|\*|_)(.+?)\1", "$2"),
-            (r"(?md)^[ \t]*[-*+][ \t]+", ""),
-            (r"(?md)^[ \t]*>[ \t]?", ""),
-            (r"[ \t]+", " "),
-        ],
-    )
-    return T.strip(t)
+    return T.strip(_chain(t, MARKDOWN_STEPS))
 
 
 def to_prose(t: Column, fmt: Column | None = None) -> Column:
@@ -88,15 +86,9 @@ def strip_tags(t: Column) -> Column:
 
 # Offsets of matches have no built-in expression, so spans are found in Arrow batches.
 
-_SPAN_SOURCES = {
-    "latex": (ENVIRONMENT, r"(?s)\$\$.*?\$\$|(?<!\\)\$[^$]*\$", r"(?s)\\\[.*?\\\]|\\\(.*?\\\)", REFERENCE, r"\\[a-zA-Z@]+\*?\{[^{}]*\}", r"\d[\d,.]*\s*-{2,3}\s*\d[\d,.]*", r"(?m)^\s*\\(?:usepackage|documentclass|newcommand|def)\b.*$"),
-    "markdown": (FENCE, MD_TABLE, r"`[^`]*`", r"\]\([^)]*\)"),
-}
-
-
 def _compiled(kind: str) -> list[re.Pattern]:
     if kind not in _CACHE:
-        _CACHE[kind] = [re.compile(p.replace("(?smd)", "(?sm)").replace("(?md)", "(?m)")) for p in _SPAN_SOURCES.get(kind, ())]
+        _CACHE[kind] = [re.compile(p.replace("(?smd)", "(?sm)").replace("(?md)", "(?m)")) for p in SPAN_SOURCES.get(kind, ())]
     return _CACHE[kind]
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -16,7 +15,7 @@ from inkgauge.plans import sqlkit as S
 from inkgauge.plans.checks import _PHRASES, _SLEN, _TELLS, _TESTED, _WORDS_TESTED, _even, drafts, edits
 from inkgauge.plans.registry import query
 from inkgauge.plans.style import _CAND, _CANDF, _FP, _LOO, calibration_units, candidate_units
-from inkgauge.session import table
+from inkgauge.session import shared_folder, table
 from inkgauge.sources import io
 from inkgauge.streaming import scorer
 
@@ -511,9 +510,10 @@ def streamed_scores(s, d):
     u = calibration_units(s, d)
     fp, base = C.fingerprint(u), C.baselines(C.leave_one_out(u))
     src = table(s, d, "candidates").select("cand_id", "voice", "text", "created_at")
-    root = (s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkgauge-stream")) + f"/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
     arrivals = s.readStream.schema(src.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/candidates.parquet") if _is_dir(s, f"{d}/candidates.parquet") else s.readStream.schema(src.schema).option("pathGlobFilter", "candidates.parquet").parquet(d)
-    x = arrivals.where("text is not null and voice is not null").dropDuplicates(["cand_id"])
+    x = arrivals.where("text is not null and voice is not null").withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
+    x = x.withWatermark("created_at", "7 days").dropDuplicatesWithinWatermark(["cand_id"])  # repeats may come for a week; older keys leave the state
     scorer.run_once(scorer.score_stream(x, fp, base), f"{root}/out", f"{root}/state")
     return s.read.parquet(f"{root}/out").select("cand_id", "voice", R(F.col("rmsz")).alias("rmsz"), "fit")
 

@@ -51,9 +51,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship_code(spark: SparkSession) -> None:
     """Make this package importable in Python workers that don't have it on their path."""
-    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
     sc = spark.sparkContext
+    if sc.master.startswith("local") and str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return  # workers inherit the path; those of a cluster may not
     if getattr(sc, "_inkgauge_shipped", False):
         return
     out = Path(tempfile.mkdtemp(prefix="inkgauge")) / "inkgauge_code.zip"
@@ -67,10 +67,19 @@ def ship_code(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder of the session.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a local one is set
-    only where the session names none (tests, local runs).
+    The folder is the one the session has set, else ``shared_folder()``.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkgauge-ckpt"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names. Without one, a temporary folder on a local master and an error elsewhere."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all machines share")
+    return tempfile.mkdtemp(prefix="inkgauge-ckpt")
