@@ -99,35 +99,81 @@ def test_same_look_edge_cases(spark):
 PROSE = "The house was quiet and she did not know what to say. They had gone to the river in the morning, and it was still dark when the first of them came back."
 
 
+# One paragraph in each of many languages, none of which the operators have words of.
+TONGUES = {
+    "ru": "Вечером мы долго шли вдоль реки, и никто не хотел говорить первым. Снег лежал на крышах, а в окнах горел тёплый свет. Она сказала, что письмо пришло ещё утром, но он не поверил ей.",
+    "tr": "Akşam olunca nehir boyunca uzun süre yürüdük ve kimse ilk sözü söylemek istemedi. Çatıların üstünde kar vardı, pencerelerde sıcak bir ışık yanıyordu. Mektubun sabah geldiğini söyledi ama o buna inanmadı.",
+    "pl": "Wieczorem długo szliśmy wzdłuż rzeki i nikt nie chciał odezwać się pierwszy. Na dachach leżał śnieg, a w oknach paliło się ciepłe światło. Powiedziała, że list przyszedł rano, ale on jej nie uwierzył.",
+    "zh": "傍晚我们沿着河走了很久，谁也不想先开口。屋顶上积着雪，窗子里亮着温暖的灯光。她说信是早上到的，可是他不相信她的话。",
+    "fi": "Illalla kävelimme pitkään joen vartta, eikä kukaan halunnut puhua ensimmäisenä. Katoilla oli lunta ja ikkunoissa paloi lämmin valo. Hän sanoi, että kirje oli tullut aamulla, mutta mies ei uskonut häntä.",
+    "pt": "À noite caminhámos muito tempo ao longo do rio e ninguém quis falar primeiro. Havia neve nos telhados e uma luz quente nas janelas. Ela disse que a carta tinha chegado de manhã, mas ele não acreditou.",
+    "ar": "في المساء مشينا طويلا على ضفة النهر ولم يرد أحد أن يتكلم أولا. كان الثلج على السطوح وكان ضوء دافئ في النوافذ. قالت إن الرسالة وصلت في الصباح لكنه لم يصدقها.",
+    "hi": "शाम को हम नदी के किनारे देर तक चलते रहे और कोई भी पहले बोलना नहीं चाहता था। छतों पर बर्फ़ थी और खिड़कियों में गर्म रोशनी जल रही थी। उसने कहा कि चिट्ठी सुबह आई थी।",
+    "ja": "夕方、私たちは川沿いを長い間歩いたが、誰も先に話そうとしなかった。屋根には雪が積もり、窓には暖かい光がともっていた。手紙は朝届いたと彼女は言った。",
+    "el": "Το βράδυ περπατήσαμε πολλή ώρα δίπλα στο ποτάμι και κανείς δεν ήθελε να μιλήσει πρώτος. Υπήρχε χιόνι στις στέγες και ζεστό φως στα παράθυρα. Είπε ότι το γράμμα ήρθε το πρωί.",
+}
+BAD = [
+    "- iron lamp\n- garden\n- cold stone bridge\n- paper\n- lantern", "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |", "00000000  fd 6a a6 89\n00000010  36 d8 b9 a1", '{"ab":12,"cd":[1,2],"ef":null,"gh":"xy"}',
+    "qwlkj asdlk qpwoe zmxnc alskd pqowi eurty lkjas dmnzx qowie", "x\t1\t2\ny\t3\t4\nz\t5\t6", "+---+---+\n| a | b |\n+---+---+\n| c | d |\n+---+---+", "~#§ _r1l!i ;,¬!!eI 11§ Io<l^¤> a ,¬^!<^ ¦<**¦> ¬^<>|; < ¦> I§°<: *1:¤§^ o~¦_",
+]
+
+
+def good_and_bad(text, common=frozenset()):
+    c = quality.text_counts(text, common)
+    return c[7], sum(c[8:])
+
+
+@pytest.mark.parametrize("tongue", sorted(TONGUES))
+def test_prose_of_any_language(tongue):
+    t = TONGUES[tongue]
+    for x in (t, t.upper(), f"> {t}", f"**{t}**", t.replace(". ", ".\n"), "\n".join([t] * 20), f"— {t}"):
+        good, bad = good_and_bad(x)
+        assert good > 0 and not bad, x
+    assert not spam.label_page("\n".join([t, t[::-1].capitalize() if tongue == "zh" else t]))[1].count(1)
+    _, states, _ = spam.label_page(t)
+    assert set(states) == {0}
+
+
 def test_junk_kinds():
     for good in (PROSE, PROSE.upper(), PROSE.replace(" ", "\n"), f"> {PROSE}", f"**{PROSE}**", "Der Fluss war nicht tief und wir haben das Wasser gesehen.", "Le jardin que nous avons vu dans la nuit est sans une porte.", "Hemos visto el jardín y la casa, pero no había nada que decir."):
-        assert quality.piece_counts(good, "", True)[7] > 0 and sum(quality.piece_counts(good, "", True)[8:]) == 0, good
-    bad = ["- iron lamp\n- garden\n- cold stone bridge\n- paper\n- lantern", "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |", "00000000  fd 6a a6 89\n00000010  36 d8 b9 a1", '{"ab":12,"cd":[1,2],"ef":null,"gh":"xy"}', "qwlkj asdlk qpwoe zmxnc alskd pqowi eurty lkjas dmnzx qowie", "x\t1\t2\ny\t3\t4\nz\t5\t6", "+---+---+\n| a | b |\n+---+---+\n| c | d |\n+---+---+"]
-    for t in bad:
-        c = quality.piece_counts(t, "", True)
-        assert sum(c[8:]) > c[7], t
+        assert good_and_bad(good)[0] > 0 and not good_and_bad(good)[1], good
+    for t in BAD:
+        assert good_and_bad(t)[1] > good_and_bad(t)[0], t
+    # without any mark of a sentence only words known from the corpus, or that come again, tell prose
+    bare = re.sub(r"[.,]", "", PROSE).lower()
+    assert good_and_bad(bare, frozenset("the was and did not what to had in it when of".split()))[0] > 0
+    assert good_and_bad(f"{bare} {bare}")[1] == 0
 
 
 def test_statistics_do_not_depend_on_pieces(spark):
     r = random.Random(5)
     text = "\n".join(" ".join(r.choice(["the", "lamp", "was", "cold,", "stone!", "a_b", "12", "~~"]) for _ in range(r.randrange(1, 30))) + r.choice([".", "", "?”"]) for _ in range(80))
     one_line = " ".join(words(400, 3))
-    d = spark.createDataFrame([("a", "o", text), ("a", "o", text), ("b", "o", one_line), ("n", "o", None), ("e", "o", ""), ("w", "o", "x" * 900)], REC)
-    whole = {x["rec_id"]: x for x in quality.text_statistics(d).collect()}
-    cut = {x["rec_id"]: x for x in quality.text_statistics(d, piece_chars=97).collect()}
-    assert set(whole) == set(cut) == {"a", "b", "e", "w"}
-    for k in whole:
-        for c in ("n_chars", "n_words", "word_chars", "n_symbols", "n_lines", "punct_lines", "common_words"):
-            assert whole[k][c] == cut[k][c], (k, c)
+    d = spark.createDataFrame([("a", "o", text), ("a", "o", text), ("b", "o", one_line), ("n", "o", None), ("e", "o", ""), ("w", "o", "x" * 900), ("m", "o", "\n\n".join([PROSE, *BAD, *TONGUES.values()]))], REC)
+    common = frozenset(["the", "was"])
+    whole = {x["rec_id"]: x for x in quality.text_statistics(d, common=common).collect()}
+    assert set(whole) == {"a", "b", "e", "w", "m"}
+    for size in (97, 500, 7):
+        assert {x["rec_id"]: x for x in quality.text_statistics(d, piece_chars=size, common=common).collect()} == whole, size
     assert whole["a"]["n_words"] == len(re.findall(r"\w+", text)) and whole["e"]["mean_word_len"] is None and not whole["e"]["is_junk"]
+    assert whole["a"]["n_chars"] == len(text) and whole["w"]["is_junk"]
     assert quality.text_statistics(d.limit(0)).count() == 0
 
 
-def test_blocks_are_not_cut_where_there_are_blank_lines(spark):
-    blocks = [PROSE.replace(". ", ".\n"), "- iron lamp\n- garden\n- cold stone bridge\n- paper\n- lantern", "qwlkj asdlk qpwoe zmxnc alskd pqowi eurty lkjas\ndmnzx qowie kdjfh ghtyr"]
-    d = spark.createDataFrame([("a", "o", "\n\n".join(blocks * 9))], REC)
-    whole, *cut = (quality.text_statistics(d, **k).first() for k in ({}, {"piece_chars": 333}, {"piece_chars": 400}))
-    assert all(c == whole for c in cut)
+def test_kinds_do_not_depend_on_pieces():
+    r = random.Random(11)
+    parts = [PROSE, PROSE.replace(". ", ".\n"), *BAD, *TONGUES.values(), "", " ", "“Quoted.”", "a" * 700, "- one. \n- two, three, four; five\n\n", "\n", "\t\t", "x  y  z", "Ti­tle"]
+    for _ in range(120):
+        t = r.choice(["\n", "\n\n", " "]).join(r.choice(parts) for _ in range(r.randrange(1, 9)))
+        want = quality.text_counts(t)
+        for size in (1, 2, 3, 13, 97, 256, 500, 1999):
+            assert quality.text_counts(t, piece_chars=size) == want, (size, t)
+
+
+def test_common_words_are_learned(spark, sf_dir):
+    found = quality.common_words(records(spark, sf_dir))
+    assert {"the", "of", "was", "und", "le"} <= found and not {"garden", "lantern", "paper"} & found and len(found) <= quality.MOST_WORDS
+    assert quality.common_words(records(spark, sf_dir).limit(0)) == frozenset()
 
 
 # --- problem 10 ---
@@ -153,6 +199,21 @@ def test_spam_pages(spark):
     assert spam.spam_pages(d.limit(0)).count() == 0
 
 
+def test_a_fitted_model_labels_as_its_pages_do():
+    r = random.Random(3)
+    pages = {"".join(r.choice("pppo") for _ in range(20)): 40 for _ in range(5)} | {"".join(r.choice("ttttno") for _ in range(20)): 4 for _ in range(5)} | {"": 3}
+    model = spam.fit({k: v for k, v in pages.items() if k})
+    for rows in model[:2]:
+        assert all(abs(sum(np.exp(x)) - 1) < 1e-9 for x in rows)
+    assert set(spam.viterbi("pppoppo", model=model)) == {0} and set(spam.viterbi("tttnntto", model=model)) == {2}
+    assert spam.fit({}) == spam.PRIOR_MODEL or np.allclose(spam.fit({})[0], spam.PRIOR_MODEL[0])
+
+
+def test_menus_are_no_prose():
+    page = "\n".join(f"Home | Shop | Contact {k} | Help | Basket" for k in range(20))
+    assert set(spam.label_page(page)[1]) == {3} and set(spam.label_page(f"{PROSE}\n{PROSE}\nHome | Shop | Help | Basket")[1][:2]) == {0}
+
+
 def test_viterbi_keeps_runs():
     assert set(spam.viterbi("pppppppp")) == {0} and spam.viterbi("llllnlll") == [1] * 8
 
