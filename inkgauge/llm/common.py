@@ -49,3 +49,20 @@ def _arrow(t):
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(t)
+
+
+def expand_pairs(members: DataFrame, pairs: DataFrame, block: int = 4096) -> DataFrame:
+    """(x, y): the ids of members (id, cls) for every pair (a, b) of classes; for a = b each two of them once.
+
+    A class is cut by hash into blocks of some ``block`` ids. Every two blocks
+    of a pair meet under a key of their own, so that no task forms more than
+    block * block rows of a key, whatever the size of a class.
+    """
+    size = members.groupBy("cls").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    rows = members.join(size, "cls").select("id", "cls", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("own"))
+    p = pairs.select("a", "b").join(size.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
+    p = p.select("a", "b", "nb", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"))
+    p = p.select("a", "b", "i", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(0), F.col("nb") - 1)).alias("j"))
+    left = p.join(rows.select(F.col("cls").alias("a"), F.col("own").alias("i"), F.col("id").alias("x")), ["a", "i"])
+    right = p.join(rows.select(F.col("cls").alias("b"), F.col("own").alias("j"), F.col("id").alias("y")), ["b", "j"])
+    return left.join(right, ["a", "b", "i", "j"]).where("a <> b or i <> j or x < y").select("x", "y")

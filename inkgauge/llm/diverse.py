@@ -1,7 +1,8 @@
 """Problem 7: a varied subset by max-sum dispersion.
 
-Each block of rows is reduced to a core-set by farthest-first traversal;
-core-sets of core-sets are formed in rounds until one task can hold the rest.
+Rows are cut by a hash of their id into blocks of some BLOCK; each block is
+reduced to a core-set by farthest-first traversal, and core-sets of core-sets
+are formed in rounds until a scope (the store, a voice) is within BLOCK rows.
 There a local search starts from the farthest-first choice and swaps a chosen
 vector for another one as long as the sum of pairwise distances grows and the
 quotas hold: no file more than its due places, no two chosen vectors of one
@@ -14,14 +15,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgauge.llm.common import map_rows
 from inkgauge.llm.vectors import DIM, pack, unit, unpack, usable_vectors
 from inkgauge.session import checkpointed, ship_code
 
-K, FAMILY, BLOCK, FINAL = 64, 0.8, 8192, 40_000
+K, FAMILY, BLOCK = 64, 0.8, 8192
 
 
 def farthest_first(x: np.ndarray, ids: list[str], m: int, files: list[str] | None = None, due: dict[str, int] | None = None, family: float | None = None) -> list[int]:
@@ -57,8 +58,8 @@ def farthest_first(x: np.ndarray, ids: list[str], m: int, files: list[str] | Non
     return out
 
 
-def swap_search(x: np.ndarray, chosen: list[int], files: list[str], due: dict[str, int], family: float, rounds: int = 200) -> list[int]:
-    """Local search: the best swap each round while the sum of pairwise distances grows."""
+def swap_search(x: np.ndarray, chosen: list[int], files: list[str], due: dict[str, int], family: float) -> list[int]:
+    """Local search: the best swap, again and again, while the sum of pairwise distances grows."""
     sel = list(chosen)
     if len(sel) < 2 or len(sel) == len(x):
         return sel
@@ -67,7 +68,7 @@ def swap_search(x: np.ndarray, chosen: list[int], files: list[str], due: dict[st
     for f, g in zip(files, group, strict=True):
         limit[g] = due.get(f, 1)
     cos = x @ x[sel].T  # rows: all, columns: chosen
-    for _ in range(rounds):
+    while True:
         total = (1 - cos).sum(axis=1)  # distance of each to the chosen
         inside = total[sel]  # a chosen one's distance to itself is 0
         count = np.bincount(group[sel], minlength=len(limit))
@@ -82,88 +83,106 @@ def swap_search(x: np.ndarray, chosen: list[int], files: list[str], due: dict[st
             if ok[j] and gain[j] > best:
                 best, move = gain[j], (c, j)
         if move is None:
-            break
+            return sel
         c, j = move
         sel[c] = j
         cos[:, c] = x @ x[j]
-    return sel
 
 
-def varied_subset(chunks: DataFrame, k: int = K, dim: int = DIM, family: float = FAMILY) -> DataFrame:
+def varied_subset(chunks: DataFrame, k: int = K, dim: int = DIM, family: float = FAMILY, block: int = BLOCK) -> DataFrame:
     """(voice, id, filename, rank): up to k exemplars of every voice, and of the store (voice null).
 
-    A file's due places are its share of the scope's usable rows, rounded up.
+    A file's due places are its share of the scope's usable ids, rounded up.
     Rows with an unusable vector (null, not dim finite values, all zero) aren't
-    chosen; repeated rows of an id are one; a null filename counts as one file;
-    rows of a null voice stand in the store alone. Fewer than k come out if
-    quotas or families leave no more.
+    chosen; repeated rows of an id are one (of the least filename and voice); a
+    null filename counts as one file; rows of a null voice stand in the store
+    alone. Fewer than k come out if quotas or families leave no more. The
+    outcome doesn't depend on how rows are stored or batched.
     """
     spark = chunks.sparkSession
     ship_code(spark)
     src = chunks.where("id is not null").select(F.col("id").cast("string").alias("id"), F.coalesce("filename", F.lit("")).alias("filename"), "voice", "embedding")
     core_size = 2 * k
-    names = ("id", "filename", "voice", "vec")
-
-    def core_of(ids, files, voices, x):
-        """Core-sets of the rows of each voice; together they are one of all rows."""
-        first: dict[str, int] = {}
-        for j, i in enumerate(ids):
-            first.setdefault(i, j)
-        by: dict[str | None, list[int]] = {}
-        for j in first.values():
-            by.setdefault(voices[j], []).append(j)
-        out = []
-        for rows in by.values():
-            out += [rows[j] for j in farthest_first(unit(x[rows]), [ids[j] for j in rows], core_size)]
-        return out
+    blocks = max(1, math.ceil(src.select("id").count() / block))
+    core_schema = pa.schema([("id", pa.string()), ("filename", pa.string()), ("voice", pa.string()), ("vec", pa.binary()), ("n", pa.int64())])
 
     def scan(b):
+        """Usable rows, one per id of a batch."""
         ids, x = usable_vectors(b.select(["id", "embedding"]), dim)
-        place = {i: j for j, i in enumerate(b.column(0).to_pylist())}
-        at = pa.array([place[i] for i in ids], type=pa.int64())
-        files, voices = b.column(1).take(at).to_pylist(), b.column(2).take(at).to_pylist()
-        pick = core_of(ids, files, voices, x) if ids else []
-        return {"id": [ids[j] for j in pick], "filename": [files[j] for j in pick], "voice": [voices[j] for j in pick], "vec": [pack(x[j]) for j in pick]}
-
-    schema = "id string, filename string, voice string, vec binary"
-    core = map_rows(src, scan, schema)
-    store = core.withColumn("scope", F.lit(None).cast("string"))
-    both = checkpointed(store.unionByName(core.where("voice is not null").withColumn("scope", F.col("voice"))))
-    out_schema = pa.schema([*((n, pa.binary() if n == "vec" else pa.string()) for n in names), ("scope", pa.string())])
-
-    def shrink(t: pa.Table) -> pa.Table:
-        x = unpack(t.column("vec").to_pylist(), dim)
-        ids = t.column("id").to_pylist()
+        place: dict[str, int] = {}
+        files, voices = b.column(1).to_pylist(), b.column(2).to_pylist()
+        order = lambda j: (files[j], voices[j] is None, voices[j] or "")
+        for j, i in enumerate(b.column(0).to_pylist()):
+            if i not in place or order(j) < order(place[i]):
+                place[i] = j
         first: dict[str, int] = {}
         for j, i in enumerate(ids):
             first.setdefault(i, j)
-        rows = sorted(first.values())
-        keep = [rows[j] for j in farthest_first(unit(x[rows]), [ids[j] for j in rows], core_size)]
+        return {"id": list(first), "filename": [files[place[i]] for i in first], "voice": [voices[place[i]] for i in first], "vec": [pack(x[j]) for j in first.values()]}
+
+    def cores(batches):
+        """Of sorted blocks: the core-set of each voice, and the ids of each (voice, file) counted."""
+        held: dict[str, tuple] = {}
+        at = None
+
+        def done():
+            out: list[tuple] = []
+            if not held:
+                return
+            ids = sorted(held)
+            x = unit(unpack([held[i][2] for i in ids], dim))
+            by: dict[str | None, list[int]] = {}
+            count: dict[tuple, int] = {}
+            for j, i in enumerate(ids):
+                f, v, _ = held[i]
+                by.setdefault(v, []).append(j)
+                count[v, f] = count.get((v, f), 0) + 1
+            for rows in by.values():
+                out += [(ids[j], *held[ids[j]], None) for j in (rows[r] for r in farthest_first(x[rows], [ids[r] for r in rows], core_size))]
+            out += [(None, f, v, None, n) for (v, f), n in count.items()]
+            yield pa.record_batch([pa.array(c, type=t) for c, t in zip(zip(*out), core_schema.types, strict=True)], schema=core_schema)
+
+        for b in batches:
+            for i, f, v, vec, g in zip(*(b.column(c).to_pylist() for c in ("id", "filename", "voice", "vec", "g")), strict=True):
+                if g != at:
+                    yield from done()
+                    held, at = {}, g
+                held.setdefault(i, (f, v, vec))  # rows are sorted: the first of an id stays
+        yield from done()
+
+    one = map_rows(src, scan, "id string, filename string, voice string, vec binary").withColumn("g", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    one = one.repartition("g").sortWithinPartitions("g", "id", "filename", F.col("voice").asc_nulls_last())
+    found = checkpointed(one.mapInArrow(cores, "id string, filename string, voice string, vec binary, n long"))
+    scopes = F.explode(F.when(F.col("voice").isNull(), F.array(F.lit("*"))).otherwise(F.array(F.lit("*"), F.concat(F.lit("="), "voice")))).alias("scope")
+    both = found.where("n is null").select("id", "filename", "vec", scopes)
+    files = found.where("n is not null").select("filename", "n", scopes).groupBy("scope", "filename").agg(F.sum("n").alias("n"))
+    files = files.join(files.groupBy("scope").agg(F.sum("n").alias("all")), "scope").select("scope", "filename", (F.col("n") / F.col("all")).alias("share"))
+    out_schema = pa.schema([("id", pa.string()), ("filename", pa.string()), ("vec", pa.binary()), ("scope", pa.string())])
+
+    def shrink(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        keep = farthest_first(unit(unpack(t.column("vec").to_pylist(), dim)), t.column("id").to_pylist(), core_size)
         return t.take(pa.array(keep, type=pa.int64())).select(out_schema.names).cast(out_schema)
 
-    while True:  # core-sets of core-sets, until each scope fits a task
-        size = both.groupBy("scope").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if size <= FINAL:
+    while True:  # core-sets of core-sets, until each scope is within a block
+        size = both.groupBy("scope").agg(F.count("*").alias("m"))
+        if (size.agg(F.max("m")).first()[0] or 0) <= block:
             break
-        groups = F.ceil(F.count("*").over(Window.partitionBy("scope")) / BLOCK)
-        smaller = both.withColumn("g", F.pmod(F.xxhash64("id"), groups)).groupBy("scope", "g").applyInArrow(shrink, schema + ", scope string")
-        both = checkpointed(smaller)
-    usable = src.where(F.size("embedding") == dim)
-    per = usable.groupBy("voice", "filename").agg(F.count("*").alias("n"))
-    files = per.groupBy("filename").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("scope"), "filename", "n").unionByName(per.where("voice is not null").select(F.col("voice").alias("scope"), "filename", "n"))
-    files = files.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("scope"))).drop("n")
+        parts = both.join(size, "scope").withColumn("g", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block)))
+        both = checkpointed(parts.groupBy("scope", "g").applyInArrow(shrink, "id string, filename string, vec binary, scope string"))
     final_schema = pa.schema([("voice", pa.string()), ("id", pa.string()), ("filename", pa.string()), ("rank", pa.int32())])
 
     def choose(t: pa.Table) -> pa.Table:
         by = {i: (f, v, s) for i, f, v, s in zip(t.column("id").to_pylist(), t.column("filename").to_pylist(), t.column("vec").to_pylist(), t.column("share").to_pylist(), strict=True)}
         ids = sorted(by)
-        names_ = [by[i][0] for i in ids]
+        names = [by[i][0] for i in ids]
         due = {f: max(1, math.ceil(k * s - 1e-9)) for f, _, s in by.values()}
-        x = unit(unpack([by[i][1] for i in ids], dim))
-        sel = swap_search(x, farthest_first(x, ids, k, names_, due, family), names_, due, family)
+        x = unit(unpack([by[i][1] for i in ids], dim)).astype(np.float64)
+        sel = swap_search(x, farthest_first(x, ids, k, names, due, family), names, due, family)
         sel.sort(key=lambda j: ids[j])
         n = len(sel)
-        return pa.table([pa.array(t.column("scope").to_pylist()[:1] * n, type=pa.string()), pa.array([ids[j] for j in sel]), pa.array([names_[j] for j in sel]), pa.array(range(1, n + 1), type=pa.int32())], schema=final_schema)
+        scope = t.column("scope")[0].as_py()
+        return pa.table([pa.array([None if scope == "*" else scope[1:]] * n, type=pa.string()), pa.array([ids[j] for j in sel]), pa.array([names[j] for j in sel]), pa.array(range(1, n + 1), type=pa.int32())], schema=final_schema)
 
-    joined = both.join(files, both["scope"].eqNullSafe(files["scope"]) & (both["filename"] == files["filename"])).select(both["scope"], "id", both["filename"], "vec", "share")
-    return joined.groupBy("scope").applyInArrow(choose, "voice string, id string, filename string, rank int")  # at most FINAL core vectors
+    joined = both.join(files, ["scope", "filename"]).select("scope", "id", "filename", "vec", "share")
+    return joined.groupBy("scope").applyInArrow(choose, "voice string, id string, filename string, rank int")  # at most BLOCK vectors

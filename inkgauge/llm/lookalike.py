@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import map_rows
+from inkgauge.llm.common import expand_pairs, map_rows
+from inkgauge.session import checkpointed
 
 # Letters that look like the Latin letter they stand beside.
 LOOKALIKE = dict(
@@ -159,16 +160,18 @@ def form_keys(records: DataFrame, id_col: str = "rec_id", text_col: str = "text"
 def same_look_pairs(records: DataFrame) -> DataFrame:
     """Pairs (rec_a < rec_b) of records whose texts differ as stored but have one form.
 
-    Only forms with two or more stored spellings reach the pair join; copies of
-    one spelling never pair with each other. Spellings are few per form, so a
-    hot form is joined by (form, spelling) against the other spellings.
+    First the spellings of a form are paired, which are one row each however
+    many copies they have, then the records of two spellings. Copies of one
+    spelling never meet. Both steps are cut into blocks (``expand_pairs``).
     """
-    k = form_keys(records).distinct()
+    k = checkpointed(form_keys(records).distinct())
     mixed = k.groupBy("form_key").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi").select("form_key")
     k = k.join(mixed, "form_key", "left_semi")
-    a = k.select("form_key", F.col("rec_id").alias("rec_a"), F.col("text_key").alias("ta"))
-    b = k.select("form_key", F.col("rec_id").alias("rec_b"), F.col("text_key").alias("tb"))
-    return a.join(b, "form_key").where("rec_a < rec_b and ta <> tb").select("rec_a", "rec_b")
+    spellings = k.select(F.col("text_key").alias("id"), F.col("form_key").alias("cls")).distinct()
+    forms = mixed.select(F.col("form_key").alias("a"), F.col("form_key").alias("b"))
+    two = expand_pairs(spellings, forms).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    both = expand_pairs(k.select(F.col("rec_id").alias("id"), F.col("text_key").alias("cls")), two)
+    return both.select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b"))
 
 
 def same_look_classes(records: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import WORD, map_rows
+from inkgauge.llm.common import WORD, expand_pairs, map_rows
 from inkgauge.llm.lookalike import one_form
 from inkgauge.session import checkpointed
 
@@ -327,11 +327,9 @@ def similar_pairs(texts: DataFrame, threshold: float, k: int, min_words: int) ->
     """All pairs (id_a < id_b) of ids whose texts reach the similarity, copies included; the stated result of p2_found."""
     links, members = similar_texts(texts, threshold, k, min_words)
     links, members = checkpointed(links), checkpointed(members)
-    two = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
-    m = members.join(two, "rep", "left_semi")
-    copies = m.select("rep", F.col("id").alias("x")).join(m.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
-    cross = links.select("a", "b").join(members.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-    return copies.unionByName(cross).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    two = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    both = expand_pairs(members.withColumnRenamed("rep", "cls"), two.unionByName(links.select("a", "b")))
+    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def similar_classes(texts: DataFrame, threshold: float = 0.8, k: int = 5, min_words: int = 1) -> DataFrame:

@@ -14,10 +14,11 @@ import re
 from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgauge.llm.common import map_rows
+from inkgauge.session import checkpointed, ship_code
 
 LIMIT, OVERLAP, LEAST_OVERLAP, MOST_OVERLAP = 350, 40, 20, 60
 _END = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*$")
@@ -99,17 +100,45 @@ def oversized_ids(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     return split_oversized(chunks, limit).where("chunk_idx = 1").select("id").distinct()
 
 
-def reindexed(chunks: DataFrame, **options: int) -> DataFrame:
-    """Pieces with a chunk_idx that runs through the whole file, in the order of (old chunk_idx, id, piece).
+def reindexed(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST_OVERLAP, most: int = MOST_OVERLAP) -> DataFrame:
+    """(id, filename, old_idx, chunk_idx, text, word_count, overlap): pieces with a chunk_idx that runs through the whole file.
 
-    Numbers come from prefix sums: pieces are counted per (file, old index),
-    so that a hot file sorts one row per chunk and no text.
+    The order is that of (old chunk_idx, id, piece). Texts are sorted once by
+    (filename, old chunk_idx, id), in ranges that cut hot files and equal
+    indices as well, and are cut while they stream by, with a number within
+    their range; the counts of the ranges, few rows per file, then give each
+    range its offset. Of rows of one id with differing places the least place
+    counts; a null filename is a file of its own.
     """
-    from pyspark.sql import Window
-
-    p = split_oversized(chunks, **options)
-    where = chunks.where("id is not null").groupBy("id").agg(F.min(F.struct("filename", "chunk_idx")).alias("at")).select("id", "at.filename", F.col("at.chunk_idx").alias("old_idx"))
-    n = p.where("chunk_idx = 0").select("id", "n_pieces").join(where, "id")
-    w = Window.partitionBy("filename").orderBy("old_idx", "id").rowsBetween(Window.unboundedPreceding, -1)
-    base = n.select("id", "filename", "old_idx", F.coalesce(F.sum("n_pieces").over(w), F.lit(0)).alias("base"))
-    return p.join(base, "id").select("id", "filename", "old_idx", (F.col("base") + F.col("chunk_idx")).cast("int").alias("chunk_idx"), "text", "word_count", "overlap")
+    spark = chunks.sparkSession
+    ship_code(spark)
+    rows = chunks.where("id is not null").select(F.col("id").cast("string").alias("id"), "filename", F.col("chunk_idx").alias("old_idx"), "text")
+    place = F.struct("filename", "old_idx")
+    per = rows.groupBy("id").agg(F.min(place).alias("at"), F.max(place).alias("to")).where(~F.col("at").eqNullSafe(F.col("to"))).select("id", "at")  # rare
+    src = rows.where("text is not null").join(per, "id", "left").where(F.col("at").isNull() | F.col("at").eqNullSafe(place)).drop("at")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = src.repartitionByRange(parts, "filename", "old_idx", "id").sortWithinPartitions("filename", "old_idx", "id")
+    ordered = ordered.withColumn("part", F.spark_partition_id())
+    schema = pa.schema([("id", pa.string()), ("filename", pa.string()), ("old_idx", pa.int32()), ("part", pa.int32()), ("nr", pa.int64()), ("text", pa.string()), ("word_count", pa.int32()), ("overlap", pa.int32())])
+
+    def cut(batches):
+        file, last, nr = None, None, 0
+        for b in batches:
+            out: list[list] = [[] for _ in schema]
+            for i, f, o, t, part in zip(*(b.column(c).to_pylist() for c in ("id", "filename", "old_idx", "text", "part")), strict=True):
+                if last == i:
+                    continue  # a repeated row
+                if last is None or f != file:
+                    nr = 0
+                file, last = f, i
+                for x, n, w in split_text(t, limit, overlap, least, most):
+                    for c, v in zip(out, (i, f, o, part, nr, x, n, w), strict=True):
+                        c.append(v)
+                    nr += 1
+            yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    p = checkpointed(ordered.mapInArrow(cut, "id string, filename string, old_idx int, part int, nr long, text string, word_count int, overlap int"))
+    n = p.groupBy("filename", "part").agg((F.max("nr") + 1).alias("n"))  # a file has at most as many rows here as there are ranges
+    base = n.select(F.col("filename").alias("f"), F.col("part").alias("q"), F.coalesce(F.sum("n").over(Window.partitionBy("filename").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    x = p.join(base, p["filename"].eqNullSafe(base["f"]) & (p["part"] == base["q"]))
+    return x.select("id", "filename", "old_idx", (F.col("base") + F.col("nr")).cast("int").alias("chunk_idx"), "text", "word_count", "overlap")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkgauge.llm import leak, lookalike, neardup, quality, spam, spans, split
-from inkgauge.llm.common import WORD, records
+from inkgauge.llm.common import WORD, expand_pairs, records
 
 REC = "rec_id string, origin string, text string"
 
@@ -414,3 +414,35 @@ def test_leaks_brute_force(spark, sf_dir):
 def test_unicode_helpers():
     assert unicodedata.normalize("NFC", lookalike.light_form("é")) == "é"
     assert F is not None
+
+
+def test_pairs_of_hot_classes_meet_in_blocks(spark):
+    r = random.Random(2)
+    members = [(f"i{k:03d}", "big" if k < 150 else f"c{r.randrange(12)}") for k in range(220)]
+    pairs = {("big", "big"), ("big", "c1"), ("c2", "c2"), ("c3", "c4"), ("c1", "c1")}
+    by = {}
+    for i, c in members:
+        by.setdefault(c, []).append(i)
+    want = {(min(x, y), max(x, y)) for a, b in pairs for x in by.get(a, []) for y in by.get(b, []) if x != y}
+    for block in (7, 1000):
+        got = [tuple(sorted(x)) for x in expand_pairs(spark.createDataFrame(members, "id string, cls string"), spark.createDataFrame(sorted(pairs), "a string, b string"), block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_reindexed_numbers_run_through_hot_files(spark):
+    r = random.Random(4)
+    d = [(f"x{k:03d}", r.choice(["hot", "hot", "hot", "b", None]), r.choice([0, 1, 1, 1, 7, None]), " ".join(words(r.choice([3, 360, 900]), k))) for k in range(90)]
+    d += d[:9] + [("x001", "zz", 99, d[1][3]), ("n", "b", 1, None)]
+    got = {}
+    for x in split.reindexed(spark.createDataFrame(d, "id string, filename string, chunk_idx int, text string")).collect():
+        got.setdefault(x["filename"], []).append((x["chunk_idx"], x["id"], x["text"]))
+    low = lambda v: (v is not None, v or type(v)() if v is not None else 0)
+    name = lambda v: (v is not None, v or "")
+    want, seen = {}, {}
+    for i, f, o, t in d:
+        if t is not None and (i not in seen or (name(f), low(o)) < seen[i][0]):
+            seen[i] = ((name(f), low(o)), f, o, t)
+    for i, (_, f, o, t) in sorted(seen.items(), key=lambda z: (low(z[1][2]), z[0])):
+        want.setdefault(f, []).extend((i, p) for p, _, _ in split.split_text(t))
+    assert {f: [(i, t) for _, i, t in sorted(v)] for f, v in got.items()} == want
+    assert all([k for k, _, _ in sorted(v)] == list(range(len(v))) for v in got.values())
