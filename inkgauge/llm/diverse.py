@@ -1,8 +1,9 @@
 """Problem 7: a varied subset by max-sum dispersion.
 
-Rows are cut by a hash of their id into blocks of some BLOCK; each block is
-reduced to a core-set by farthest-first traversal, and core-sets of core-sets
-are formed in rounds until a scope (the store, a voice) is within BLOCK rows.
+Rows are cut by a hash of their id into blocks of some BLOCK; of each block
+and scope (the store, a voice) a core-set is formed by farthest-first
+traversal. The core-sets of FAN_IN blocks are put together and reduced in the
+same way, in the levels of a tree, until one is left per scope.
 There a local search starts from the farthest-first choice and swaps a chosen
 vector for another one as long as the sum of pairwise distances grows and the
 quotas hold: no file more than its due places, no two chosen vectors of one
@@ -22,7 +23,7 @@ from inkgauge.llm.common import map_rows
 from inkgauge.llm.vectors import DIM, pack, unit, unpack, usable_vectors
 from inkgauge.session import checkpointed, ship_code
 
-K, FAMILY, BLOCK = 64, 0.8, 8192
+K, FAMILY, BLOCK, FAN_IN = 64, 0.8, 8192, 64
 
 
 def farthest_first(x: np.ndarray, ids: list[str], m: int, files: list[str] | None = None, due: dict[str, int] | None = None, family: float | None = None) -> list[int]:
@@ -89,7 +90,7 @@ def swap_search(x: np.ndarray, chosen: list[int], files: list[str], due: dict[st
         cos[:, c] = x @ x[j]
 
 
-def varied_subset(chunks: DataFrame, k: int = K, dim: int = DIM, family: float = FAMILY, block: int = BLOCK) -> DataFrame:
+def varied_subset(chunks: DataFrame, k: int = K, dim: int = DIM, family: float = FAMILY, block: int = BLOCK, fan_in: int = FAN_IN) -> DataFrame:
     """(voice, id, filename, rank): up to k exemplars of every voice, and of the store (voice null).
 
     A file's due places are its share of the scope's usable ids, rounded up.
@@ -104,7 +105,7 @@ def varied_subset(chunks: DataFrame, k: int = K, dim: int = DIM, family: float =
     src = chunks.where("id is not null").select(F.col("id").cast("string").alias("id"), F.coalesce("filename", F.lit("")).alias("filename"), "voice", "embedding")
     core_size = 2 * k
     blocks = max(1, math.ceil(src.select("id").count() / block))
-    core_schema = pa.schema([("id", pa.string()), ("filename", pa.string()), ("voice", pa.string()), ("vec", pa.binary()), ("n", pa.int64())])
+    core_schema = pa.schema([("scope", pa.string()), ("id", pa.string()), ("filename", pa.string()), ("vec", pa.binary()), ("g", pa.int32()), ("n", pa.int64())])
 
     def scan(b):
         """Usable rows, one per id of a batch."""
@@ -121,14 +122,14 @@ def varied_subset(chunks: DataFrame, k: int = K, dim: int = DIM, family: float =
         return {"id": list(first), "filename": [files[place[i]] for i in first], "voice": [voices[place[i]] for i in first], "vec": [pack(x[j]) for j in first.values()]}
 
     def cores(batches):
-        """Of sorted blocks: the core-set of each voice, and the ids of each (voice, file) counted."""
+        """Of sorted blocks: the core-set of each scope, and its ids counted by file. The store's is one of the voices' core-sets together."""
         held: dict[str, tuple] = {}
         at = None
 
         def done():
-            out: list[tuple] = []
             if not held:
                 return
+            out: list[tuple] = []
             ids = sorted(held)
             x = unit(unpack([held[i][2] for i in ids], dim))
             by: dict[str | None, list[int]] = {}
@@ -136,10 +137,17 @@ def varied_subset(chunks: DataFrame, k: int = K, dim: int = DIM, family: float =
             for j, i in enumerate(ids):
                 f, v, _ = held[i]
                 by.setdefault(v, []).append(j)
-                count[v, f] = count.get((v, f), 0) + 1
-            for rows in by.values():
-                out += [(ids[j], *held[ids[j]], None) for j in (rows[r] for r in farthest_first(x[rows], [ids[r] for r in rows], core_size))]
-            out += [(None, f, v, None, n) for (v, f), n in count.items()]
+                for scope in ("*",) if v is None else ("*", f"={v}"):
+                    count[scope, f] = count.get((scope, f), 0) + 1
+
+            def core(rows: list[int]) -> list[int]:
+                return [rows[r] for r in farthest_first(x[rows], [ids[r] for r in rows], core_size)]
+
+            some = {v: core(rows) for v, rows in by.items()}
+            some[None], voices = core(sorted(j for rows in some.values() for j in rows)), {v: r for v, r in some.items() if v is not None}
+            for scope, rows in [("*", some[None]), *((f"={v}", r) for v, r in voices.items())]:
+                out += [(scope, ids[j], held[ids[j]][0], held[ids[j]][2], at, None) for j in rows]
+            out += [(scope, None, f, None, None, n) for (scope, f), n in count.items()]
             yield pa.record_batch([pa.array(c, type=t) for c, t in zip(zip(*out), core_schema.types, strict=True)], schema=core_schema)
 
         for b in batches:
@@ -152,24 +160,21 @@ def varied_subset(chunks: DataFrame, k: int = K, dim: int = DIM, family: float =
 
     one = map_rows(src, scan, "id string, filename string, voice string, vec binary").withColumn("g", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     one = one.repartition("g").sortWithinPartitions("g", "id", "filename", F.col("voice").asc_nulls_last())
-    found = checkpointed(one.mapInArrow(cores, "id string, filename string, voice string, vec binary, n long"))
-    scopes = F.explode(F.when(F.col("voice").isNull(), F.array(F.lit("*"))).otherwise(F.array(F.lit("*"), F.concat(F.lit("="), "voice")))).alias("scope")
-    both = found.where("n is null").select("id", "filename", "vec", scopes)
-    files = found.where("n is not null").select("filename", "n", scopes).groupBy("scope", "filename").agg(F.sum("n").alias("n"))
+    found = checkpointed(one.mapInArrow(cores, "scope string, id string, filename string, vec binary, g int, n long"))
+    both = found.where("n is null").drop("n")
+    files = found.where("n is not null").groupBy("scope", "filename").agg(F.sum("n").alias("n"))
     files = files.join(files.groupBy("scope").agg(F.sum("n").alias("all")), "scope").select("scope", "filename", (F.col("n") / F.col("all")).alias("share"))
-    out_schema = pa.schema([("id", pa.string()), ("filename", pa.string()), ("vec", pa.binary()), ("scope", pa.string())])
+    out_schema = pa.schema([("scope", pa.string()), ("id", pa.string()), ("filename", pa.string()), ("vec", pa.binary()), ("g", pa.int32())])
 
     def shrink(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
         keep = farthest_first(unit(unpack(t.column("vec").to_pylist(), dim)), t.column("id").to_pylist(), core_size)
         return t.take(pa.array(keep, type=pa.int64())).select(out_schema.names).cast(out_schema)
 
-    while True:  # core-sets of core-sets, until each scope is within a block
-        size = both.groupBy("scope").agg(F.count("*").alias("m"))
-        if (size.agg(F.max("m")).first()[0] or 0) <= block:
-            break
-        parts = both.join(size, "scope").withColumn("g", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block)))
-        both = checkpointed(parts.groupBy("scope", "g").applyInArrow(shrink, "id string, filename string, vec binary, scope string"))
+    while blocks > fan_in:  # a level of the tree: at most fan_in * core_size vectors to a group
+        both = both.withColumn("g", F.floor(F.col("g") / fan_in).cast("int")).repartition("scope", "g")
+        both = checkpointed(both.groupBy("scope", "g").applyInArrow(shrink, "scope string, id string, filename string, vec binary, g int"))
+        blocks = math.ceil(blocks / fan_in)
     final_schema = pa.schema([("voice", pa.string()), ("id", pa.string()), ("filename", pa.string()), ("rank", pa.int32())])
 
     def choose(t: pa.Table) -> pa.Table:
@@ -185,4 +190,4 @@ def varied_subset(chunks: DataFrame, k: int = K, dim: int = DIM, family: float =
         return pa.table([pa.array([None if scope == "*" else scope[1:]] * n, type=pa.string()), pa.array([ids[j] for j in sel]), pa.array([names[j] for j in sel]), pa.array(range(1, n + 1), type=pa.int32())], schema=final_schema)
 
     joined = both.join(files, ["scope", "filename"]).select("scope", "id", "filename", "vec", "share")
-    return joined.groupBy("scope").applyInArrow(choose, "voice string, id string, filename string, rank int")  # at most BLOCK vectors
+    return joined.groupBy("scope").applyInArrow(choose, "voice string, id string, filename string, rank int")  # at most fan_in * core_size vectors

@@ -411,6 +411,29 @@ def test_leaks_brute_force(spark, sf_dir):
     assert rows(leak.exact_leaks(d, i)) == want
 
 
+def test_edited_items_are_found(spark):
+    r = random.Random(12)
+    items = {k: words(r.randrange(14, 120), 900 + k) for k in range(60)}
+    docs, want = {}, {}
+    for k, w in items.items():
+        for edits in (0, 1, 2, 3):
+            x = list(w)
+            for p in r.sample(range(len(x)), edits):
+                x[p] = f"new{r.randrange(999)}"
+            docs[4 * k + edits] = " ".join(words(r.randrange(40), k) + x + words(r.randrange(40), k + 1))
+            grams = {tuple(w[a : a + 5]) for a in range(len(w) - 4)}
+            have = {tuple(x[a : a + 5]) for a in range(len(x) - 4)}
+            if len(grams & have) >= 0.85 * len(grams):
+                want[4 * k + edits, k] = edits
+    dd = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    ii = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x for x in leak.leaks(dd, ii).collect()}
+    assert len(want.keys() & got.keys()) >= 0.97 * len(want) and sum(v > 0 for v in want.values()) > 60
+    assert all(x["n_exact"] or x["item_share"] >= 0.8 for x in got.values())
+    cut = {tuple(x) for x in leak.leaks(dd, ii, block_words=400).collect()}
+    assert cut == {tuple(x) for x in got.values()}  # whatever the blocks
+
+
 def test_unicode_helpers():
     assert unicodedata.normalize("NFC", lookalike.light_form("é")) == "é"
     assert F is not None

@@ -136,7 +136,7 @@ def test_varied_subset(spark, cloud):
         t = some @ some.T
         np.fill_diagonal(t, 0)
         assert mean > (1 - t).sum() / (len(got) * (len(got) - 1))
-    small = lambda x: sorted(map(tuple, diverse.varied_subset(x, k=6, block=64).collect()), key=str)
+    small = lambda x: sorted(map(tuple, diverse.varied_subset(x, k=6, block=64, fan_in=2).collect()), key=str)
     assert small(d.coalesce(1)) == small(d.repartition(5, "filename"))  # in rounds, and however rows are stored
     assert diverse.varied_subset(d.limit(0)).count() == 0
 
