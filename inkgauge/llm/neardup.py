@@ -113,41 +113,37 @@ def _source(texts: DataFrame) -> DataFrame:
     return texts.where("id is not null and text is not null").select(F.col("id").cast("string").alias("id"), "text")
 
 
-def signatures(texts: DataFrame, k: int, min_words: int, rows: int) -> DataFrame:
-    """(rep, id, keys, sketch) of each class: its word key, smallest id, band keys and a byte of N_SKETCH MinHash values."""
+def signed(texts: DataFrame, k: int, min_words: int, rows: int) -> DataFrame:
+    """(rep, id, keys, sketch) of every text with at least min_words words: its class (the key of its word sequence), band keys
+    and a byte of N_SKETCH MinHash values. Of equal texts of a batch only the first has keys and a sketch."""
 
     def sign(b):
-        out: dict[int, list] = {}
+        out: dict[str, list] = {n: [] for n in ("rep", "id", "keys", "sketch")}
+        known: set[int] = set()
         with np.errstate(over="ignore"):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = word_hashes(WORD.findall(one_form(t).lower()))
                 if len(h) < max(1, min_words):
                     continue
                 rep = _word_key(h)
-                if rep in out:  # one of equal texts of a batch
-                    out[rep][0] = min(i, out[rep][0])
+                out["rep"].append(rep)
+                out["id"].append(i)
+                if rep in known:
+                    out["keys"].append(None)
+                    out["sketch"].append(None)
                     continue
+                known.add(rep)
                 v = minhash(shingles(h, k))
-                out[rep] = [i, band_keys(v, rows).tobytes(), (v[:N_SKETCH] & np.uint32(255)).astype(np.uint8).tobytes()]
-        return {"rep": list(out), "id": [x[0] for x in out.values()], "keys": [x[1] for x in out.values()], "sketch": [x[2] for x in out.values()]}
-
-    sig = map_rows(_source(texts), sign, "rep long, id string, keys binary, sketch binary")
-    return sig.groupBy("rep").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-
+                out["keys"].append(band_keys(v, rows).tobytes())
+                out["sketch"].append((v[:N_SKETCH] & np.uint32(255)).astype(np.uint8).tobytes())
+        return out
 
-def class_members(texts: DataFrame, min_words: int) -> DataFrame:
-    """(id, rep) of every text with at least min_words words."""
+    return map_rows(_source(texts), sign, "rep long, id string, keys binary, sketch binary")
 
-    def key(b):
-        out = {"id": [], "rep": []}
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            h = word_hashes(WORD.findall(one_form(t).lower()))
-            if len(h) >= max(1, min_words):
-                out["id"].append(i)
-                out["rep"].append(_word_key(h))
-        return out
 
-    return map_rows(_source(texts), key, "id string, rep long").distinct()
+def representatives(rows: DataFrame) -> DataFrame:
+    """Of signed() rows one per class, with its smallest id."""
+    return rows.groupBy("rep").agg(F.min("id").alias("id"), F.first("keys", ignorenulls=True).alias("keys"), F.first("sketch", ignorenulls=True).alias("sketch"))
 
 
 def _bands(rep: DataFrame) -> DataFrame:
@@ -300,8 +296,8 @@ def similar_texts(texts: DataFrame, threshold: float = 0.8, k: int = 5, min_word
     members (id, rep): the class of every text with at least min_words words.
     Null ids and null texts take no part; repeated rows of an id count once.
     """
-    rep = checkpointed(signatures(texts, k, min_words, band_rows(threshold)))
-    members = class_members(texts, min_words)
+    rows = checkpointed(signed(texts, k, min_words, band_rows(threshold)))
+    rep, members = checkpointed(representatives(rows)), rows.select("id", "rep").distinct()
     likely = checkpointed(likely_pairs(candidate_pairs(rep, hot, threshold), rep, threshold))
     needed = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct().join(rep.select("rep", "id"), "rep")
     needed = checkpointed(needed)

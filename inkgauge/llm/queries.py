@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from inkgauge.llm import diverse, leak, lookalike, mix, neardup, quality, spam, spans, split, vectors
 from inkgauge.llm.common import records
-from inkgauge.session import table
+from inkgauge.session import checkpointed, table
 
 
 def _chunks(s, d):
@@ -84,7 +84,7 @@ def p8_leaks(s, d):
 
 
 def _mix(s, d):
-    counts = mix.token_counts(_documents(s, d))
+    counts = checkpointed(mix.token_counts(_documents(s, d)))  # three columns of numbers, read three times
     return counts, mix.mix_plan(counts, table(s, d, "mix_targets"))
 
 

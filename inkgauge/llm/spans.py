@@ -22,6 +22,8 @@ A truncated, prefix-partitioned suffix tree over tokens:
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,9 +32,10 @@ from pyspark.sql import functions as F
 
 from inkgauge.llm.common import map_rows
 from inkgauge.llm.neardup import _mix, word_hashes
-from inkgauge.session import ship_code
+from inkgauge.session import checkpointed, ship_code
 
 LENGTH, SEED = 30, 12
+GROUP_ROWS = 2_000_000  # suffixes to a subtree, some 80 MB
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(0xFFFFFFFF00000000)
 ROWS_PER_STEP = 400
@@ -140,15 +143,16 @@ def shared_windows(records: DataFrame, length: int = LENGTH, seed: int = SEED) -
         j = [np.concatenate([p[i] for p in parts]) if i in (0, 1, 4) else pa.concat_arrays([p[i] for p in parts]) for i in range(5)]
         return {"k1": pa.array(j[0]), "k2": pa.array(j[1]), "rec": j[2], "org": j[3], "pos": pa.array(j[4])}
 
-    suffixes = map_rows(src.join(hits.hint("shuffle_hash"), "rec").select("rec", "org", "text", "hits"), paths, "k1 long, k2 long, rec long, org long, pos int")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    suffixes = checkpointed(map_rows(src.join(hits.hint("shuffle_hash"), "rec").select("rec", "org", "text", "hits"), paths, "k1 long, k2 long, rec long, org long, pos int"))
+    # as many groups as keep each within GROUP_ROWS suffixes
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(suffixes.count() / GROUP_ROWS))
     ordered = suffixes.repartitionByRange(parts, "k1", "k2", "rec").sortWithinPartitions("k1", "k2")
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("rec", pa.int64()), ("org", pa.int64()), ("pos", pa.int32()), ("edge", pa.bool_())])
 
     def walk(batches):
         yield from walk_subtree(batches, schema)
 
-    walked = ordered.mapInArrow(walk, "k1 long, k2 long, rec long, org long, pos int, edge boolean")
+    walked = checkpointed(ordered.mapInArrow(walk, "k1 long, k2 long, rec long, org long, pos int, edge boolean"))
     # at most two nodes per group are edges, however many rows they hold
     edges = walked.where("edge")
     nodes = edges.groupBy("k1", "k2").agg(F.min("org").alias("lo"), F.max("org").alias("hi")).where("lo < hi").select("k1", "k2")
