@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgauge.session import ship_code, table
+from inkgauge.session import checkpointed, ship_code, table
 
 WORD = re.compile(r"\w+")
 
@@ -62,7 +62,7 @@ def expand_pairs(members: DataFrame, pairs: DataFrame, block: int = 4096) -> Dat
     rows = members.join(size, "cls").select("id", "cls", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("own"))
     p = pairs.select("a", "b").join(size.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
     p = p.select("a", "b", "nb", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"))
-    p = p.select("a", "b", "i", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(0), F.col("nb") - 1)).alias("j"))
+    p = checkpointed(p.select("a", "b", "i", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(0), F.col("nb") - 1)).alias("j")))
     left = p.join(rows.select(F.col("cls").alias("a"), F.col("own").alias("i"), F.col("id").alias("x")), ["a", "i"])
     right = p.join(rows.select(F.col("cls").alias("b"), F.col("own").alias("j"), F.col("id").alias("y")), ["b", "j"])
     return left.join(right, ["a", "b", "i", "j"]).where("a <> b or i <> j or x < y").select("x", "y")
