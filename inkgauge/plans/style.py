@@ -160,36 +160,48 @@ def sentence_terciles(s, d):
     return x.select("voice", R(F.col("lo")).alias("lo"), R(F.col("hi")).alias("hi"))
 
 
-_CAD = f"""
-with a as (select doc_id, {S.sents('text')} as s, {S.paras('text')} as p from documents where text is not null),
-b as (select doc_id, unnest(s) as sent, generate_subscripts(s, 1) as pos from a),
-c0 as (select doc_id, pos, sent, len({S.w1('sent')}) as n from b),
-c as (select doc_id, row_number() over (partition by doc_id order by pos) as i, n from c0 where n > 0),
-m as (select doc_id, count(*) as cnt, avg(n) as mean, sum(pow(n - mu, 2)) as var from (select *, avg(n) over (partition by doc_id) as mu from c) group by doc_id),
-w as (select c.doc_id, i, n, n - mean as dev, lead(n - mean, 1) over x as dev1, lead(n - mean, 2) over x as dev2, lead(n, 1) over x - n as delta,
-  case when n <= 12 then 0 when n > 22 then 2 else 1 end as cls from c join m using (doc_id) window x as (partition by doc_id order by i)),
-w2 as (select *, lead(cls) over (partition by doc_id order by i) as nxt from w),
-sg as (select doc_id, sign(delta) as sg, lead(sign(delta)) over (partition by doc_id order by i) as ng from w where delta <> 0),
-dc as (select doc_id, case when count(*) > 1 then sum(case when ng is not null and sg <> ng then 1 else 0 end) / (count(*) - 1)::double else 0.0 end as dir from sg group by doc_id),
-tr as (select doc_id, cls, nxt, count(*) as k from w2 where nxt is not null group by all),
-en as (select doc_id, -sum(k / t * log2(k / t)) as h from (select *, sum(k) over (partition by doc_id)::double as t from tr) group by doc_id),
-ag as (select doc_id, sum(dev * dev1) as c1, sum(dev * dev2) as c2, avg(abs(delta)) as da, stddev_samp(delta) as ds, sum(case when nxt is not null and nxt <> cls then 1 else 0 end) as ch,
-  sum(case when nxt = 0 and cls = 2 then 1 else 0 end) / nullif(sum(case when nxt is not null and cls = 2 then 1 else 0 end), 0)::double as sal from w2 group by doc_id),
-pp as (select doc_id, unnest(list_filter(list_transform(p, lambda q: {S.sents('q')}), lambda z: len(z) > 0)) as ss from a),
-po as (select doc_id, avg(len({S.w1('ss[1]')})) as o, avg(len({S.w1('ss[-1]')})) as cl from pp group by doc_id),
-cq as (select doc_id, pos, unnest(list_filter(list_transform(regexp_split_to_array(sent, '[,;:]'), lambda q: len({S.w1('q')})), lambda v: v > 0)) as k from c0),
-cl as (select doc_id, avg(k) as cm, coalesce(stddev_samp(k), 0.0) as cs, count(*) / count(distinct pos)::double as per from cq group by doc_id)
-select a.doc_id, {', '.join(f'case when coalesce(m.cnt, 0) >= 4 then {S.r6(v)} else 0.0 end as {k}' for k, v in {
-    'sl_autocorr1': 'case when m.cnt > 2 and m.var > 1e-9 then ag.c1 / m.var else 0.0 end',
-    'sl_autocorr2': 'case when m.cnt > 3 and m.var > 1e-9 then ag.c2 / m.var else 0.0 end',
-    'sl_delta_abs': 'ag.da / m.mean', 'sl_delta_sd': 'coalesce(ag.ds, 0.0) / m.mean', 'sl_dir_changes': 'coalesce(dc.dir, 0.0)', 'sl_run_mean': 'm.cnt / (ag.ch + 1)::double',
-    'sl_trans_entropy': 'coalesce(en.h, 0.0)', 'sl_short_after_long': 'coalesce(ag.sal, 0.0)', 'para_open_ratio': 'coalesce(po.o / m.mean, 0.0)', 'para_close_ratio': 'coalesce(po.cl / m.mean, 0.0)',
-    'clause_len_mean': 'coalesce(cl.cm, 0.0)', 'clause_len_cv': 'coalesce(cl.cs / cl.cm, 0.0)', 'clause_per_sent': 'coalesce(cl.per, 0.0)'}.items())}
-from a left join m using (doc_id) left join ag using (doc_id) left join dc using (doc_id) left join en using (doc_id) left join po using (doc_id) left join cl using (doc_id)
-"""
-
-
-@query("cadence_features", _CAD)
+def cadence_cte(src: str, key: str, name: str = "cad", lo: str = "12", hi: str = "22") -> str:
+    """CTEs ending in ``name`` (key, the 13 cadence features) of the texts of a table; lo and hi may be columns of it."""
+    n = name
+    feats = {
+        "sl_autocorr1": "case when m.cnt > 2 and m.var > 1e-9 then ag.c1 / m.var else 0.0 end",
+        "sl_autocorr2": "case when m.cnt > 3 and m.var > 1e-9 then ag.c2 / m.var else 0.0 end",
+        "sl_delta_abs": "ag.da / m.mean",
+        "sl_delta_sd": "coalesce(ag.ds, 0.0) / m.mean",
+        "sl_dir_changes": "coalesce(dc.dir, 0.0)",
+        "sl_run_mean": "m.cnt / (ag.ch + 1)::double",
+        "sl_trans_entropy": "coalesce(en.h, 0.0)",
+        "sl_short_after_long": "coalesce(ag.sal, 0.0)",
+        "para_open_ratio": "coalesce(po.o / m.mean, 0.0)",
+        "para_close_ratio": "coalesce(po.cl / m.mean, 0.0)",
+        "clause_len_mean": "coalesce(cl.cm, 0.0)",
+        "clause_len_cv": "coalesce(cl.cs / cl.cm, 0.0)",
+        "clause_per_sent": "coalesce(cl.per, 0.0)",
+    }
+    cols = ", ".join(f"case when coalesce(m.cnt, 0) >= 4 then {v} else 0.0 end as {k}" for k, v in feats.items())
+    return f"""
+{n}_a as (select {key}, {S.sents('text')} as s, {S.paras('text')} as p, {lo} as lo, {hi} as hi from {src} where text is not null),
+{n}_b as (select {key}, unnest(s) as sent, generate_subscripts(s, 1) as pos from {n}_a),
+{n}_c0 as (select {key}, pos, sent, len({S.w1('sent')}) as n from {n}_b),
+{n}_c as (select {key}, row_number() over (partition by {key} order by pos) as i, n from {n}_c0 where n > 0),
+{n}_m as (select {key}, count(*) as cnt, avg(n) as mean, sum(pow(n - mu, 2)) as var from (select *, avg(n) over (partition by {key}) as mu from {n}_c) group by {key}),
+{n}_w as (select c.{key}, i, n, n - mean as dev, lead(n - mean, 1) over x as dev1, lead(n - mean, 2) over x as dev2, lead(n, 1) over x - n as delta,
+  case when n <= a.lo then 0 when n > a.hi then 2 else 1 end as cls from {n}_c c join {n}_m m using ({key}) join {n}_a a using ({key}) window x as (partition by c.{key} order by i)),
+{n}_w2 as (select *, lead(cls) over (partition by {key} order by i) as nxt from {n}_w),
+{n}_sg as (select {key}, sign(delta) as sg, lead(sign(delta)) over (partition by {key} order by i) as ng from {n}_w where delta <> 0),
+{n}_dc as (select {key}, case when count(*) > 1 then sum(case when ng is not null and sg <> ng then 1 else 0 end) / (count(*) - 1)::double else 0.0 end as dir from {n}_sg group by {key}),
+{n}_tr as (select {key}, cls, nxt, count(*) as k from {n}_w2 where nxt is not null group by all),
+{n}_en as (select {key}, -sum(k / t * log2(k / t)) as h from (select *, sum(k) over (partition by {key})::double as t from {n}_tr) group by {key}),
+{n}_ag as (select {key}, sum(dev * dev1) as c1, sum(dev * dev2) as c2, avg(abs(delta)) as da, stddev_samp(delta) as ds, sum(case when nxt is not null and nxt <> cls then 1 else 0 end) as ch,
+  sum(case when nxt = 0 and cls = 2 then 1 else 0 end) / nullif(sum(case when nxt is not null and cls = 2 then 1 else 0 end), 0)::double as sal from {n}_w2 group by {key}),
+{n}_pp as (select {key}, unnest(list_filter(list_transform(p, lambda q: {S.sents('q')}), lambda z: len(z) > 0)) as ss from {n}_a),
+{n}_po as (select {key}, avg(len({S.w1('ss[1]')})) as o, avg(len({S.w1('ss[-1]')})) as cl from {n}_pp group by {key}),
+{n}_cq as (select {key}, pos, unnest(list_filter(list_transform(regexp_split_to_array(sent, '[,;:]'), lambda q: len({S.w1('q')})), lambda v: v > 0)) as k from {n}_c0),
+{n}_cl as (select {key}, avg(k) as cm, coalesce(stddev_samp(k), 0.0) as cs, count(*) / count(distinct pos)::double as per from {n}_cq group by {key}),
+{n} as (select a.{key}, {cols} from {n}_a a left join {n}_m m using ({key}) left join {n}_ag ag using ({key}) left join {n}_dc dc using ({key}) left join {n}_en en using ({key}) left join {n}_po po using ({key}) left join {n}_cl cl using ({key}))"""
+
+
+@query("cadence_features", f"with {cadence_cte('documents', 'doc_id')} select doc_id, " + ", ".join(f"{S.r6(f)} as {f}" for f in P.CADENCE) + " from cad")
 def cadence_features(s, d):
     return doc_units(s, d, cadence=True).select("doc_id", *(R(F.col(f)).alias(f) for f in P.CADENCE))
 
@@ -202,7 +214,34 @@ def cadence_fit(s, d) -> DataFrame:
     return x.drop("text")
 
 
-@query("cadence_gap_audit")
+_EVERY = P.SURFACE + P.CADENCE
+# usable documents (uc) and the accepted drafts of 80 tokens or more (ac) with 26 features, both under the voice's own sentence classes
+_CUTS = f"""vd as (select doc_id, voice, text from documents where text is not null and voice is not null),
+ln as (select voice, unnest(list_transform({S.sents('text')}, lambda x: len({S.w1('x')}))) as n from vd),
+cut as (select voice, case when count(*) < 10 then 12.0 else quantile_cont(n::double, 1/3::double) end as lo, case when count(*) < 10 then 22.0 else quantile_cont(n::double, 2/3::double) end as hi from ln where n > 0 group by voice),
+vc as (select vd.*, lo, hi from vd join cut using (voice)), {cadence_cte('vc', 'doc_id', 'cd', 'lo', 'hi')}, {S.feature_cte('documents', 'doc_id', 'voice')},
+uc as (select feat.*, {', '.join('cd.' + f for f in P.CADENCE)} from feat join cd using (doc_id) where voice is not null and n_words >= {P.MIN_PIECE_WORDS}),
+fc as (select voice, count(*) as n_pieces, {', '.join(f'avg({f}) as {f}_m, coalesce(stddev_samp({f}), 0.0) as {f}_s' for f in _EVERY)} from uc group by voice having count(*) >= {P.MIN_PIECES})"""
+
+
+def _rms(features, unit: str = "x", fp: str = "y") -> str:
+    return "sqrt((" + " + ".join(f"pow({S.z(f, unit, fp)}, 2)" for f in features) + f") / {len(features)}.0)"
+
+
+_LOOC = (
+    "restc as (select a.doc_id, a.voice, "
+    + ", ".join(f"avg(b.{f}) as {f}_m, coalesce(stddev_samp(b.{f}), 0.0) as {f}_s" for f in P.CADENCE)
+    + f" from uc a join uc b on a.voice = b.voice and a.doc_id <> b.doc_id where a.voice in (select voice from fc) group by all), own as (select x.voice, avg({_rms(P.CADENCE)}) as corpus from uc x join restc y using (doc_id, voice) group by x.voice)"
+)
+
+
+@query(
+    "cadence_gap_audit",
+    f"with {_CUTS}, {_LOOC}, lg as (select * from (select *, row_number() over (partition by voice, seq order by id) as k from accepted_log where text is not null and voice is not null) where k = 1), "
+    f"lc as (select voice || chr(0) || seq::varchar as akey, voice, text, lo, hi from lg join cut using (voice) where len({S.tok('text')}) >= 80), {cadence_cte('lc', 'akey', 'ca', 'lo', 'hi')}, "
+    f"acc as (select x.voice, avg({_rms(P.CADENCE)}) as accepted, count(*) as n_accepted from (select ca.*, lc.voice from ca join lc using (akey)) x join fc y using (voice) group by x.voice) "
+    f"select voice, n_accepted, {S.r6('corpus')} as corpus, {S.r6('accepted')} as accepted, {S.r6('accepted - corpus')} as gap, case when accepted - corpus > 0.3 then 'wide' when accepted - corpus > 0.1 then 'some' else 'none' end as verdict from own join acc using (voice)",
+)
 def cadence_gap_audit(s, d):
     """Per voice: leave-one-out cadence distance of its documents, cadence distance of its accepted drafts, the gap."""
     u = checkpointed(C.usable(cadence_fit(s, d)))
@@ -216,7 +255,7 @@ def cadence_gap_audit(s, d):
     return own.join(x, "voice").select("voice", "n_accepted", R(F.col("corpus")).alias("corpus"), R(F.col("accepted")).alias("accepted"), R(gap).alias("gap"), F.when(gap > 0.3, "wide").when(gap > 0.1, "some").otherwise("none").alias("verdict"))
 
 
-@query("cadence_distance")
+@query("cadence_distance", f"with {_CUTS} select x.doc_id, x.voice, {S.r6(_rms(_EVERY))} as rmsz, {S.r6(_rms(P.CADENCE))} as cadence_rmsz from uc x join fc y using (voice)")
 def cadence_distance(s, d):
     u = checkpointed(C.usable(cadence_fit(s, d)))
     every = P.SURFACE + P.CADENCE
@@ -290,11 +329,18 @@ ADVICE = {
 }
 
 
-@query("cadence_hints")
+_HINT = "case feature " + " ".join(f"when '{k}' then case when z > 0 then {S.lit(a)} else {S.lit(b)} end" for k, (a, b) in ADVICE.items()) + " end"
+
+
+@query(
+    "cadence_hints",
+    f"with {_CUTS}, lz as (" + " union all ".join(f"select x.doc_id, '{f}' as feature, {i} as idx, {S.z(f)} as z from uc x join fc y using (voice)" for i, f in enumerate(P.CADENCE)) + f"), rz as (select *, row_number() over (partition by doc_id order by round(abs(z), 9) desc, idx) as rank from lz) select doc_id, feature, {S.r6('z')} as z, {_HINT} as advice from rz where rank = 1",
+)
 def cadence_hints(s, d):
     """The advice for the worst cadence feature of every usable document."""
     u = checkpointed(C.usable(cadence_fit(s, d)))
     x = C.with_distance(u, C.fingerprint(u, P.CADENCE), P.CADENCE)
+    x = x.withColumns({f"{f}__z": F.round(F.col(f"{f}__z"), 9) for f in P.CADENCE})
     x = x.select("doc_id", C.worst_features(P.CADENCE, 1)[0].alias("w")).select("doc_id", "w.feature", "w.z")
     hint = F.create_map(*(v for k, (hi, lo) in ADVICE.items() for v in (F.lit(k), F.struct(F.lit(hi).alias("hi"), F.lit(lo).alias("lo")))))
     return x.withColumn("h", hint[F.col("feature")]).select("doc_id", "feature", R(F.col("z")).alias("z"), F.when(F.col("z") > 0, F.col("h.hi")).otherwise(F.col("h.lo")).alias("advice"))
