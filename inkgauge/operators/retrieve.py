@@ -173,9 +173,9 @@ def allocation(shares: DataFrame, limit: int) -> DataFrame:
     return shares.withColumn("slots", F.greatest(F.when(F.col("share") >= 0.05, 1).otherwise(0), n))
 
 
-def blended(ranked: DataFrame, shares: DataFrame, limit: int, q_col: str = "query_id") -> DataFrame:
-    """Anchors of several sources interleaved: (query, id, source, place) from ranked (query, source, id, rank)."""
-    x = ranked.join(allocation(shares, limit), "source").where(F.col("rank") <= F.col("slots"))
+def blended(ranked: DataFrame, limit: int, q_col: str = "query_id") -> DataFrame:
+    """Anchors of several sources interleaved: (query, id, source, place) from ranked (query, source, share, id, rank), the strongest source first."""
+    x = allocation(ranked, limit).where(F.col("rank") <= F.col("slots"))
     w = Window.partitionBy(q_col).orderBy("rank", F.col("share").desc(), "source")
     return x.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select(q_col, "id", "source", "place")
 

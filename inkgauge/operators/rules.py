@@ -210,17 +210,32 @@ def quality_flags(density_p25: Column, specificity_p25: Column) -> Column:
 # --- calibrations, one row per voice ---
 
 
-def scrub_calibration(df: DataFrame, by: str = "voice", text: str = "text") -> DataFrame:
-    """burstiness_floor, hedge_ceiling, dash_per1k_p95, mean_sentence_len, n_pieces over texts of three sentences or more."""
+def measured(df: DataFrame, by: str = "voice", text: str = "text") -> DataFrame:
+    """The measures all calibrations of a corpus need, one narrow row per text, written once: its texts are read once for all of them."""
     t = F.col(text)
-    x = df.where(F.col(by).isNotNull() & t.isNotNull()).select(by, sentence_lengths(t).alias("l"), T.count(t, P.HEDGES_SOFT).alias("h"), plain_dashes(t).alias("d")).where(F.size("l") >= 3)
-    n = T.total(F.col("l"))
-    x = x.select(by, T.stdev(F.col("l")).alias("b"), T.mean(F.col("l")).alias("m"), (F.col("h") * 200.0 / n).alias("h"), (F.col("d") * 1000.0 / n).alias("d"))
-    x = checkpointed(x)
-    q = group_quantiles(x, [by], {"burstiness_floor": ("b", "even", 0.05), "hedge_ceiling": ("h", "even", 0.95), "dash_per1k_p95": ("d", "even", 0.95), "mean_sentence_len": ("m", "even", 0.5)})
+    q, p = quality_columns(t), presence_columns(t)
+    x = df.where(F.col(by).isNotNull() & t.isNotNull()).select(
+        by, F.size(T.words_unicode(t)).alias("n"), F.size(T.words_ascii(t)).alias("n_ascii"), sentence_lengths(t).alias("l"), T.count(t, P.HEDGES_SOFT).alias("h"), plain_dashes(t).alias("d"),
+        rate(t, P.WH_CLEFT).alias("c"), rate(t, P.ANTITHESIS).alias("a"), q["density"].alias("density"), q["specificity"].alias("specificity"), *(p[k].alias(k) for k in P.PRESENCE),
+    )
+    total = T.total(F.col("l"))
+    three = F.when(F.size("l") >= 3, F.lit(1))  # null, and so out of the order statistics, where too short
+    x = x.withColumns({"burst": three * T.stdev(F.col("l")), "mean_len": three * T.mean(F.col("l")), "hedge": three * F.col("h") * 200.0 / total, "dash": three * F.col("d") * 1000.0 / total, "three": three}).drop("l", "h", "d")
+    return checkpointed(x)
+
+
+def scrub_bands_of(x: DataFrame, by: str = "voice") -> DataFrame:
+    """burstiness_floor, hedge_ceiling, dash_per1k_p95, mean_sentence_len, n_pieces of measured() texts of three sentences or more."""
+    x = x.where("three = 1")
+    q = group_quantiles(x, [by], {"burstiness_floor": ("burst", "even", 0.05), "hedge_ceiling": ("hedge", "even", 0.95), "dash_per1k_p95": ("dash", "even", 0.95), "mean_sentence_len": ("mean_len", "even", 0.5)})
     return x.groupBy(by).agg(F.count("*").alias("n_pieces")).join(q, by)
 
 
+def scrub_calibration(df: DataFrame, by: str = "voice", text: str = "text") -> DataFrame:
+    """burstiness_floor, hedge_ceiling, dash_per1k_p95, mean_sentence_len, n_pieces over texts of three sentences or more."""
+    return scrub_bands_of(measured(df, by, text), by)
+
+
 def tell_usage(df: DataFrame, words: tuple, by: str = "voice", text: str = "text") -> DataFrame:
     """(by, word, uses) of the words of a list in texts of three sentences or more; other words never leave their row."""
     t = F.col(text)
@@ -239,11 +254,13 @@ def banlists(df: DataFrame, words: tuple = P.TELL_WORDS, least: int = 3, by: str
 
 def rhetoric_calibration(df: DataFrame, by: str = "voice", text: str = "text", min_words: int = 200) -> DataFrame:
     """Bands of cleft and antithesis rates over texts of min_words or more; defaults for voices without any."""
-    t = F.col(text)
-    x = df.where(F.col(by).isNotNull() & t.isNotNull()).select(by, F.size(T.words_unicode(t)).alias("n"), rate(t, P.WH_CLEFT).alias("c"), rate(t, P.ANTITHESIS).alias("a"))
-    long_ = F.when(F.col("n") >= min_words, F.lit(1))
-    c, a = F.col("c") * long_, F.col("a") * long_  # null, and so out of the aggregates, where too short
-    x = checkpointed(x.select(by, long_.alias("one"), c.alias("c"), a.alias("a")))
+    return rhetoric_bands_of(measured(df, by, text), by, min_words)
+
+
+def rhetoric_bands_of(x: DataFrame, by: str = "voice", min_words: int = 200) -> DataFrame:
+    """rhetoric_calibration() of measured() texts."""
+    long_ = F.when(F.col("n") >= min_words, F.lit(1))  # null, and so out of the aggregates, where too short
+    x = x.select(by, long_.alias("one"), (F.col("c") * long_).alias("c"), (F.col("a") * long_).alias("a"))
     q = group_quantiles(x, [by], {"c95": ("c", "floor", 0.95), "a95": ("a", "floor", 0.95), "c25": ("c", "floor", 0.25), "a25": ("a", "floor", 0.25)})
     y = x.groupBy(by).agg(F.count("one").alias("n_pieces")).join(q, by)
     some = F.col("n_pieces") > 0
@@ -258,20 +275,25 @@ def rhetoric_calibration(df: DataFrame, by: str = "voice", text: str = "text", m
 
 
 def quality_calibration(df: DataFrame, by: str = "voice", text: str = "text", min_words: int = 200, min_pieces: int = 5) -> DataFrame:
-    t = F.col(text)
-    q = quality_columns(t)
-    x = df.where(F.col(by).isNotNull() & t.isNotNull()).where(F.size(T.words_ascii(t)) >= min_words).select(by, q["density"].alias("d"), q["specificity"].alias("s"))
-    x = checkpointed(x)
+    """Lower quartiles and medians of density and specificity over texts of min_words or more, of voices with min_pieces of them."""
+    return quality_bands_of(measured(df, by, text), by, min_words, min_pieces)
+
+
+def quality_bands_of(x: DataFrame, by: str = "voice", min_words: int = 200, min_pieces: int = 5) -> DataFrame:
+    """quality_calibration() of measured() texts."""
+    x = x.where(F.col("n_ascii") >= min_words).select(by, F.col("density").alias("d"), F.col("specificity").alias("s"))
     q = group_quantiles(x, [by], {"density_p25": ("d", "floor", 0.25), "specificity_p25": ("s", "floor", 0.25), "density_median": ("d", "linear", 0.5), "specificity_median": ("s", "linear", 0.5)})
     return x.groupBy(by).agg(F.count("*").alias("n_pieces")).where(F.col("n_pieces") >= min_pieces).join(q, by)
 
 
 def presence_calibration(df: DataFrame, by: str = "voice", text: str = "text") -> DataFrame:
     """Medians of all classes and floors of the gated ones, over texts of 220 words or more."""
-    t = F.col(text)
-    p = presence_columns(t)
-    x = df.where(F.col(by).isNotNull() & t.isNotNull()).where(F.size(T.words_unicode(t)) >= P.ABSENCE_WORDS).select(by, *(p[k].alias(k) for k in P.PRESENCE))
-    x = checkpointed(x)
+    return presence_floors_of(measured(df, by, text), by)
+
+
+def presence_floors_of(x: DataFrame, by: str = "voice") -> DataFrame:
+    """presence_calibration() of measured() texts."""
+    x = x.where(F.col("n") >= P.ABSENCE_WORDS).select(by, *P.PRESENCE)
     q = group_quantiles(x, [by], {f"{k}_median": (k, "linear", 0.5) for k in P.PRESENCE} | {f"{k}_floor": (k, "even", 0.25) for k in P.FIELD_FLOOR})
     med = [F.round(f"{k}_median", 3).alias(f"{k}_median") for k in P.PRESENCE]
     floor = [F.round(F.greatest(f"{k}_floor", F.lit(f)), 3).alias(f"{k}_floor") for k, f in P.FIELD_FLOOR.items()]

@@ -10,7 +10,7 @@ from inkgauge.operators import calibrate as C
 from inkgauge.operators import chunking, feedback, fidelity, markup, rules
 from inkgauge.plans import sqlkit as S
 from inkgauge.plans.registry import query
-from inkgauge.plans.style import _CAND, doc_fit
+from inkgauge.plans.style import _CAND, _CANDF, _LOO, calibration_units, candidate_units, doc_fit
 from inkgauge.session import table
 
 R = T.rounded
@@ -52,6 +52,16 @@ _DASHES = S.n_found(f"regexp_replace(text, {S.rx(P.RULE_LINE)}, '', 'g')", P.DAS
 _SLEN = f"list_filter(list_transform({S.sents('text')}, lambda q: len({S.w2('q')})), lambda n: n > 0)"
 
 
+_WORST3 = "list_sort([" + ", ".join(f"abs({S.z(f)})" for f in P.SURFACE) + "], 'desc')[1:3]"
+
+
+def _fit(distance: str, worst: str = "") -> str:
+    """off, drifting or fit, over self_baseline and fit_threshold."""
+    drift = f"{distance} > self_baseline * {P.FIT_RATIO}" + (f" or len(list_filter({worst}, lambda v: v >= {P.FEATURE_Z})) >= {P.FEATURE_K}" if worst else "")
+    limit = f"(case when fit_threshold > 0 then fit_threshold else self_baseline * {P.FIT_RATIO} end)"
+    return f"case when {limit} > 0 and {distance} > {limit} then 'off' when self_baseline > 0 and ({drift}) then 'drifting' else 'fit' end"
+
+
 @query(
     "scrub_scores",
     f"with {_TEXTS} select id, {_DASHES} as dashes, array_to_string(list_sort(list_filter({_TELLS}, lambda w: list_contains({S.found('lower(text)', P.WORD_PLAIN)}, w))), '|') as banned_words, "
@@ -137,7 +147,23 @@ def rhetoric_tics(s, d):
     return texts(s, d).select("id", *n, R(c["cleft_rate"]).alias("cleft_rate"), R(c["antithesis_rate"]).alias("antithesis_rate"))
 
 
-@query("it_clefts")
+def _no_lookahead(t: str, p: str) -> tuple[str, str]:
+    """(text, pattern) for RE2 of a pattern with one negative lookahead after white space: where it forbids a match, the white space before is taken out of the text."""
+    head, rest = p.split("(?!", 1)
+    depth = 1
+    for k, c in enumerate(rest):
+        depth += {"(": 1, ")": -1}.get(c, 0)
+        if not depth:
+            break
+    before = head.removesuffix(P.WS + "+")
+    flags, before = (before[:4], before[4:]) if before.startswith("(?i)") else ("", before)
+    return f"regexp_replace({t}, {S.lit(f'{flags}({before}){P.WS}+({rest[:k]})')}, '\\1' || chr(1) || '\\2', 'g')", head + rest[k + 1 :]
+
+
+_IT = _no_lookahead("text", P.IT_CLEFT)
+
+
+@query("it_clefts", f"with {_TEXTS} select id, {S.r6(f'coalesce({S.n_found(*_IT)} * 1000.0::double / nullif(len({S.w2("text")}), 0), 0.0)')} as it_cleft_rate from texts")
 def it_clefts(s, d):
     return texts(s, d).select("id", R(rules.rhetoric_columns(F.col("text"))["it_cleft_rate"]).alias("it_cleft_rate"))
 
@@ -209,18 +235,32 @@ def quality_bands(s, d):
     return c.select("voice", "n_pieces", *(R(F.col(k)).alias(k) for k in ("density_p25", "specificity_p25", "density_median", "specificity_median")))
 
 
+def _redundancy(src: str, key: str) -> str:
+    """CTEs ending in red (key, ov, i, j): the worst pair of sentences of the texts of a table with 40 words or more that have any."""
+    return (
+        f"rx as (select {key}, {S.sents('text')} as s, len({S.w1('text')}) as n from {src} where text is not null), rc as (select {key}, unnest(range(0, len(s))) as i, unnest(list_transform(s, lambda e: list_distinct({_content('e')}))) as c from rx where n >= 40), "
+        f"rk as (select * from rc where len(c) >= 4), rp as (select a.{key}, a.i, b.i as j, len(list_intersect(a.c, b.c)) / least(len(a.c), len(b.c))::double as ov from rk a join rk b on a.{key} = b.{key} and a.i < b.i), "
+        f"red as (select * from (select *, row_number() over (partition by {key} order by ov desc, i, j) as rn from rp where ov > 0) where rn = 1)"
+    )
+
+
 @query(
     "max_redundancy_pair",
-    f"with x as (select doc_id, {S.sents('text')} as s, len({S.w1('text')}) as n from documents where text is not null), c as (select doc_id, unnest(range(0, len(s))) as i, unnest(list_transform(s, lambda e: list_distinct({_content('e')}))) as c from x where n >= 40), "
-    "k as (select * from c where len(c) >= 4), p as (select a.doc_id, a.i, b.i as j, len(list_intersect(a.c, b.c)) / least(len(a.c), len(b.c))::double as ov from k a join k b on a.doc_id = b.doc_id and a.i < b.i), "
-    f"r as (select *, row_number() over (partition by doc_id order by ov desc, i, j) as rn from p where ov > 0) select x.doc_id, {S.r6('coalesce(ov, 0.0)')} as redundancy, coalesce(i, -1) as i, coalesce(j, -1) as j from x left join r on r.doc_id = x.doc_id and rn = 1",
+    f"with {_redundancy('documents', 'doc_id')} select rx.doc_id, {S.r6('coalesce(ov, 0.0)')} as redundancy, coalesce(i, -1) as i, coalesce(j, -1) as j from rx left join red using (doc_id)",
 )
 def max_redundancy_pair(s, d):
     x = rules.redundancy(table(s, d, "documents"), "doc_id")
     return x.select("doc_id", R(F.col("redundancy")).alias("redundancy"), F.coalesce("i", F.lit(-1)).cast("long").alias("i"), F.coalesce("j", F.lit(-1)).cast("long").alias("j"))
 
 
-@query("quality_flags")
+_QB = f"qb as (select voice, {_floor('density', '0.25')} as density_p25, {_floor('specificity', '0.25')} as specificity_p25 from (select voice, {_Q} from documents where text is not null and voice is not null and len({S.w1('text')}) >= 200) group by voice having count(*) >= 5)"
+_QUALITY = {"repetitive": "coalesce(ov, 0.0) >= 0.6", "padded": "filler > 6.0", "thin": "density_p25 > 0 and density < density_p25", "vague": "specificity_p25 > 0 and specificity < specificity_p25"}
+
+
+@query(
+    "quality_flags",
+    f"with {_CAND}, {_redundancy('c0', 'cand_id')}, {_QB}, dq as (select cand_id, voice, {_Q} from c0) select cand_id, array_to_string(list_filter([{', '.join(f'case when {v} then {S.lit(k)} end' for k, v in _QUALITY.items())}], lambda x: x is not null), '|') as flags from dq left join red using (cand_id) left join qb using (voice)",
+)
 def quality_flags(s, d):
     """Flags of every draft against its voice's quality bands."""
     c = drafts(s, d)
@@ -290,29 +330,83 @@ def rewrite_findings(s, d):
     return x.select("id", (fidelity.n_of(F.col("findings"), "hard") == 0).alias("ok"), F.explode_outer("findings").alias("z")).select("id", "ok", "z.axis", "z.severity", "z.detail")
 
 
-@query("verdict_tiers")
-def verdict_tiers(s, d):
-    """Findings of every draft in tiers: fingerprint, presence, quality, tells, shapes against its voice's calibrations."""
-    from inkgauge.plans.style import calibration_units, candidate_units
+# what _CAND, _LOO and the calibrations say of every draft, its source being the first draft of its task
+_LESS_ANY = "len(list_filter({a}, lambda x: not list_contains({b}, x))) > 0"
+_VERDICT = (
+    ("added_numbers", 1, "fidelity", "numbers not in the source", "src is not null and cand_idx <> 0 and " + _LESS_ANY.format(a=_num("text"), b=_num("src"))),
+    ("dropped_citations", 1, "fidelity", "citations dropped", "src is not null and cand_idx <> 0 and " + _LESS_ANY.format(a=_cit("src"), b=_cit("text"))),
+    ("leaks", 1, "rhetoric", "the draft talks about its task", f"{S.n_found('text', P.LEAKAGE)} > 0"),
+    ("off", 2, "fingerprint", "off voice", "fit = 'off'"),
+    ("presence_missing", 2, "presence", "nobody is in the draft", f"len({S.w2('text')}) >= {P.ABSENCE_WORDS} and {S.n_found('text', P.PRESENCE['epistemic'])} = 0 and {S.n_found('text', P.PRESENCE['expectation'])} = 0"),
+    *((k, 3, "quality", k, v) for k, v in _QUALITY.items()),
+    ("banned_words", 4, "scrub", "tell words", f"len(list_filter({_TELLS}, lambda w: list_contains({S.found('lower(text)', P.WORD_PLAIN)}, w))) > 0"),
+    ("banned_phrases", 4, "scrub", "tell phrases", f"len(list_filter({_PHRASES}, lambda p: contains(lower(text), p))) > 0"),
+    ("dashes", 4, "scrub", "dashes", f"{_DASHES} > 0"),
+    ("flourish", 4, "rhetoric", "closing flourish", f"coalesce(list_sum(list_transform(s[greatest(len(s) - 1, 1):], lambda e: {S.n_found('e', P.FLOURISH)})), 0) > 0"),
+    ("cleft_over", 4, "rhetoric", "clefts over the band", "cleft_p95 > 0 and c > cleft_p95"),
+    ("antithesis_over", 4, "rhetoric", "antithesis over the band", "antithesis_p95 > 0 and a > antithesis_p95"),
+    ("triad", 4, "rhetoric", "triad", f"{_TRIAD} > 0"),
+    ("drifting", 5, "fingerprint", "drifting", "fit = 'drifting'"),
+    ("cleft_under", 5, "rhetoric", "clefts under the band", "not coalesce(cleft_p95 > 0 and c > cleft_p95, false) and cleft_p25 > 0.05 and c < cleft_p25"),
+    ("antithesis_under", 5, "rhetoric", "antithesis under the band", "not coalesce(antithesis_p95 > 0 and a > antithesis_p95, false) and antithesis_p25 > 0.05 and a < antithesis_p25"),
+    ("low_burstiness", 5, "scrub", "low burstiness", "burst > 0 and burst < burstiness_floor"),
+)
+_RATES = f"""coalesce({S.n_found('text', P.WH_CLEFT)} * 1000.0::double / nullif(len({S.w2('text')}), 0), 0.0) as c, coalesce({S.n_found('text', P.ANTITHESIS)} * 1000.0::double / nullif(len({S.w2('text')}), 0), 0.0) as a, {S.sd(_SLEN)} as burst"""
+_VERDICT_CTE = (
+    f"{_LOO}, {_CAND}, {_CANDF}, cw as (select x.cand_id, x.voice, {S.rms()} as rmsz, {_WORST3} as worst from cf x join fp y using (voice)), cfit as (select cand_id, rmsz, {_fit('rmsz', 'worst')} as fit from cw join base using (voice)), "
+    f"{_redundancy('c0', 'cand_id')}, {_QB}, {_RHET}, rb as (select v.voice, coalesce(cleft_p95, 2.0) as cleft_p95, coalesce(antithesis_p95, 6.0) as antithesis_p95, coalesce(cleft_p25, 0.0) as cleft_p25, coalesce(antithesis_p25, 0.0) as antithesis_p25 from (select distinct voice from r) v left join b using (voice)), "
+    f"sb as (select voice, {_even('b', '0.05')} as burstiness_floor from (select voice, {S.sd('l')} as b from (select voice, {_SLEN} as l from documents where text is not null and voice is not null) where len(l) >= 3) group by voice), "
+    f"first as (select task_id, min(text) as src from c0 where cand_idx = 0 group by task_id), "
+    f"wide as (select c0.cand_id, c0.task_id, c0.cand_idx, c0.voice, c0.text, src, fit, cfit.rmsz as dist, ov, density, specificity, filler, density_p25, specificity_p25, cleft_p95, antithesis_p95, cleft_p25, antithesis_p25, burstiness_floor, {S.sents('c0.text')} as s, {_RATES.replace('text', 'c0.text')} from c0 left join first using (task_id) left join cfit using (cand_id) left join red using (cand_id) left join (select cand_id, {_Q} from c0) qs using (cand_id) left join qb using (voice) left join rb using (voice) left join sb using (voice)), "
+    f"found as (select *, list_filter([{', '.join(f'case when {v} then {{{chr(39)}tier{chr(39)}: {t}, {chr(39)}source{chr(39)}: {S.lit(src)}, {chr(39)}message{chr(39)}: {S.lit(m)}}} end' for _, t, src, m, v in _VERDICT)}], lambda x: x is not null) as v from wide)"
+)
 
+
+def appraised(s, d):
+    """Every draft with its findings as columns: distance and fit, rules, presence, quality, fidelity to the first draft of its task.
+
+    Features of documents and of drafts, and the row-wise rule measures, are
+    written once; calibrations are one row per voice.
+    """
     c = drafts(s, d)
     t = F.col("text")
     u = calibration_units(s, d)
     base = C.baselines(C.leave_one_out(u)).drop("n_pieces")
-    dist = C.with_distance(candidate_units(s, d), C.fingerprint(u)).join(base, "voice").select("cand_id", C.fit_state(F.col("rmsz"), F.col("fit_threshold"), F.col("self_baseline"), C.worst_features()).alias("fit"))
-    docs = table(s, d, "documents")
-    x = c.select("cand_id", "voice", *(v.alias(k) for k, v in rules.rhetoric_columns(t).items()), *(v.alias(k) for k, v in rules.presence_columns(t).items()), *(v.alias(k) for k, v in rules.quality_columns(t).items()),
-        F.size(T.words_unicode(t)).alias("n"), rules.burstiness(t).alias("burst"), rules.plain_dashes(t).alias("dashes"), F.size(rules.banned_words(t)).alias("bw"), F.size(rules.banned_phrases(t)).alias("bp"))
+    dist = C.with_distance(candidate_units(s, d), C.fingerprint(u)).join(base, "voice").select("cand_id", F.col("rmsz").alias("dist"), "self_baseline", "fit_threshold", C.fit_state(F.col("rmsz"), F.col("fit_threshold"), F.col("self_baseline"), C.worst_features()).alias("fit"))
+    docs = rules.measured(table(s, d, "documents"))
+    first = c.where("cand_idx = 0").groupBy("task_id").agg(F.min("text").alias("src"))
+    f = rules.fidelity_sets(F.col("src"), t)
+    rewritten = F.col("src").isNotNull() & (F.col("cand_idx") != 0)
+    x = c.join(first, "task_id", "left").select(
+        "cand_id", "task_id", "cand_idx", "voice", *(v.alias(k) for k, v in rules.rhetoric_columns(t).items()), *(v.alias(k) for k, v in rules.presence_columns(t).items()), *(v.alias(k) for k, v in rules.quality_columns(t).items()),
+        F.size(T.words_unicode(t)).alias("n"), rules.burstiness(t).alias("burst"), rules.hedges_per_200(t).alias("hedges"), rules.plain_dashes(t).alias("dashes"), rules.banned_words(t).alias("bw"), rules.banned_phrases(t).alias("bp"),
+        *(F.when(rewritten, v).otherwise(F.array().cast("array<string>")).alias(k) for k, v in f.items()),
+    )
     x = x.join(rules.redundancy(c, "cand_id").select("cand_id", "redundancy"), "cand_id").join(dist, "cand_id", "left")
-    x = x.join(rules.rhetoric_calibration(docs).drop("n_pieces"), "voice", "left").join(rules.scrub_calibration(docs).select("voice", "burstiness_floor"), "voice", "left")
+    x = x.join(rules.rhetoric_bands_of(docs).drop("n_pieces"), "voice", "left").join(rules.scrub_bands_of(docs).select("voice", "burstiness_floor", "hedge_ceiling"), "voice", "left").join(rules.quality_bands_of(docs).select("voice", "density_p25", "specificity_p25"), "voice", "left")
+    return x
+
+
+def tiers():
+    """The findings of appraised() drafts in tiers."""
     band = {k: rules.band(F.col(f"{k}_rate"), F.coalesce(f"{k}_p25", F.lit(0.0)), F.coalesce(f"{k}_p95", F.lit(0.0))) for k in ("cleft", "antithesis")}
-    v = fidelity.verdict({
+    return fidelity.verdict({
+        "added_numbers": F.size("added_numbers") > 0, "dropped_citations": F.size("dropped_citations") > 0,
         "leaks": F.col("n_leaks") > 0, "off": F.col("fit") == "off", "drifting": F.col("fit") == "drifting", "presence_missing": (F.col("n") >= P.ABSENCE_WORDS) & (F.col("epistemic") == 0) & (F.col("expectation") == 0),
-        "repetitive": F.col("redundancy") >= 0.6, "padded": F.col("filler") > 6, "banned_words": F.col("bw") > 0, "banned_phrases": F.col("bp") > 0, "dashes": F.col("dashes") > 0, "flourish": F.col("n_flourishes") > 0,
+        "repetitive": F.col("redundancy") >= 0.6, "padded": F.col("filler") > 6, "thin": (F.col("density_p25") > 0) & (F.col("density") < F.col("density_p25")), "vague": (F.col("specificity_p25") > 0) & (F.col("specificity") < F.col("specificity_p25")),
+        "banned_words": F.size("bw") > 0, "banned_phrases": F.size("bp") > 0, "dashes": F.col("dashes") > 0, "flourish": F.col("n_flourishes") > 0,
         "cleft_over": band["cleft"] == "over", "antithesis_over": band["antithesis"] == "over", "cleft_under": band["cleft"] == "under", "antithesis_under": band["antithesis"] == "under",
         "triad": F.col("n_triads") > 0, "low_burstiness": (F.col("burst") > 0) & (F.col("burst") < F.col("burstiness_floor")),
     })
-    y = x.withColumn("v", v)
+
+
+@query(
+    "verdict_tiers",
+    f"with {_VERDICT_CTE.removeprefix('with ')}, e as (select cand_id, (select min(z.tier) from (select unnest(v) as z)) as worst, len(list_filter(v, lambda z: z.tier <= 2)) > 0 as blocks, v from found) select cand_id, worst, blocks, z.tier as tier, z.source as source, z.message as message from (select cand_id, worst, blocks, unnest(v) as z from e where len(v) > 0 union all select cand_id, worst, blocks, null from e where len(v) = 0)",
+)
+def verdict_tiers(s, d):
+    """Findings of every draft in tiers against its voice's calibrations and the first draft of its task; all twenty can fire."""
+    y = appraised(s, d).withColumn("v", tiers())
     return y.select("cand_id", fidelity.worst_tier(F.col("v")).alias("worst"), fidelity.blocks(F.col("v")).alias("blocks"), F.explode_outer("v").alias("z")).select("cand_id", "worst", "blocks", "z.tier", "z.source", "z.message")
 
 
@@ -363,7 +457,7 @@ def openings(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", chunking.opening(F.col("text")).alias("opening"))
 
 
-@query("off_voice_state", None)
+@query("off_voice_state", f"{_LOO}, dw as (select x.doc_id, x.voice, {S.rms()} as rmsz, {_WORST3} as worst from u x join fp y using (voice)) select doc_id, {_fit('rmsz', 'worst')} as state from dw join base using (voice)")
 def off_voice_state(s, d):
     x = doc_fit(s, d)
     return x.select("doc_id", C.fit_state(F.col("rmsz"), F.col("fit_threshold"), F.col("self_baseline"), C.worst_features()).alias("state"))

@@ -12,9 +12,9 @@ from inkgauge.functions import textkit as T
 from inkgauge.operators import blend, chunking, evalstats, fidelity, gate, retrieve, rules
 from inkgauge.operators import calibrate as C
 from inkgauge.plans import sqlkit as S
-from inkgauge.plans.checks import _PHRASES, _SLEN, _TELLS, _TESTED, _WORDS_TESTED, _even, drafts, edits
+from inkgauge.plans.checks import _PHRASES, _SLEN, _TELLS, _TESTED, _WORDN, _WORDS_TESTED, _even, _fit, drafts, edits
 from inkgauge.plans.registry import query
-from inkgauge.plans.style import _CAND, _CANDF, _FP, _LOO, calibration_units, candidate_units
+from inkgauge.plans.style import _CAND, _CANDF, _FP, _LOO, _PAIR, _STATS, calibration_units, candidate_units
 from inkgauge.session import shared_folder, table
 from inkgauge.sources import io
 from inkgauge.streaming import scorer
@@ -178,7 +178,11 @@ def composite_fingerprint(s, d):
     return C.fingerprint_long(fp, by="slug").select("slug", "n_pieces", "feature", R(F.col("mean")).alias("mean"), R(F.col("std")).alias("std"))
 
 
-@query("blended_anchors")
+@query(
+    "blended_anchors",
+    f"{_BM25}, {_FP.removeprefix('with ')}, {_SHARES}, bk as (select sc.query_id, sc.id, sh.slug, sh.source, sh.share, row_number() over (partition by sc.query_id, sh.source order by round(score, 9), sc.id) as rank from sc join briefs bf on bf.id = sc.query_id join documents dc on dc.doc_id = sc.id join sh on sh.slug = bf.voice and sh.source = dc.voice), "
+    "al as (select *, greatest(case when share >= 0.05 then 1 else 0 end, round_even(share * 6, 0)::int) as slots from bk), pl as (select *, row_number() over (partition by query_id order by rank, share desc, source) as place from al where rank <= slots) select query_id, id, source, place from pl where place <= 6",
+)
 def blended_anchors(s, d):
     """Six anchors per brief of a composite voice, from its parts' documents by keyword rank and share."""
     sh = blend.shares(blend.usable_parts(table(s, d, "profiles")), _doc_counts(s, d))
@@ -186,9 +190,7 @@ def blended_anchors(s, d):
     docs = table(s, d, "documents").where("voice is not null").select(F.col("doc_id").alias("id"), F.col("voice").alias("source"))
     x = brief_bm25(s, d).join(b, "query_id").join(docs, "id").join(sh.select("slug", "source", "share"), ["slug", "source"])
     x = x.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.round("score", 9), "id")))
-    y = retrieve.allocation(x, 6).where(F.col("rank") <= F.col("slots"))
-    w = Window.partitionBy("query_id").orderBy("rank", F.col("share").desc(), "source")
-    return y.withColumn("place", F.row_number().over(w)).where("place <= 6").select("query_id", "id", "source", "place")
+    return retrieve.blended(x.where("rank <= 6"), 6).select("query_id", "id", "source", F.col("place").cast("long").alias("place"))
 
 
 # --- slates ---
@@ -243,7 +245,14 @@ def slate_spread(s, d):
     return gate.slate_spread(z, P.SURFACE, order="cand_id").select("task_id", "n_units", R(F.col("spread")).alias("spread"))
 
 
-@query("slate_collapse")
+_SMP = f"smp as (select * from (select *, row_number() over (partition by voice order by md5(doc_id::varchar), doc_id) as rn from u) where rn <= {P.SPREAD_SAMPLE}), sst as (select voice, count(*) as n_units, {_STATS} from smp group by voice), csp as (select y.voice, coalesce(avg({_PAIR}), 0.0) as corpus_spread from sst y left join smp a on a.voice = y.voice left join smp b on b.voice = y.voice and a.rn < b.rn where b.rn is not null or y.n_units = 1 group by y.voice)"
+_SLATES = (
+    f"zz as (select x.task_id, x.cand_id, x.voice, [{', '.join(S.z(f) for f in P.SURFACE)}] as v from cf x join fp y using (voice)), nn as (select task_id, count(*) as n_units, min(voice) as voice from zz group by task_id), "
+    f"pr as (select a.task_id, avg(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda q: pow(q[1] - q[2], 2))) / {len(P.SURFACE)}.0)) as spread from zz a join zz b on a.task_id = b.task_id and a.cand_id < b.cand_id group by a.task_id), sp as (select nn.task_id, n_units, voice, coalesce(spread, 0.0) as spread from nn left join pr using (task_id))"
+)
+
+
+@query("slate_collapse", f"{_FP}, {_SMP}, {_CAND}, {_CANDF}, {_SLATES} select task_id, n_units, {S.r6('spread')} as spread, {S.r6('spread / nullif(corpus_spread, 0)')} as ratio, corpus_spread > 0 and spread < corpus_spread * 0.5 as collapsed from sp join csp using (voice)")
 def slate_collapse(s, d):
     """Slates that spread less than half as wide as their voice's documents."""
     u = calibration_units(s, d)
@@ -251,7 +260,7 @@ def slate_collapse(s, d):
     voice = z.groupBy("task_id").agg(F.min("voice").alias("voice"))
     own = C.corpus_spread(u, "doc_id").select("voice", F.col("spread").alias("corpus_spread"))
     x = gate.slate_spread(z, P.SURFACE).join(voice, "task_id").join(own, "voice")
-    return x.select("task_id", "n_units", R(F.col("spread")).alias("spread"), R(F.col("spread") / F.col("corpus_spread")).alias("ratio"), gate.collapsed(F.col("spread"), F.col("corpus_spread")).alias("collapsed"))
+    return x.select("task_id", "n_units", R(F.col("spread")).alias("spread"), R(F.try_divide("spread", "corpus_spread")).alias("ratio"), gate.collapsed(F.col("spread"), F.col("corpus_spread")).alias("collapsed"))
 
 
 _ONE_SCORED = "os as (select * from (select *, row_number() over (partition by cand_id order by created_at, rmsz) as k from candidates) where k = 1)"
@@ -304,7 +313,17 @@ def scrub_report(s, d):
     return x.select("cand_id", F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise("CLEAN").alias("report"))
 
 
-@query("presence_states")
+_PF = f"pfl as (select voice, {', '.join(f'round(greatest({_even(k, "0.25")}, {v}), 3) + 0.0 as {k}_floor' for k, v in P.FIELD_FLOOR.items())} from (select voice, {', '.join(f'{S.n_found("text", p)} * 1000.0::double / {_WORDN} as {k}' for k, p in P.PRESENCE.items())} from documents where text is not null and voice is not null and len({S.w2('text')}) >= {P.ABSENCE_WORDS}) group by voice)"
+_GATED = list(P.FIELD_FLOOR)
+_ABSENT = f"case when n >= {P.DENSITY_WORDS} then list_filter([{', '.join(f'case when {k} = 0 then {S.lit(k)} end' for k in _GATED)}], lambda x: x is not null) when n >= {P.ABSENCE_WORDS} and {' + '.join(P.PRESENCE)} < {P.ABSENCE_TOTAL} then [{', '.join(S.lit(k) for k in _GATED)}] else [] end"
+_MISSED = f"case when n >= {P.DENSITY_WORDS} then list_transform(list_sort(list_filter([{', '.join(f'case when {k} < {k}_floor then {{{chr(39)}gap{chr(39)}: {k} - {k}_floor, {chr(39)}i{chr(39)}: {i}, {chr(39)}k{chr(39)}: {S.lit(k)}}} end' for i, k in enumerate(_GATED))}], lambda x: x is not null)), lambda z: z.k) else [] end"
+
+
+@query(
+    "presence_states",
+    f"with {_CAND}, {_PF}, pd as (select cand_id, voice, len({S.w2('text')}) as n, {', '.join(f'{S.n_found("text", p)} * 1000.0::double / {_WORDN} as {k}' for k, p in P.PRESENCE.items())} from c0), px as (select pd.*, {', '.join(f'coalesce({k}_floor, {v}) as {k}_floor' for k, v in P.FIELD_FLOOR.items())} from pd left join pfl using (voice)) "
+    f"select cand_id, n >= {P.ABSENCE_WORDS} as measurable, array_to_string({_ABSENT}, '|') as absent, array_to_string({_MISSED}, '|') as missed, n >= {P.ABSENCE_WORDS} and epistemic = 0 and expectation = 0 as presence_missing from px",
+)
 def presence_states(s, d):
     """Every draft against its voice's presence floors: measurable, absent classes, missed floors."""
     t = F.col("text")
@@ -367,7 +386,18 @@ def detector_threshold(s, d):
     return evalstats.detector_threshold(scored(s, d).where("voice is not null and machine is not null"), "machine", "detector_score", "voice", fpr=0.05)
 
 
-@query("detector_labels")
+_THRESHOLDS = (
+    f"dx as (select voice, emdash_fixed > 0 as m, detector_score as s from one where detector_score is not null and voice is not null and emdash_fixed is not null), "
+    f"dg as (select voice, {_PCT('0.05')} as low, {_PCT('0.95')} as high from dx group by voice having count_if(not m) >= 3 and count_if(m) >= 3), "
+    "dw as (select a.voice, sum(case when a.s < h.s then 1.0 when a.s = h.s then 0.5 else 0.0 end) / count(*) as auc from dx a join dx h on a.voice = h.voice and a.m and not h.m group by a.voice), "
+    "dt as (select voice, round(case when auc >= 0.5 then low else high end, 5) as threshold, auc >= 0.5 as low_is_machine from dg join dw using (voice))"
+)
+
+
+@query(
+    "detector_labels",
+    f"with {_ONE}, {_THRESHOLDS}, tk as (select cand_id, max(coalesce(len({S.tok('text')}), 0)) as n from candidates group by cand_id) select one.cand_id, case when n < 48 or detector_score is null or threshold is null then 'uncertain' when case when low_is_machine then detector_score < threshold else detector_score > threshold end then 'machine' else 'human' end as label from one join tk using (cand_id) left join dt using (voice)",
+)
 def detector_labels(s, d):
     x = scored(s, d)
     t = evalstats.detector_threshold(x.where("voice is not null and machine is not null"), "machine", "detector_score", "voice", fpr=0.05).select("voice", "threshold", "direction")
@@ -504,7 +534,7 @@ def slugs(s, d):
     return table(s, d, "documents").where("source is not null").select("source").distinct().select("source", chunking.slug(F.col("source")).alias("slug"))
 
 
-@query("streamed_scores")
+@query("streamed_scores", f"{_LOO}, {_CAND}, {_CANDF}, cd as (select x.cand_id, x.voice, {S.rms()} as rmsz from cf x join fp y using (voice)) select cand_id, voice, {S.r6('rmsz')} as rmsz, {_fit('rmsz')} as fit from cd join base using (voice)")
 def streamed_scores(s, d):
     """Drafts scored as a stream against static calibrations, to a table in the shared folder."""
     u = calibration_units(s, d)
