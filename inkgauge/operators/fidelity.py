@@ -92,6 +92,13 @@ def n_of(f: Column, severity: str) -> Column:
     return F.size(F.filter(f, lambda x: x["severity"] == severity))
 
 
+def rendered(f: Column) -> Column:
+    """The findings as lines, hard ones first; OK without any."""
+    line = lambda x: F.concat(F.upper(x["severity"]), F.lit(" "), x["axis"], F.lit(": "), x["detail"])
+    lines = F.transform(F.concat(F.filter(f, lambda x: x["severity"] == "hard"), F.filter(f, lambda x: x["severity"] == "soft")), line)
+    return F.when(F.size(f) > 0, F.array_join(lines, "\n")).otherwise("OK")
+
+
 # --- tiers ---
 
 TIERS = ("correctness", "authenticity", "quality", "tics", "advisory")

@@ -180,11 +180,27 @@ def blended(ranked: DataFrame, limit: int, q_col: str = "query_id") -> DataFrame
     return x.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select(q_col, "id", "source", "place")
 
 
+PLACES = 64
+_PLACE: dict[str, tuple[int, int]] = {}
+
+
+def place_of(word: str) -> tuple[int, int]:
+    """The place and sign of a word: of the first byte of its md5 the lower six bits and the next one."""
+    got = _PLACE.get(word)
+    if got is None:
+        import hashlib
+
+        if len(_PLACE) > 500_000:
+            _PLACE.clear()
+        h = hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[0]
+        got = _PLACE[word] = (h % PLACES, 1 if h & PLACES else -1)
+    return got
+
+
 @F.pandas_udf(returnType=ArrayType(DoubleType()))
 def hashed_embedding(text: pd.Series) -> pd.Series:
-    """A deterministic stand-in for a neural encoder: signed feature hashing of words into 64 places, normalised."""
+    """A deterministic stand-in for a neural encoder: signed feature hashing of words into PLACES places, normalised."""
     import re
-    import zlib
 
     import numpy as np
 
@@ -193,10 +209,8 @@ def hashed_embedding(text: pd.Series) -> pd.Series:
         if t is None:
             out.append(None)
             continue
-        v = np.zeros(64)
-        for w in re.findall(r"\w+", t.lower()):
-            h = zlib.crc32(w.encode())
-            v[h % 64] += 1 if h & 64 else -1
+        at = [place_of(w) for w in re.findall(r"\w+", t.lower())]
+        v = np.bincount([p for p, _ in at], weights=[s for _, s in at], minlength=PLACES) if at else np.zeros(PLACES)
         n = np.linalg.norm(v)
         out.append((v / n if n else v).tolist())
     return pd.Series(out)

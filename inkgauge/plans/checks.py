@@ -324,12 +324,71 @@ def rewrite_counts(s, d):
     return edits(s, d).select("id", *cols, n0.alias("words_before"), n1.alias("words_after"), long_.alias("too_long"), T.count(b, P.UNIVERSALS).cast("long").alias("universals_after"), T.count(a, P.CLAIM_HEDGES).cast("long").alias("hedges_before"))
 
 
-@query("rewrite_findings")
+def _loose(t: str) -> str:
+    """Token counts of the loose sentences of a text."""
+    cut = f"string_split(regexp_replace({t}, {S.lit('([.!?])' + P.WS + '+')}, '\\1' || chr(1), 'g'), chr(1))"
+    return f"list_filter(list_transform({cut}, lambda q: len({S.tok('q')})), lambda n: n >= 2)"
+
+
+def _row(axis: str, severity: str, test: str, detail: str) -> str:
+    return f"case when {test} then {{'axis': '{axis}', 'severity': '{severity}', 'detail': {detail}}} end"
+
+
+def _fell(new: str, old: str, tol: float) -> str:
+    return f"len(sl) >= 8 and len(ol) >= 8 and {old} > 0 and {new} < {old} * (1 - {tol})"
+
+
+def _both(name: str, pattern: str) -> tuple[str, str, str]:
+    a, b = S.n_found("ai_text", pattern), S.n_found("human_text", pattern)
+    return a, b, f"{S.lit(name)} || {a}::varchar || ' -> ' || {b}::varchar"
+
+
+_LEN = f"len({S.tok('ai_text')})", f"len({S.tok('human_text')})"
+_FINDINGS = [
+    _row("scaffold", "hard", f"{S.n_found('human_text', P.SCAFFOLD)} > 0", f"{S.n_found('human_text', P.SCAFFOLD)}::varchar || ' artefacts'"),
+    _row("house-style", "hard", "len(orr) < len(sr)", "array_to_string(list_filter(sr, lambda r: not list_contains(orr, r)), '; ')"),
+    _row("rhythm", "hard", _fell("list_aggregate(ol, 'stddev_pop')", "list_aggregate(sl, 'stddev_pop')", P.SD_DROP), "'variance fell'"),
+    _row("rhythm", "hard", _fell(S.share("ol", f"e >= {P.LONG_WORDS}"), S.share("sl", f"e >= {P.LONG_WORDS}"), P.TAIL_DROP), "'long sentences fell'"),
+    _row("rhythm", "hard", _fell(S.share("ol", f"e < {P.SHORT_WORDS}"), S.share("sl", f"e < {P.SHORT_WORDS}"), P.TAIL_DROP), "'short sentences fell'"),
+]
+for _name, _pattern in P.REGISTER.items():
+    _a, _b, _text = _both(f"{_name} ", _pattern)
+    _FINDINGS.append(f"case when {_a} = 0 and {_b} > 0 then {{'axis': 'register', 'severity': 'hard', 'detail': {_text}}} when {_b} > greatest({_a} * {P.REGISTER_GROWTH}, {_a} + {P.REGISTER_SLACK}) then {{'axis': 'register', 'severity': 'soft', 'detail': {_text}}} end")
+_GREW = f"list_filter([case when {S.n_found('human_text', P.NOT_JUST)} > {S.n_found('ai_text', P.NOT_JUST)} then 'not-just-X' end, case when {S.n_found('human_text', P.WH_CLEFT)} > {S.n_found('ai_text', P.WH_CLEFT)} then 'wh-cleft' end], lambda x: x is not null)"
+_H, _U = _both("hedges ", P.CLAIM_HEDGES), _both(", universals ", P.UNIVERSALS)
+_FINDINGS += [
+    _row("construction", "soft", f"len({_GREW}) > 0", f"array_to_string({_GREW}, '; ')"),
+    _row("claim-strength", "soft", f"{_H[1]} < {_H[0]} or {_U[1]} > {_U[0]}", f"{_H[2]} || {_U[2]}"),
+    _row("length", "hard", f"{_LEN[0]} > 0 and {_LEN[1]}::double / nullif({_LEN[0]}, 0) - 1 > {P.MAX_GROWTH}", f"{_LEN[0]}::varchar || ' -> ' || {_LEN[1]}::varchar"),
+]
+# Pairs of plain text, as all of the tables are: the axes of headings and the prose of other formats have tests of their own.
+_EDIT_FINDINGS = (
+    f"ed as (select distinct id, ai_text, human_text from edit_pairs where ai_text is not null and human_text is not null), ex as (select *, {_loose('ai_text')} as sl, {_loose('human_text')} as ol, {S.found('ai_text', P.NUMERIC_RANGE)} as sr, {S.found('human_text', P.NUMERIC_RANGE)} as orr from ed), "
+    f"ef as (select id, list_filter([{', '.join(_FINDINGS)}], lambda x: x is not null) as f from ex)"
+)
+
+
+@query(
+    "rewrite_findings",
+    f"with {_EDIT_FINDINGS} select id, ok, z.axis as axis, z.severity as severity, z.detail as detail from (select id, len(list_filter(f, lambda x: x.severity = 'hard')) = 0 as ok, unnest(f) as z from ef where len(f) > 0 union all select id, true, null from ef where len(f) = 0)",
+)
 def rewrite_findings(s, d):
     x = fidelity.with_findings(edits(s, d), "ai_text", "human_text")
     return x.select("id", (fidelity.n_of(F.col("findings"), "hard") == 0).alias("ok"), F.explode_outer("findings").alias("z")).select("id", "ok", "z.axis", "z.severity", "z.detail")
 
 
+@query(
+    "rewrite_report",
+    f"with {_EDIT_FINDINGS} select id, len(list_filter(f, lambda x: x.severity = 'hard')) as n_hard, len(list_filter(f, lambda x: x.severity = 'soft')) as n_soft, "
+    "case when len(f) = 0 then 'OK' else array_to_string(list_transform(list_concat(list_filter(f, lambda x: x.severity = 'hard'), list_filter(f, lambda x: x.severity = 'soft')), lambda x: upper(x.severity) || ' ' || x.axis || ': ' || x.detail), chr(10)) end as report from ef",
+)
+def rewrite_report(s, d):
+    """The findings of every edit as text, hard ones first."""
+    x = fidelity.with_findings(edits(s, d), "ai_text", "human_text")
+    f = F.col("findings")
+    return x.select("id", fidelity.n_of(f, "hard").cast("long").alias("n_hard"), fidelity.n_of(f, "soft").cast("long").alias("n_soft"), fidelity.rendered(f).alias("report"))
+
+
 # what _CAND, _LOO and the calibrations say of every draft, its source being the first draft of its task
 _LESS_ANY = "len(list_filter({a}, lambda x: not list_contains({b}, x))) > 0"
 _VERDICT = (
@@ -437,13 +496,23 @@ def segmentation_plan(s, d):
     return chunking.segmentation(table(s, d, "documents"), "voice", len(P.SURFACE))
 
 
-@query("calibration_segments")
+# cuts of a text by the running word sums of its paragraphs, one after the other
+_SEGMENTS = f"""sn as (select voice, len({S.tok('text')}) as n from documents where text is not null), sa as (select voice, greatest({P.SEGMENT_MIN}, least({P.SEGMENT_WORDS}, sum(n)::bigint // {3 * len(P.SURFACE)}))::int as target from sn where n > 0 group by voice),
+st as (select doc_id, voice, text, target, list_filter(string_split(text, chr(10) || chr(10)), lambda q: {S.strip('q')} <> '') as p from documents join sa using (voice) where text is not null and voice is not null),
+sw as (select *, list_transform(p, lambda q: len({S.tok('q')})) as w from st), su as (select *, list_transform(range(1, len(w) + 1), lambda i: coalesce(list_sum(w[1:i]), 0)) as upto from sw),
+sc(doc_id, a, b, seg) as (select doc_id, 0::bigint, 0::bigint, -1::bigint from su where len({S.tok('text')}) > target
+  union all select doc_id, a2, b2, seg + 1 from (select su.doc_id, sc.b as a2, seg, coalesce((list_filter(range(sc.b + 1, len(upto) + 1), lambda j: upto[j] - case when sc.b > 0 then upto[sc.b] else 0 end >= target))[1],
+    case when upto[len(upto)] - case when sc.b > 0 then upto[sc.b] else 0 end >= target // 3 then len(upto) end) as b2 from sc join su using (doc_id) where sc.b < len(upto)) where b2 is not null and b2 > a2),
+sg as (select doc_id, voice, 0::bigint as seg, text from su where len({S.tok('text')}) <= target union all select doc_id, voice, seg, array_to_string(p[a + 1:b], chr(10) || chr(10)) from sc join su using (doc_id) where seg >= 0)"""
+
+
+@query("calibration_segments", f"with recursive {_SEGMENTS} select doc_id, voice, seg, len({S.tok('text')}) as words, md5(text) as text_md5 from sg")
 def calibration_segments(s, d):
     """Documents' pieces cut where their voice's lengths are lopsided or few."""
     docs = table(s, d, "documents").where("text is not null and voice is not null").select("doc_id", "voice", "text")
     p = chunking.segmentation(docs, "voice", len(P.SURFACE))
     x = T.exploded(docs.join(p.select("voice", "target"), "voice"), ["doc_id", "voice"], chunking.segment_udf("text", "target"), "text", "seg")
-    return x.select("doc_id", "voice", "seg", F.size(T.tokens(F.col("text"))).alias("words"), F.md5("text").alias("text_md5"))
+    return x.select("doc_id", "voice", F.col("seg").cast("long").alias("seg"), F.size(T.tokens(F.col("text"))).alias("words"), F.md5("text").alias("text_md5"))
 
 
 @query("paragraphs", f"with p as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), {S.lit(P.PARAGRAPH_GAP)}), lambda q: {S.strip('regexp_replace(q, ' + S.lit(P.WS + '+') + ', chr(32), ' + S.lit('g') + ')')}), lambda q: len({S.tok('q')}) >= 8) as p from documents where text is not null) select doc_id, unnest(range(0, len(p))) as idx, unnest(p) as paragraph from p")

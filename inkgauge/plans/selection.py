@@ -103,7 +103,12 @@ def mmr_diversified(s, d):
     return retrieve.mmr(pool, 8)
 
 
-@query("accepted_anchors")
+@query(
+    "accepted_anchors",
+    f"with al as (select * from (select *, row_number() over (partition by voice, seq order by id) as k from accepted_log where text is not null and voice is not null) where k = 1), bv as (select * from briefs where voice is not null), {S.encoded_cte('al', 'id', 'text', 'ea')}, {S.encoded_cte('bv', 'id', 'task', 'eb')}, {S.encoded_sims('eb', 'id', 'ea', 'id', 'sm')}, "
+    f"j as (select bv.id as query_id, al.id, al.seq, sim, count(*) over (partition by bv.id) as n, row_number() over (partition by bv.id order by al.seq, al.id) - 1 as i from bv join al on al.voice = bv.voice join sm on sm.qa = bv.id and sm.qb = al.id), "
+    f"k as (select query_id, id, sim + case when n > 1 then i * {P.RECENCY_NUDGE} / (n - 1)::double else 0.0 end as blended from j), r as (select *, row_number() over (partition by query_id order by round(blended, 9) desc, id) as rank from k) select query_id, id, rank, {S.r6('blended')} as blended from r where rank <= 3",
+)
 def accepted_anchors(s, d):
     """The three accepted drafts of a brief's voice that are closest to it, newer ones favoured."""
     acc = table(s, d, "accepted_log").where("text is not null and voice is not null").dropDuplicates(["voice", "seq"]).select("id", "voice", "seq", retrieve.encode(F.col("text")).alias("v"))
@@ -111,7 +116,7 @@ def accepted_anchors(s, d):
     x = b.join(acc, "voice").withColumn("sim", retrieve.dot(F.col("v"), F.col("q")))
     x = retrieve.recency_ranked(x, "seq")
     w = Window.partitionBy("query_id").orderBy(F.round("blended", 9).desc(), "id")
-    return x.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("query_id", "id", "rank", R(F.col("blended")).alias("blended"))
+    return x.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("query_id", "id", "rank", R(F.col("blended")).alias("blended"))
 
 
 # --- composites ---
@@ -333,22 +338,35 @@ def presence_states(s, d):
     return x.select("cand_id", st["measurable"].alias("measurable"), F.array_join(st["absent"], "|").alias("absent"), F.array_join(st["missed"], "|").alias("missed"), st["presence_missing"].alias("presence_missing"))
 
 
-@query("transform_demos")
+_TOP3 = "r as (select qa as query_id, qb as id, sim, row_number() over (partition by qa order by round(sim, 9) desc, qb) as rank from sm {where}) select query_id, id, rank, " + S.r6("sim") + " as sim from r where rank <= 3"
+
+
+@query(
+    "transform_demos",
+    f"with ed as (select distinct id, ai_text, human_text from edit_pairs where ai_text is not null and human_text is not null), {S.encoded_cte('ed', 'id', 'human_text', 'ee')}, {S.encoded_cte('briefs', 'id', 'task', 'eb')}, {S.encoded_sims('eb', 'id', 'ee', 'id', 'sm')}, {_TOP3.format(where='')}",
+)
 def transform_demos(s, d):
     """The three edits whose human side is closest to each brief."""
     e = edits(s, d).select("id", retrieve.encode(F.col("human_text")).alias("vec"))
     q = table(s, d, "briefs").where("task is not null").select(F.col("id").alias("query_id"), retrieve.encode(F.col("task")).alias("vec"))
-    return retrieve.vector_topk(e, q, 3).select("query_id", "id", F.col("rank").cast("long").alias("rank"), R(F.col("sim")).alias("sim"))
+    return _three(retrieve.vector_topk(e, q, 12))
 
 
-@query("nearest_pieces")
+def _three(x):
+    """The three of the highest similarity to 9 places, ties to the smaller id."""
+    w = Window.partitionBy("query_id").orderBy(F.round("sim", 9).desc(), "id")
+    return x.drop("rank").withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("query_id", "id", "rank", R(F.col("sim")).alias("sim"))
+
+
+@query(
+    "nearest_pieces",
+    f"with qd as (select doc_id, text from documents where doc_id % 20 = 0), {S.encoded_cte('documents', 'doc_id', 'text', 'ed')}, {S.encoded_cte('qd', 'doc_id', 'text', 'eq')}, {S.encoded_sims('eq', 'doc_id', 'ed', 'doc_id', 'sm')}, {_TOP3.format(where='where qa <> qb')}",
+)
 def nearest_pieces(s, d):
     """The three documents closest to every document whose id is divisible by 20, itself left out."""
     v = table(s, d, "documents").where("text is not null").select("doc_id", retrieve.encode(F.col("text")).alias("vec"))
     q = v.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
-    x = retrieve.vector_topk(v, q, 4, "doc_id").where("query_id <> id").drop("rank")
-    w = Window.partitionBy("query_id").orderBy(F.round("sim", 9).desc(), "id")
-    return x.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("query_id", "id", "rank", R(F.col("sim")).alias("sim"))
+    return _three(retrieve.vector_topk(v, q, 16, "doc_id").where("query_id <> id"))
 
 
 # --- evaluation ---

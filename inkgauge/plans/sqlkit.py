@@ -107,3 +107,18 @@ def z(f: str, unit: str = "x", fp: str = "y", clip: bool = True) -> str:
 
 def rms(unit: str = "x", fp: str = "y") -> str:
     return "sqrt((" + " + ".join(f"pow({z(f, unit, fp)}, 2)" for f in SURFACE) + f") / {len(SURFACE)}.0)"
+
+
+def encoded_cte(src: str, key: str, text: str, name: str) -> str:
+    """name (key, p, v): the places of the hashed encoding of a table's texts that aren't 0, normalised; name_k has every key."""
+    byte = "(strpos('0123456789abcdef', substr(md5(w), 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(md5(w), 2, 1)) - 1"
+    return (
+        f"{name}_w as (select {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+')) as w from {src} where {text} is not null), {name}_b as (select {key}, {byte} as h from {name}_w), "
+        f"{name}_v as (select {key}, h % 64 as p, sum(case when (h // 64) % 2 = 1 then 1 else -1 end)::double as v from {name}_b group by all), {name} as (select {key}, p, v / sqrt(sum(v * v) over (partition by {key})) as v from {name}_v where v <> 0), "
+        f"{name}_k as (select distinct {key} from {src} where {text} is not null)"
+    )
+
+
+def encoded_sims(a: str, ka: str, b: str, kb: str, name: str) -> str:
+    """name (ka, kb, sim): the dot product of every two encodings of a and b."""
+    return f"{name}_s as (select a.{ka} as qa, b.{kb} as qb, sum(a.v * b.v) as sim from {a} a join {b} b using (p) group by all), {name} as (select a.{ka} as qa, b.{kb} as qb, coalesce(sim, 0.0) as sim from {a}_k a cross join {b}_k b left join {name}_s s on s.qa = a.{ka} and s.qb = b.{kb})"

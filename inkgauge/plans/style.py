@@ -214,6 +214,10 @@ def cadence_fit(s, d) -> DataFrame:
     return x.drop("text")
 
 
+def _rms(features, unit: str = "x", fp: str = "y") -> str:
+    return "sqrt((" + " + ".join(f"pow({S.z(f, unit, fp)}, 2)" for f in features) + f") / {len(features)}.0)"
+
+
 _EVERY = P.SURFACE + P.CADENCE
 # usable documents (uc) and the accepted drafts of 80 tokens or more (ac) with 26 features, both under the voice's own sentence classes
 _CUTS = f"""vd as (select doc_id, voice, text from documents where text is not null and voice is not null),
@@ -224,10 +228,6 @@ uc as (select feat.*, {', '.join('cd.' + f for f in P.CADENCE)} from feat join c
 fc as (select voice, count(*) as n_pieces, {', '.join(f'avg({f}) as {f}_m, coalesce(stddev_samp({f}), 0.0) as {f}_s' for f in _EVERY)} from uc group by voice having count(*) >= {P.MIN_PIECES})"""
 
 
-def _rms(features, unit: str = "x", fp: str = "y") -> str:
-    return "sqrt((" + " + ".join(f"pow({S.z(f, unit, fp)}, 2)" for f in features) + f") / {len(features)}.0)"
-
-
 _LOOC = (
     "restc as (select a.doc_id, a.voice, "
     + ", ".join(f"avg(b.{f}) as {f}_m, coalesce(stddev_samp(b.{f}), 0.0) as {f}_s" for f in P.CADENCE)
@@ -263,7 +263,24 @@ def cadence_distance(s, d):
     return x.select("doc_id", "voice", R(F.col("rmsz")).alias("rmsz"), R(C.cadence_rms()).alias("cadence_rmsz"))
 
 
-@query("blindness_probe")
+def _reordered(key: str) -> str:
+    """Sentences ordered by a key and put together in paragraphs of five."""
+    rows = f"list_sort(list_transform(range(1, len(s) + 1), lambda i: {{'k': {key}, 'i': i, 'x': s[i]}}))"
+    return f"array_to_string(list_transform(range(0, len(s), 5), lambda a: array_to_string(list_transform(({rows})[a + 1:a + 5], lambda r: r.x), ' ')), chr(10) || chr(10))"
+
+
+_ORDERS = {"control": "i", "ramp": f"len({S.w1('s[i]')})", "shuffle": "md5(s[i] || (i - 1)::varchar || '7')"}
+_PROBE = [f"ps as (select doc_id, voice, {S.sents('text')} as s from documents where text is not null and voice is not null)", S.feature_cte("documents", "doc_id", "voice"), cadence_cte("documents", "doc_id", "cad"),
+    f"ub as (select feat.*, {', '.join('cad.' + f for f in P.CADENCE)} from feat join cad using (doc_id) where voice is not null and n_words >= {P.MIN_PIECE_WORDS}), fb as (select voice, count(*) as n_pieces, {', '.join(f'avg({f}) as {f}_m, coalesce(stddev_samp({f}), 0.0) as {f}_s' for f in P.SURFACE + P.CADENCE)} from ub group by voice having count(*) >= {P.MIN_PIECES})"]
+for _how, _key in _ORDERS.items():
+    _PROBE += [f"p_{_how} as (select doc_id, voice, {_reordered(_key)} as text from ps)", S.feature_cte(f"p_{_how}", "doc_id", "voice", name=f"f_{_how}"), cadence_cte(f"p_{_how}", "doc_id", f"k_{_how}")]
+
+
+@query(
+    "blindness_probe",
+    f"with {', '.join(_PROBE)} "
+    + " union all ".join(f"select x.voice, '{h}' as \"order\", {S.r6('avg(' + _rms(P.SURFACE) + ')')} as surface, {S.r6('avg(' + _rms(P.CADENCE) + ')')} as cadence from (select f.*, {', '.join('k.' + f for f in P.CADENCE)} from f_{h} f join k_{h} k using (doc_id) where n_words >= {P.MIN_PIECE_WORDS}) x join fb y using (voice) group by x.voice" for h in _ORDERS),
+)
 def blindness_probe(s, d):
     """Mean distances of control, ramp and shuffled sentence orders under surface and cadence fingerprints."""
     docs = table(s, d, "documents").where("text is not null and voice is not null").select("doc_id", "voice", "text")
