@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgauge.functions import patterns as P
-
 
 def parts(profiles: DataFrame) -> DataFrame:
     """(slug, source, weight, pos) of every composite's parts."""
@@ -59,7 +57,3 @@ def blended_banlist(banlists: DataFrame, shares_: DataFrame, by: str = "voice")
     """(slug, word): words every part bans; one part that uses a word keeps it."""
     x = banlists.withColumnRenamed(by, "source").join(shares_.select("slug", "source"), "source")
     return x.groupBy("slug", "word").agg(F.bool_and("banned").alias("b")).where("b").select("slug", "word")
-
-
-def dash_free(dash_per1k_p95):
-    return dash_per1k_p95 < P.AUTHOR_DASH_MIN

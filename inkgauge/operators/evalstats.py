@@ -20,6 +20,13 @@ def auroc(df: DataFrame, positive: str, score: str, by: str | None = None) -> Da
     """
     keys = [by] if by else []
     c = df.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).groupBy(*keys, score).agg(F.sum(F.when(F.col(positive), 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(1)).alias("q"))
+    return auroc_of_counts(c, by, score)
+
+
+def auroc_of_counts(counts: DataFrame, by: str | list[str] | None, score: str) -> DataFrame:
+    """auroc() of rows (by, score, p, q): how many positives and negatives have a score."""
+    keys = by if isinstance(by, list) else [by] if by else []
+    c = counts.groupBy(*keys, score).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     w = Window.partitionBy(*keys).orderBy(score)
     c = c.withColumn("below", F.sum("p").over(w) - F.col("p"))
     a = c.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("q") * (F.col("below") + F.col("p") * 0.5)).alias("wins"))

@@ -40,9 +40,9 @@ def pareto_front(cands: DataFrame, task: str = "task_id", x: str = "rmsz", y: st
     return d.join(prior, [task, "rank__"]).where(keep).drop("low__", "rank__", "prior__")
 
 
-def least_bad(cands: DataFrame, baseline: Column | None = None, task: str = "task_id", hard: str = "n_hard", mode: str = "minimize") -> DataFrame:
+def least_bad(cands: DataFrame, baseline: Column | None = None, task: str = "task_id", hard: str = "n_hard", mode: str = "minimize", distance: str = "rmsz") -> DataFrame:
     """One draft per task: fewest hard findings, then the least target distance, then the lowest cand_idx."""
-    d = target_distance(F.col("rmsz"), baseline if baseline is not None else F.lit(0.0), mode)
+    d = target_distance(F.col(distance), baseline if baseline is not None else F.lit(0.0), mode)
     w = Window.partitionBy(task).orderBy(hard, d.asc_nulls_last(), "cand_idx")
     return cands.withColumn("rn__", F.row_number().over(w)).where("rn__ = 1").drop("rn__")
 

@@ -244,6 +244,12 @@ def tell_usage(df: DataFrame, words: tuple, by: str = "voice", text: str = "text
     return w.groupBy(by, "word").agg(F.count("*").alias("uses"))
 
 
+def word_usage(df: DataFrame, words: tuple, by: str = "voice", text: str = "text") -> DataFrame:
+    """tell_usage() with a row of a null word for every voice that has texts, so that voices using none of the words stay."""
+    none = df.where(F.col(by).isNotNull() & F.col(text).isNotNull()).select(by).distinct().select(by, F.lit(None).cast("string").alias("word"), F.lit(0).cast("long").alias("uses"))
+    return tell_usage(df, words, by, text).unionByName(none)
+
+
 def banlists(df: DataFrame, words: tuple = P.TELL_WORDS, least: int = 3, by: str = "voice", text: str = "text") -> DataFrame:
     """(by, word, banned): of each voice, the listed words it uses fewer than ``least`` times."""
     voices = df.where(F.col(by).isNotNull()).select(by).distinct()

@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable]:
-    from inkgauge.plans import checks, selection, style  # noqa: F401
+    from inkgauge.plans import checks, jobs, selection, style  # noqa: F401
 
     return dict(QUERIES)
 

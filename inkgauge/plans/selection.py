@@ -268,34 +268,6 @@ def slate_collapse(s, d):
     return x.select("task_id", "n_units", R(F.col("spread")).alias("spread"), R(F.try_divide("spread", "corpus_spread")).alias("ratio"), gate.collapsed(F.col("spread"), F.col("corpus_spread")).alias("collapsed"))
 
 
-_ONE_SCORED = "os as (select * from (select *, row_number() over (partition by cand_id order by created_at, rmsz) as k from candidates) where k = 1)"
-
-
-@query(
-    "detector_accept",
-    f"with {_ONE_SCORED} select a.task_id, coalesce(b.detector_score > a.detector_score and b.rmsz <= 1.1, false) as accepted from os a join os b on a.task_id = b.task_id and a.cand_idx = 0 and b.cand_idx = 1",
-)
-def detector_accept(s, d):
-    """Whether a task's second draft may replace its first by the detector's rule (low scores are a machine's)."""
-    c = scored(s, d)
-    a = c.where("cand_idx = 0").select("task_id", F.col("detector_score").alias("before"))
-    b = c.where("cand_idx = 1").select("task_id", F.col("detector_score").alias("after"), "rmsz")
-    ok = gate.detector_accepted(F.col("before"), F.col("after"), F.lit("low_is_machine"), F.col("rmsz"), F.lit(1.1), F.lit(0))
-    return a.join(b, "task_id").select("task_id", F.coalesce(ok, F.lit(False)).alias("accepted"))
-
-
-@query(
-    "repair_accept",
-    f"with e as (select distinct id, ai_text, human_text from edit_pairs where ai_text is not null and human_text is not null), f as (select id, {_FLAGS.replace('text', 'ai_text')} as a, {_FLAGS.replace('text', 'human_text')} as b from e) select id, a as flags_before, b as flags_after, b < a and b = 0 as accepted from f",
-)
-def repair_accept(s, d):
-    """Edits as repairs: fewer hard flags than before, and none left."""
-    n = lambda c: F.size(fidelity.hard_flags(F.col(c)))
-    x = edits(s, d).select("id", n("ai_text").alias("flags_before"), n("human_text").alias("flags_after"))
-    ok = gate.repair_accepted(F.col("flags_before"), F.col("flags_after"), F.lit(9.0), F.lit(1.0), F.lit(0), F.lit(0))
-    return x.select("id", "flags_before", "flags_after", ok.alias("accepted"))
-
-
 _LINES = f"""list_filter([case when dashes > 0 then 'HIGH dashes: ' || dashes::varchar end, case when len(bp) > 0 then 'HIGH phrases: ' || array_to_string(bp, ', ') end,
 case when len(bw) > 0 then 'HIGH words: ' || array_to_string(bw, ', ') end, case when hedges > 2 then 'MEDIUM hedges' end], lambda x: x is not null)"""
 

@@ -135,9 +135,46 @@ def pending(jobs: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     return jobs.join(ledger.where("status = 'ok'").select(key).distinct(), key, "left_anti")
 
 
+@F.pandas_udf(returnType=StringType())
+def _dug(doc: pd.Series, field: pd.Series) -> pd.Series:
+    import json
+
+    def find(x, name):
+        todo = [x]
+        while todo:
+            x = todo.pop(0)
+            if isinstance(x, dict):
+                if name in x and not isinstance(x[name], (dict, list)):
+                    return x[name]
+                todo = list(x.values()) + todo
+            elif isinstance(x, list):
+                todo = x + todo
+        return None
+
+    def one(text, name):
+        try:
+            v = find(json.loads(text), name)
+        except (TypeError, ValueError):
+            return None
+        return v if v is None or isinstance(v, str) else json.dumps(v)
+
+    return pd.Series([one(t, f) for t, f in zip(doc, field, strict=True)])
+
+
 def dig(json: Column, field: str) -> Column:
-    """The first string value of a field anywhere in a JSON text."""
-    return F.nullif(F.regexp_extract(json, rf'"{re.escape(field)}"\s*:\s*"((?:[^"\\]|\\.)*)"', 1), F.lit(""))
+    """The first plain value of a field anywhere in a JSON text, depth first, as text; null without one and for what is no JSON."""
+    return _dug(json, F.lit(field))
+
+
+def safe_name(name: Column) -> Column:
+    """A name fit for a file: letters, digits, points and hyphens, blanks as underscores, 120 characters at most."""
+    s = F.replace(F.trim(F.regexp_replace(name, r"[^\p{L}\p{N}_\s.-]", "")), F.lit(" "), F.lit("_"))
+    return F.when(s == "", "untitled").otherwise(F.substring(s, 1, 120))
+
+
+def meta_values(keys: DataFrame, meta: DataFrame) -> DataFrame:
+    """(key, value) of stored values by key; null where there is none."""
+    return keys.join(meta.groupBy("key").agg(F.max("value").alias("value")), "key", "left").select("key", "value")
 
 
 def store_documents(chunks: DataFrame, cookbook: DataFrame) -> DataFrame:
