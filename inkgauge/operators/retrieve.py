@@ -24,60 +24,56 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double")))
 
 
-def _query_blocks(queries: DataFrame, q_col: str, v: str, size: int):
-    """The queries' (id, vector) in blocks of at most ``size``, fetched one partition at a time."""
-    block: list[tuple] = []
-    for r in queries.select(q_col, v).where(F.col(v).isNotNull()).toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
+def packed(df: DataFrame, id_col: str, v: str, size: int) -> DataFrame:
+    """(ids, m): the vectors of some ``size`` rows as one matrix of doubles, with their ids as an array; null vectors fall out."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def pack(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, size):
+                part = b.slice(k, size)
+                m = np.array(part.column(1).to_pylist(), dtype=np.float64)
+                yield pa.record_batch([pa.array([part.column(0).to_pylist()], type=pa.list_(part.schema.field(0).type)), pa.array([m.tobytes()], type=pa.binary())], names=["ids", "m"])
+
+    return df.where(F.col(v).isNotNull()).select(id_col, v).mapInArrow(pack, f"ids array<{kind}>, m binary")
 
 
 def vector_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", q_col: str = "query_id", v: str = "vec", block: int = QUERY_BLOCK) -> DataFrame:
     """(query, id, sim, rank): the k rows of the highest dot product for each query; ties to the smaller id.
 
-    The queries are a stated set. They go to the rows in blocks of a bounded
-    size, one scan per block: Arrow batches are multiplied with the block's
-    matrix and hand on only their k best (with ties) per query. From the second
-    block on, results are cut from their lineage, so that plans stay small.
-    Null vectors take no part.
+    The queries are a stated set. Rows and queries are packed into matrices on
+    the cluster and every two of them are multiplied, which hands on only the k
+    best rows (with ties) per query and pair of matrices. Up to ``block``
+    queries are sent to all tasks; more stay where they are and meet the rows'
+    matrices pair by pair. Null vectors take no part.
     """
     import numpy as np
     import pyarrow as pa
 
-    from inkgauge.session import checkpointed
-
     q_type, id_type = queries.schema[q_col].dataType, rows.schema[id_col].dataType
-    schema = f"{q_col} {q_type.simpleString()}, id {id_type.simpleString()}, sim double"
     w = Window.partitionBy(q_col).orderBy(F.col("sim").desc(), "id")
-    src = rows.where(F.col(v).isNotNull()).select(id_col, v)
-    out: list[DataFrame] = []
-    for got in _query_blocks(queries, q_col, v, block):
-        send = rows.sparkSession.sparkContext.broadcast(([i for i, _ in got], np.array([x for _, x in got], dtype=np.float64)))
-
-        def score(batches, send=send):
-            names, m = send.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = np.array(b.column(1).to_pylist(), dtype=np.float64).reshape(b.num_rows, -1)
-                s = m @ x.T
+    asked, held = packed(queries, q_col, v, 1024).select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m")), packed(rows, id_col, v, 1024)
+    asked = F.broadcast(asked) if queries.limit(block + 1).count() <= block else asked
+
+    def multiply(batches):
+        for b in batches:
+            for j in range(b.num_rows):
+                names, ids = b.column(2)[j].values, b.column(0)[j].values
+                q = np.frombuffer(b.column(3)[j].as_py(), dtype=np.float64).reshape(len(names), -1)
+                x = np.frombuffer(b.column(1)[j].as_py(), dtype=np.float64).reshape(len(ids), -1)
+                s = q @ x.T
                 n = min(k, s.shape[1])
                 part = np.argpartition(-s, n - 1, axis=1)[:, :n]
                 kth = np.take_along_axis(s, part, 1).min(axis=1, keepdims=True)
                 row, col = np.nonzero(s >= kth)  # with all ties
-                yield pa.record_batch([pa.array([names[i] for i in row]), b.column(0).take(pa.array(col)), pa.array(s[row, col])], names=[q_col, "id", "sim"])
+                yield pa.record_batch([names.take(pa.array(row)), ids.take(pa.array(col)), pa.array(s[row, col])], names=[q_col, "id", "sim"])
 
-        best = src.mapInArrow(score, schema).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out.append(checkpointed(best) if len(got) == block else best)
-    if not out:
-        return rows.sparkSession.createDataFrame([], schema + ", rank int")
-    for one in out[1:]:
-        out[0] = out[0].unionByName(one)
-    return out[0]
+    pairs = held.join(asked, how="cross")  # the stated queries against all rows, matrix by matrix
+    best = pairs.mapInArrow(multiply, f"{q_col} {q_type.simpleString()}, id {id_type.simpleString()}, sim double")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def fold_accents(t: Column) -> Column:
@@ -216,6 +212,30 @@ def hashed_embedding(text: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def tfidf(df: DataFrame, text: str = "text", places: int = 256) -> DataFrame:
+    """df with ``vec``: hashed word counts weighted by inverse document frequency over the table, normalised; null texts have none."""
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    x = df.where(F.col(text).isNotNull()).withColumn("w__", T.find_all(fold_accents(F.col(text)), P.WORD_PLAIN))
+    x = HashingTF(numFeatures=places, inputCol="w__", outputCol="t__").transform(x)
+    x = IDF(inputCol="t__", outputCol="i__").fit(x).transform(x)
+    return Normalizer(inputCol="i__", outputCol="n__").transform(x).withColumn("vec", vector_to_array("n__")).drop("w__", "t__", "i__", "n__")
+
+
+_RESIDENT: dict[str, DataFrame] = {}
+
+
+def resident(key: str, make) -> DataFrame:
+    """The persisted vectors of a corpus, by its hash; one corpus at a time is kept, so a changed one takes the place of the old."""
+    if key not in _RESIDENT:
+        for old in _RESIDENT.values():
+            old.unpersist()
+        _RESIDENT.clear()
+        _RESIDENT[key] = make().persist()
+    return _RESIDENT[key]
+
+
 ENCODERS = {"hashed": hashed_embedding}
 
 

@@ -20,12 +20,13 @@ ACCEPTED_SCHEMA = "id string, text string, task string, source string, timestamp
 EVENT_SCHEMA = "ts timestamp, tool string, voice string, text_sha string"
 
 
-def find_documents(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """(path, name, ext, content) of the supported files of a folder."""
+def find_documents(spark: SparkSession, folder: str, recursive: bool = False, ordered: bool = False) -> DataFrame:
+    """(path, name, ext, content) of the supported files of a folder; on wish in the order of lower-cased names, which sorts their contents as well."""
     x = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
-    return x.select("path", F.url_decode(name).alias("name"), ext.alias("ext"), "content").where(F.col("ext").isin(*SUPPORTED))
+    x = x.select("path", F.url_decode(name).alias("name"), ext.alias("ext"), "content").where(F.col("ext").isin(*SUPPORTED))
+    return x.orderBy(F.lower("name"), "name") if ordered else x
 
 
 @F.pandas_udf(returnType=StringType())
@@ -44,6 +45,53 @@ def docx_text(content: pd.Series) -> pd.Series:
     return content.map(read)
 
 
+@F.pandas_udf(returnType=StringType())
+def pdf_text(content: pd.Series) -> pd.Series:
+    """The text layer of PDF files, pages apart by a form feed; null for what can't be read or has none.
+
+    Reads the shown strings (Tj, TJ, ' and ") of plain and deflated content
+    streams in simple encodings; text in fonts with maps of their own comes out
+    only as far as these keep Latin codes.
+    """
+    import zlib
+
+    stream = re.compile(rb"(?:<<(?P<dict>.*?)>>)\s*stream\r?\n(?P<data>.*?)endstream", re.S)
+    shown = re.compile(rb"(?P<arr>\[(?:[^\[\]()\\]|\\.|\((?:[^()\\]|\\.)*\))*\])\s*TJ|(?P<str>\((?:[^()\\]|\\.)*\))\s*(?:Tj|'|\")|(?P<line>T\*|-?[\d.]+\s+-?[\d.]+\s+T[dD]\b|\bTm\b|\bET\b)", re.S)
+    part = re.compile(rb"\((?:[^()\\]|\\.)*\)|-?\d+(?:\.\d+)?", re.S)
+    escape = re.compile(rb"\\([0-7]{1,3}|.)", re.S)
+    plain = {b"n": b"\n", b"r": b"\n", b"t": b"\t", b"b": b"", b"f": b"", b"\n": b""}
+
+    def text(literal: bytes) -> str:
+        one = lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else plain.get(m[1], m[1])
+        return escape.sub(one, literal[1:-1]).decode("cp1252", "replace")
+
+    def read(b: bytes | None) -> str | None:
+        if b is None or not b.startswith(b"%PDF"):
+            return None
+        pages = []
+        for m in stream.finditer(b):
+            data = m["data"]
+            if b"FlateDecode" in m["dict"]:
+                try:
+                    data = zlib.decompressobj().decompress(data)
+                except zlib.error:
+                    continue
+            out = []
+            for t in shown.finditer(data) if b"BT" in data else ():
+                if t["line"]:
+                    out.append("\n")
+                elif t["str"]:
+                    out.append(text(t["str"]))
+                else:  # a wide step back between two strings is a blank
+                    out += [text(x) if x[:1] == b"(" else " " if float(x) < -200 else "" for x in part.findall(t["arr"])]
+            page = re.sub(r"\n{2,}", "\n", "".join(out)).strip()
+            if page:
+                pages.append(page)
+        return "\f".join(pages) or None
+
+    return content.map(read)
+
+
 def utf8(content: Column) -> Column:
     """Bytes as text; what isn't UTF-8 becomes the replacement character."""
     return _lenient(content)
@@ -55,11 +103,12 @@ def _lenient(content: pd.Series) -> pd.Series:
 
 
 def read_texts(files: DataFrame) -> DataFrame:
-    """(name, text, readable): text by extension; page files need their text supplied (see page_text)."""
+    """(name, text, readable): text by extension; of page files the text layer with its pages repaired (see also page_text)."""
     docx = files.where("ext = 'docx'").select("name", docx_text("content").alias("text"))
     html = files.where("ext in ('html', 'htm')").select("name", markup.strip_tags(utf8(F.col("content"))).alias("text"))
     rest = files.where("ext in ('txt', 'md')").select("name", utf8(F.col("content")).alias("text"))
-    pdf = files.where("ext = 'pdf'").select("name", F.lit(None).cast("string").alias("text"))
+    raw = F.regexp_replace(pdf_text("content"), "\f", "\n")
+    pdf = files.where("ext = 'pdf'").select("name", F.regexp_replace(chunking.repair_pages(raw), r"\n+", "\n\n").alias("text"))
     out = docx.unionByName(html).unionByName(rest).unionByName(pdf)
     return out.withColumn("readable", F.col("text").isNotNull())
 
@@ -72,12 +121,19 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 
 def corpus_hash(files: DataFrame, by: str | None = None, name: str = "name", content: str = "content") -> DataFrame:
-    """One hash per corpus over names and contents in the order of lower-cased names."""
+    """One hash per corpus over names and contents in the order of lower-cased names. The names and hashes of a corpus meet in one row; see ``corpus_tree_hash``."""
     row = F.struct(F.lower(name).alias("o"), F.col(name).alias("n"), F.sha2(F.col(content), 256).alias("h"))
     keys = [by] if by else []
     return files.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: F.concat(r["n"], F.lit(":"), r["h"])), "\n"), 256).alias("corpus_hash"))
 
 
+def corpus_tree_hash(files: DataFrame, name: str = "name", content: str = "content", buckets: int = 4096) -> DataFrame:
+    """(corpus_hash): one hash of a corpus of any size: of the hashes of buckets of names, which are small rows, in their order."""
+    part = files.withColumn("b__", F.pmod(F.xxhash64(name), F.lit(buckets)))
+    one = corpus_hash(part, "b__", name, content)
+    return one.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b__", "corpus_hash"))), lambda r: F.concat(r["b__"].cast("string"), F.lit(":"), r["corpus_hash"])), "\n"), 256).alias("corpus_hash"))  # at most ``buckets`` rows
+
+
 def changed(now: DataFrame, stored: DataFrame, by: str) -> DataFrame:
     """Corpora whose hash isn't the stored one."""
     return now.join(stored.select(by, "corpus_hash"), [by, "corpus_hash"], "left_anti")

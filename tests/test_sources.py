@@ -51,7 +51,9 @@ def test_logs_and_artifacts(spark, tmp_path):
     ledger = spark.createDataFrame([("a", "ok"), ("b", "failed")], "job string, status string")
     assert {r["job"] for r in io.pending(jobs, ledger, "job").collect()} == {"b", "c"}
     d = spark.createDataFrame([('{"x":{"text":"deep \\"q\\""},"y":1}',), ("{}",)], "j string")
-    assert [r[0] for r in d.select(io.dig(F.col("j"), "text")).collect()] == ['deep \\"q\\"', None]
+    assert [r[0] for r in d.select(io.dig(F.col("j"), "text")).collect()] == ['deep "q"', None]
+    d = spark.createDataFrame([('{"a":[{"b":{"n":1.5}},{"n":2}]}',), ("[no json",), (None,), ('{"n":null}',)], "j string")
+    assert [r[0] for r in d.select(io.dig(F.col("j"), "n")).collect()] == ["1.5", None, None, None]
     assert spark.range(1).select(io.flat_name(F.lit("a/b/c.txt"))).first()[0] == "a__b__c.txt"
 
 
@@ -70,3 +72,39 @@ def test_windowed_stream(spark, tmp_path):
     scorer.run_once(scorer.fit_rates(stream), str(tmp_path / "out"), str(tmp_path / "state"))
     r = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(x["fit"], x["n"], x["mean_rmsz"]) for x in r if x["n"] == 2] == [("fit", 2, 2.0)]
+
+
+def _pdf(stream, deflate=False):
+    import zlib
+
+    data = zlib.compress(stream) if deflate else stream
+    kind = b"/Filter /FlateDecode " if deflate else b""
+    return b"%PDF-1.4\n1 0 obj\n<< " + kind + b"/Length " + str(len(data)).encode() + b" >>\nstream\n" + data + b"\nendstream\nendobj\n%%EOF"
+
+
+def test_text_layer_of_pages(spark, tmp_path):
+    page = rb"BT /F1 12 Tf 72 720 Td (A hyphen-) Tj 0 -14 Td [(ated l) 20 (ine) -300 (that)] TJ T* (goes on \(here\).) Tj ET"
+    for name, b in (("b.pdf", _pdf(page)), ("C.pdf", _pdf(page, True)), ("a.pdf", b"%PDF-1.4 nothing"), ("d.pdf", b"no page file")):
+        (tmp_path / name).write_bytes(b)
+    files = io.find_documents(spark, str(tmp_path), ordered=True)
+    assert [r["name"] for r in files.collect()] == ["a.pdf", "b.pdf", "C.pdf", "d.pdf"]
+    got = {r["name"]: (r["text"], r["readable"]) for r in io.read_texts(files).collect()}
+    assert got == {"b.pdf": ("A hyphenated line that goes on (here).", True), "C.pdf": ("A hyphenated line that goes on (here).", True), "a.pdf": (None, False), "d.pdf": (None, False)}
+
+
+def test_hashes_names_and_values(spark):
+    f = spark.createDataFrame([(f"n{k}", f"text {k}") for k in range(40)], "name string, content string")
+    h = io.corpus_tree_hash(f, buckets=8).first()[0]
+    assert h == io.corpus_tree_hash(f.repartition(7), buckets=8).first()[0] != io.corpus_tree_hash(f.where("name <> 'n3'"), buckets=8).first()[0]
+    assert io.corpus_tree_hash(f.limit(0)).count() == 1
+    names = spark.createDataFrame([("A title: with/marks?",), ("  ",), ("x" * 200,), (None,)], "n string")
+    assert [r[0] for r in names.select(io.safe_name(F.col("n"))).collect()] == ["A_title_withmarks", "untitled", "x" * 120, None]
+    keys = spark.createDataFrame([("a",), ("z",)], "key string")
+    meta = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string")
+    assert {tuple(r) for r in io.meta_values(keys, meta).collect()} == {("a", "1"), ("z", None)}
+
+
+def test_stored_documents(spark):
+    c = spark.createDataFrame([("f::1", "f", 1, "two"), ("f::0", "f", 0, "one"), ("f::0", "f", 0, "one"), ("g::0", "g", 0, None)], "id string, filename string, chunk_idx int, text string")
+    book = spark.createDataFrame([("f", "cookbook"), ("h", "other")], "filename string, text string")
+    assert {tuple(r) for r in io.store_documents(c, book).collect()} == {("f", "one\n\ntwo"), ("h", "other")}
