@@ -520,3 +520,95 @@ def repair_accept(s, d):
     x = _before_after(s, d)
     ok = gate.repair_accepted(F.col("f0"), F.col("f1"), F.col("rmsz"), F.col("limit"), F.lit(0), F.col("n_fidelity"))
     return x.select("task_id", F.col("f0").cast("long").alias("flags_before"), F.col("f1").cast("long").alias("flags_after"), F.coalesce(ok, F.lit(False)).alias("accepted"))
+
+
+# --- detector, discrimination, recalibration, campaign ---
+
+
+@query(
+    "detector_signals",
+    f"with {L._ONE}, {L._THRESHOLDS}, tk as (select cand_id, max(coalesce(len({S.tok('text')}), 0)) as n from candidates group by cand_id) select one.cand_id, detector_score is not null and threshold is not null as available, case when detector_score is null or threshold is null then null when n < 48 then 'uncertain' when case when low_is_machine then detector_score < threshold else detector_score > threshold end then 'machine' else 'human' end as label, "
+    f"case when detector_score is null or threshold is null then null else {S.r6('case when low_is_machine then detector_score - threshold else threshold - detector_score end')} end as margin from one join tk using (cand_id) left join dt using (voice)",
+)
+def detector_signals(s, d):
+    """What the detector says of every draft: whether it can say anything, its label and the margin on the human side."""
+    t = evalstats.detector_threshold(L.scored(s, d).where("voice is not null and machine is not null"), "machine", "detector_score", "voice", fpr=0.05).select("voice", "threshold", "direction")
+    n = table(s, d, "candidates").groupBy("cand_id").agg(F.max(F.coalesce(F.size(T.tokens(F.col("text"))), F.lit(0))).alias("n_tokens"))
+    x = L.scored(s, d).join(n, "cand_id").join(t, "voice", "left")
+    ok = F.col("detector_score").isNotNull() & F.col("threshold").isNotNull()
+    label = evalstats.detector_label(F.col("detector_score"), F.col("n_tokens"), F.col("threshold"), F.col("direction"))
+    gap = F.col("detector_score") - F.col("threshold")
+    return x.select("cand_id", ok.alias("available"), F.when(ok, label).alias("label"), F.when(ok, R(F.when(F.col("direction") == "low_is_machine", gap).otherwise(-gap))).alias("margin"))
+
+
+@query(
+    "detector_loop",
+    f"{_ACCEPT}, {_SIDES}, lp as (select voice, d0, case when coalesce(case when coalesce(low_is_machine, true) then d1 > d0 else d1 < d0 end and rmsz <= lim and n_fidelity = 0, false) then d1 else d0 end as d2, threshold, low_is_machine from ba join dt using (voice) where d0 is not null) "
+    f"select voice, count(*) as n, {S.r6('avg(case when case when low_is_machine then d0 < threshold else d0 > threshold end then 1.0 else 0.0 end)')} as machine_before, {S.r6('avg(case when case when low_is_machine then d2 < threshold else d2 > threshold end then 1.0 else 0.0 end)')} as machine_after from lp group by voice",
+)
+def detector_loop(s, d):
+    """Per voice: the share of first drafts a detector calls a machine's, before and after accepted replacements by second ones."""
+    t = evalstats.detector_threshold(L.scored(s, d).where("voice is not null and machine is not null"), "machine", "detector_score", "voice", fpr=0.05).select("voice", "threshold", "direction")
+    x = _before_after(s, d).where("d0 is not null").join(t, "voice")
+    ok = F.coalesce(gate.detector_accepted(F.col("d0"), F.col("d1"), F.col("direction"), F.col("rmsz"), F.col("limit"), F.col("n_fidelity")), F.lit(False))
+    x = x.withColumn("d2", F.when(ok, F.col("d1")).otherwise(F.col("d0")))
+    low = F.col("direction") == "low_is_machine"
+    share = lambda c: R(F.avg(F.when(low, F.col(c) < F.col("threshold")).otherwise(F.col(c) > F.col("threshold")).cast("double")))
+    return x.groupBy("voice").agg(F.count("*").alias("n"), share("d0").alias("machine_before"), share("d2").alias("machine_after"))
+
+
+@query(
+    "discrimination",
+    f"{Y._LOO}, {Y._CAND}, {Y._CANDF}, ds as (select x.voice, round({S.rms()}, 9) as dist from cf x join fp y using (voice)), hs as (select voice, round(loo, 9) as dist from loo) "
+    f"select ds.voice, {S.r6('sum(case when hs.dist < ds.dist then 1.0 when hs.dist = ds.dist then 0.5 else 0.0 end) / count(*)')} as auroc from ds join hs using (voice) group by ds.voice",
+)
+def discrimination(s, d):
+    """Per voice: how well the distance tells its own documents (each left out of the ruler) from drafts."""
+    u = Y.calibration_units(s, d)
+    own = checkpointed(C.leave_one_out(u).select("voice", F.lit(True).alias("real"), F.round("loo", 9).alias("dist")))
+    other = checkpointed(C.with_distance(Y.candidate_units(s, d), C.fingerprint(u)).select("voice", F.lit(False).alias("real"), F.round("rmsz", 9).alias("dist")))
+    x = own.unionByName(other).join(other.select("voice").distinct(), "voice", "left_semi").join(own.select("voice").distinct(), "voice", "left_semi")
+    return evalstats.auroc(x, "real", "dist", "voice").select("voice", R(F.col("auroc")).alias("auroc"))
+
+
+@query(
+    "recalibration_effect",
+    f"{Y._FP}, {Y._ACC}, {Y._ACCF}, wu as (select voice, 1.0::double as wt, {', '.join(P.SURFACE)} from u union all select voice, 1.0 + 3.0 * pow(0.5::double, steps_back / 3.0::double), {', '.join(P.SURFACE)} from af where n_words >= {P.MIN_PIECE_WORDS}), "
+    f"wm as (select voice, count(*) as n_pieces, {Y._WCOLS} from wu group by voice having count(*) >= 5), ws as (select voice, {Y._WSD} from wu join wm using (voice) group by voice), wf as (select * from wm join ws using (voice)), "
+    f"b0 as (select x.voice, count(*) as n, avg({S.rms()}) as d from af x join fp y using (voice) group by x.voice), b1 as (select x.voice, avg({S.rms()}) as d from af x join wf y using (voice) group by x.voice) "
+    f"select voice, n, {S.r6('b0.d')} as before, {S.r6('b1.d')} as after, {S.r6('b1.d - b0.d')} as change from b0 join b1 using (voice)",
+)
+def recalibration_effect(s, d):
+    """Per voice: the mean distance of its accepted drafts before and after they weigh in its ruler, newer ones more."""
+    u, acc = Y.calibration_units(s, d), Y.accepted_units(s, d)
+    one = u.select("voice", F.lit(1.0).alias("weight"), *P.SURFACE).unionByName(C.usable(acc).select("voice", C.recency_weight(F.col("steps_back")).alias("weight"), *P.SURFACE))
+    mean = lambda fp: C.with_distance(acc, fp).groupBy("voice").agg(F.count("*").alias("n"), F.avg("rmsz").alias("d"))
+    x = mean(C.fingerprint(u)).join(mean(C.weighted_fingerprint(one)).select("voice", F.col("d").alias("e")), "voice")
+    return x.select("voice", "n", R(F.col("d")).alias("before"), R(F.col("e")).alias("after"), R(F.col("e") - F.col("d")).alias("change"))
+
+
+_JOBS = ("build", "audit", "ab")
+
+
+@query(
+    "campaign_jobs",
+    "with st as (select distinct voice from documents where voice is not null), ac as (select distinct voice from accepted_log where voice is not null), pr as (select a.voice, count(*) as n from candidates a where cand_idx = 1 and voice is not null group by voice) "
+    "select slug as voice, j.job, case j.job when 'build' then st.voice is not null when 'audit' then st.voice is not null and ac.voice is not null else st.voice is not null and coalesce(n, 0) > 0 end as runnable from profiles cross join (values ('build'), ('audit'), ('ab')) j(job) left join st on st.voice = slug left join ac on ac.voice = slug left join pr on pr.voice = slug",
+)
+def campaign_jobs(s, d):
+    """The jobs of every voice and whether its tables hold what they need."""
+    some = lambda t, name, where="true": table(s, d, t).where("voice is not null").where(where).select(F.col("voice").alias("slug")).distinct().withColumn(name, F.lit(True))
+    p = table(s, d, "profiles").select("slug").join(some("documents", "docs"), "slug", "left").join(some("accepted_log", "acc"), "slug", "left").join(some("candidates", "pairs", "cand_idx = 1"), "slug", "left")
+    has = lambda c: F.coalesce(c, F.lit(False))
+    ready = {"build": has("docs"), "audit": has("docs") & has("acc"), "ab": has("docs") & has("pairs")}
+    rows = F.explode(F.array(*(F.struct(F.lit(j).alias("job"), ready[j].alias("runnable")) for j in _JOBS))).alias("z")
+    return p.select(F.col("slug").alias("voice"), rows).select("voice", "z.job", "z.runnable")
+
+
+@query("brief_prompts", "select id as brief_id, array_to_string(list_filter(['Write a ' || coalesce(genre, 'piece') || ' of ' || target_words[1]::varchar || case when len(target_words) > 1 and target_words[2] <> target_words[1] then ' to ' || target_words[2]::varchar else '' end || ' words.', 'Voice: ' || voice || '.', task], lambda x: x is not null), chr(10)) as prompt from briefs")
+def brief_prompts(s, d):
+    """The request of each brief as text: form and length, voice, task; what is null falls out."""
+    n = F.col("target_words")
+    length = F.concat(F.get(n, F.lit(0)).cast("string"), F.when((F.size(n) > 1) & (F.get(n, F.lit(1)) != F.get(n, F.lit(0))), F.concat(F.lit(" to "), F.get(n, F.lit(1)).cast("string"))).otherwise(""))
+    lines = F.array(F.concat(F.lit("Write a "), F.coalesce("genre", F.lit("piece")), F.lit(" of "), length, F.lit(" words.")), F.concat(F.lit("Voice: "), "voice", F.lit(".")), F.col("task"))
+    return table(s, d, "briefs").select(F.col("id").alias("brief_id"), F.array_join(F.array_compact(lines), "\n").alias("prompt"))
