@@ -4,6 +4,17 @@
 _TOKEN = r"'[^\x{0009}-\x{000d}\x{001c}-\x{0020}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'"
 _WORD = r"'[\p{L}\p{N}_]+'"
 
+# every run of 30 tokens of a record, its place, and whether it stands in another origin; runs of places make the maximal spans
+_SPANS = f"""
+r as (select distinct id as rec_id, coalesce(filename, chr(0)) as origin, text from chunks where id is not null and text is not null
+  union select distinct cand_id, coalesce(task_id, chr(0)), text from candidates where cand_id is not null and text is not null),
+t as (select rec_id, origin, regexp_extract_all(text, {_TOKEN}) as w from r),
+g as (select rec_id, origin, unnest(range(0, len(w) - 29)) as pos, unnest(list_transform(range(1, len(w) - 28), lambda k: array_to_string(w[k:k + 29], ' '))) as gram from t where len(w) >= 30),
+s as (select gram from g group by gram having count(distinct origin) > 1),
+h as (select distinct rec_id, pos from g where gram in (select gram from s)),
+i as (select rec_id, pos, pos - row_number() over (partition by rec_id order by pos) as grp from h),
+sp as (select rec_id, min(pos) as start, max(pos) - min(pos) + 30 as n_tokens from i group by rec_id, grp)"""
+
 SQL: dict[str, str] = {
     "p3_found": f"select distinct id from chunks where text is not null and id is not null and len(regexp_extract_all(text, {_TOKEN})) > 350",
     # every run of 30 tokens that stands in two origins
@@ -15,6 +26,9 @@ g as (select rec_id, origin, unnest(list_transform(range(1, len(w) - 28), lambda
 s as (select gram from g group by gram having count(distinct origin) > 1)
 select distinct rec_id from g where gram in (select gram from s)
 """,
+    "p4_spans": f"with {_SPANS} select rec_id, start, n_tokens from sp",
+    "p4_shared_share": f"with {_SPANS}, c as (select rec_id, count(distinct k) as shared_tokens from (select rec_id, unnest(range(start, start + n_tokens)) as k from sp) group by rec_id), n as (select rec_id, count(*) as n_spans, max(n_tokens) as longest_span from sp group by rec_id), "
+    "z as (select rec_id, max(len(w)) as n_tokens from t group by rec_id) select rec_id, n_tokens, shared_tokens, n_spans, longest_span, round(shared_tokens / n_tokens::double, 6) as shared_share from c join n using (rec_id) join z using (rec_id)",
     # every pair of vectors
     "p5_found": """
 with v as (select id, any_value(list_transform(embedding, lambda x: x::double)) as e from chunks where id is not null and len(embedding) = 384 group by id),

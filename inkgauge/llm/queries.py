@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from inkgauge.llm import diverse, leak, lookalike, mix, neardup, quality, spam, spans, split, vectors
 from inkgauge.llm.common import records
 from inkgauge.session import checkpointed, table
@@ -48,7 +50,13 @@ def p4_found(s, d):
 
 
 def p4_shared_share(s, d):
-    return spans.shared_share(records(s, d))
+    x = spans.shared_share(records(s, d))
+    return x.withColumns({"n_tokens": F.col("n_tokens").cast("long"), "longest_span": F.col("longest_span").cast("long"), "shared_share": F.round("shared_share", 6)})
+
+
+def p4_spans(s, d):
+    x = spans.maximal_spans(records(s, d))
+    return x.select("rec_id", F.col("start").cast("long").alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
 def p5_found(s, d):

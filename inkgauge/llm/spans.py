@@ -27,7 +27,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgauge.llm.common import map_rows
@@ -214,16 +214,32 @@ def sharing_records(records: DataFrame, length: int = LENGTH) -> DataFrame:
     return ids.join(rec, "rec", "left_semi").select("rec_id").distinct()
 
 
-def shared_share(records: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(rec_id, n_tokens, shared_tokens, n_spans, longest_span, shared_share) of every record with a shared span."""
+def maximal_spans(records: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(rec_id, start, n_tokens): the runs of a record all of whose windows stand in another origin, from their first token (0 on).
+
+    Neighbouring windows make one span; two spans of a record overlap by less
+    than a window. Repeated rows of a record count once.
+    """
+    spans = _spans(records, length).select("rec", F.col("a").alias("start"), (F.col("b") - F.col("a")).alias("n_tokens"))
+    return _ids(records).join(spans, "rec").select("rec_id", "start", "n_tokens")
+
+
+def _ids(records: DataFrame) -> DataFrame:
+    return records.where("text is not null and rec_id is not null").select("rec_id", F.xxhash64("rec_id").alias("rec")).distinct()
+
+
+def _spans(records: DataFrame, length: int) -> DataFrame:
+    """(rec, a, b): maximal runs of shared windows, as token ranges."""
     pos = shared_windows(records, length).groupBy("rec").agg(F.array_sort(F.collect_set("pos")).alias("p"))  # bounded by the text
     runs = pos.select("rec", F.explode(F.arrays_zip(F.col("p").alias("p"), F.expr("transform(p, (x, i) -> x - i)").alias("g"))).alias("z")).select("rec", "z.p", "z.g")
-    runs = runs.groupBy("rec", "g").agg(F.min("p").alias("a"), (F.max("p") + length).alias("b"))
-    # spans may overlap by less than a window between two runs: a token counts once
-    from pyspark.sql import Window
+    return runs.groupBy("rec", "g").agg(F.min("p").alias("a"), (F.max("p") + length).alias("b")).drop("g")
+
 
+def shared_share(records: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(rec_id, n_tokens, shared_tokens, n_spans, longest_span, shared_share) of every record with a shared span."""
+    # spans may overlap by less than a window between two runs: a token counts once
     w = Window.partitionBy("rec").orderBy("a")
-    spans = runs.withColumn("from", F.greatest("a", F.coalesce(F.lag("b").over(w), F.lit(0))))
+    spans = _spans(records, length).withColumn("from", F.greatest("a", F.coalesce(F.lag("b").over(w), F.lit(0))))
     per = spans.groupBy("rec").agg(F.sum(F.col("b") - F.col("from")).alias("shared_tokens"), F.count("*").alias("n_spans"), F.max(F.col("b") - F.col("a")).alias("longest_span"))
     ids = records.where("text is not null and rec_id is not null").select("rec_id", F.xxhash64("rec_id").alias("rec"), F.size(F.filter(F.split("text", "(?U)\\s+"), lambda x: x != "")).alias("n_tokens")).dropDuplicates(["rec_id"])
     return ids.join(per, "rec").select("rec_id", "n_tokens", "shared_tokens", "n_spans", "longest_span", (F.col("shared_tokens") / F.col("n_tokens")).alias("shared_share"))
