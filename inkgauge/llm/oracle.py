@@ -45,5 +45,17 @@ sizes as (select distinct n from iw),
 d as (select doc_id, regexp_extract_all(lower(text), {_WORD}) as w from documents where text is not null),
 dw as (select doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) as gram from d cross join sizes where len(w) >= n)
 select distinct doc_id, item_id from dw join iw using (n, gram)
+""",
+    # every item with an equal run, or whose weighted five-word shingles stand in the document to four fifths
+    "p8_leaks": f"""
+with i as (select distinct item_id, text, regexp_extract_all(lower(text), {_WORD}) as w from holdout_items where text is not null and item_id is not null), iw as (select * from i where len(w) > 0),
+ig as (select distinct item_id, text, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda k: array_to_string(w[k:k + least(5, len(w)) - 1], ' '))) as gram from iw),
+wt as (select gram, ln(1 + (select count(*) from iw) / count(*)::double) as weight from ig group by gram), igw as (select item_id, text, gram, weight from ig join wt using (gram)), tot as (select item_id, text, sum(weight) as total from igw group by all),
+d as (select distinct doc_id, text as doc, regexp_extract_all(lower(text), {_WORD}) as w from documents where text is not null and doc_id is not null),
+dg as (select distinct doc_id, doc, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda k: array_to_string(w[k:k + least(5, len(w)) - 1], ' '))) as gram from d where len(w) > 0),
+sh as (select doc_id, item_id, max(part / total) as share from (select doc_id, doc, item_id, text, sum(weight) as part from dg join igw using (gram) group by all) join tot using (item_id, text) group by all),
+rw as (select item_id, least(13, len(w)) as n, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda k: array_to_string(w[k:k + least(13, len(w)) - 1], ' '))) as gram from iw), sizes as (select distinct n from rw),
+dw as (select doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) as gram from d cross join sizes where len(w) >= n), ru as (select distinct doc_id, item_id from dw join rw using (n, gram))
+select coalesce(ru.doc_id, sh.doc_id) as doc_id, coalesce(ru.item_id, sh.item_id) as item_id, ru.doc_id is not null as has_run, round(coalesce(share, 0.0), 6) as item_share from ru full join sh on sh.doc_id = ru.doc_id and sh.item_id = ru.item_id where ru.doc_id is not null or share >= 0.8
 """,
 }

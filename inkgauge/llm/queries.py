@@ -88,7 +88,8 @@ def p8_found(s, d):
 
 
 def p8_leaks(s, d):
-    return leak.leaks(_documents(s, d), table(s, d, "holdout_items"))
+    x = leak.leaks(_documents(s, d), table(s, d, "holdout_items"))
+    return x.select("doc_id", "item_id", (F.col("n_exact") > 0).alias("has_run"), F.round("item_share", 6).alias("item_share"))
 
 
 def _mix(s, d):
