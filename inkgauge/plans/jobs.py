@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkgauge.functions import patterns as P
@@ -612,3 +611,58 @@ def brief_prompts(s, d):
     length = F.concat(F.get(n, F.lit(0)).cast("string"), F.when((F.size(n) > 1) & (F.get(n, F.lit(1)) != F.get(n, F.lit(0))), F.concat(F.lit(" to "), F.get(n, F.lit(1)).cast("string"))).otherwise(""))
     lines = F.array(F.concat(F.lit("Write a "), F.coalesce("genre", F.lit("piece")), F.lit(" of "), length, F.lit(" words.")), F.concat(F.lit("Voice: "), "voice", F.lit(".")), F.col("task"))
     return table(s, d, "briefs").select(F.col("id").alias("brief_id"), F.array_join(F.array_compact(lines), "\n").alias("prompt"))
+
+
+# --- regression limits, worst features, other segments and stores ---
+
+
+@query(
+    "fit_regression",
+    f"{Y._LOO}, dw as (select x.doc_id, x.voice, {S.rms()} as rmsz, {K._WORST3} as worst from u x join fp y using (voice)), st as (select voice, {K._fit('rmsz', 'worst')} as state from dw join base using (voice)), g as (select voice, count(*) as n, count_if(state = 'off') / count(*)::double as hard, count_if(state = 'drifting') / count(*)::double as soft from st group by voice) "
+    f"select voice, n, {S.r6('hard')} as hard_rate, {S.r6('soft')} as advisory_rate, hard <= 0.08 and soft <= 0.35 as passes from g",
+)
+def fit_regression(s, d):
+    """Per voice: how often the fit rule, its three worst features included, calls the voice's own documents off or drifting; at most 8 % and 35 % may be."""
+    x = Y.doc_fit(s, d).select("voice", C.fit_state(F.col("rmsz"), F.col("fit_threshold"), F.col("self_baseline"), C.worst_features()).alias("state"))
+    rate = lambda v: F.avg((F.col("state") == v).cast("double"))
+    g = x.groupBy("voice").agg(F.count("*").alias("n"), rate("off").alias("hard"), rate("drifting").alias("soft"))
+    return g.select("voice", "n", R(F.col("hard")).alias("hard_rate"), R(F.col("soft")).alias("advisory_rate"), ((F.col("hard") <= 0.08) & (F.col("soft") <= 0.35)).alias("passes"))
+
+
+@query(
+    "cadence_gap_features",
+    f"with {Y._CUTS}, lg as (select * from (select *, row_number() over (partition by voice, seq order by id) as k from accepted_log where text is not null and voice is not null) where k = 1), lc as (select voice || chr(0) || seq::varchar as akey, voice, text, lo, hi from lg join cut using (voice) where len({S.tok('text')}) >= 80), {Y.cadence_cte('lc', 'akey', 'ca', 'lo', 'hi')}, "
+    "lz as (" + " union all ".join(f"select x.voice, '{f}' as feature, {i} as idx, avg(abs({S.z(f)})) as az from (select ca.*, lc.voice from ca join lc using (akey)) x join fc y using (voice) group by x.voice" for i, f in enumerate(P.CADENCE)) + "), "
+    f"r as (select *, row_number() over (partition by voice order by round(az, 9) desc, idx) as rank from lz) select voice, rank, feature, {S.r6('az')} as mean_abs_z from r where rank <= 5",
+)
+def cadence_gap_features(s, d):
+    """The five cadence features in which a voice's accepted drafts are furthest from its documents."""
+    u = checkpointed(C.usable(Y.cadence_fit(s, d)))
+    acc = table(s, d, "accepted_log").where("text is not null and voice is not null").dropDuplicates(["voice", "seq"]).where(F.size(T.tokens(F.col("text"))) >= 80).select("id", "voice", "text")
+    a = X.with_features(acc.join(u.select("voice", "lo", "hi").distinct(), "voice"), cadence=True, lo=F.col("lo"), hi=F.col("hi")).drop("text")
+    z = C.with_distance(a, C.fingerprint(u, P.CADENCE), P.CADENCE).groupBy("voice").agg(*(F.avg(F.abs(f"{f}__z")).alias(f) for f in P.CADENCE))
+    rows = F.slice(F.array_sort(F.array(*(F.struct((-F.round(f, 9)).alias("d"), F.lit(i).alias("i"), F.lit(f).alias("feature"), F.col(f).alias("az")) for i, f in enumerate(P.CADENCE)))), 1, 5)
+    return z.select("voice", F.posexplode(rows).alias("k", "w")).select("voice", (F.col("k") + 1).cast("long").alias("rank"), "w.feature", R(F.col("w.az")).alias("mean_abs_z"))
+
+
+_CUT_ALL = K._SEGMENTS[: K._SEGMENTS.rindex("sg as (")].rstrip().rstrip(",").replace(f"from su where len({S.tok('text')}) > target", "from su")
+
+
+@query("cut_all_segments", f"with recursive {_CUT_ALL} select doc_id, seg, len({S.tok('t')}) as words from (select doc_id, seg, array_to_string(p[a + 1:b], chr(10) || chr(10)) as t from sc join su using (doc_id) where seg >= 0)")
+def cut_all_segments(s, d):
+    """Documents' pieces when short ones are cut as well, so that what is below a third of the target falls out."""
+    docs = table(s, d, "documents").where("text is not null and voice is not null").select("doc_id", "voice", "text")
+    p = chunking.segmentation(docs, "voice", len(P.SURFACE))
+    x = T.exploded(docs.join(p.select("voice", "target"), "voice"), ["doc_id"], chunking.cut_all_udf("text", "target"), "text", "seg")
+    return x.select("doc_id", F.col("seg").cast("long").alias("seg"), F.size(T.tokens(F.col("text"))).cast("long").alias("words"))
+
+
+@query(
+    "stored_documents",
+    "with c as (select id, any_value(filename) as filename, any_value(chunk_idx) as chunk_idx, any_value(text) as text from chunks where filename is not null and text is not null group by id), p as (select filename, string_agg(text, chr(10) || chr(10) order by chunk_idx, id) as text from c group by filename), "
+    "b as (select task as filename, min(text) as text from accepted_log where task is not null and text is not null group by task) select filename, md5(text) as text_md5 from p union all select filename, md5(text) from b where filename not in (select filename from p)",
+)
+def stored_documents(s, d):
+    """The documents of a store: its pieces, and of the cookbook's (accepted drafts by task) those that have no chunks."""
+    book = table(s, d, "accepted_log").where("task is not null and text is not null").groupBy(F.col("task").alias("filename")).agg(F.min("text").alias("text"))
+    return io.store_documents(table(s, d, "chunks"), book).select("filename", F.md5("text").alias("text_md5"))

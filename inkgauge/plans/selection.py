@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkgauge.functions import patterns as P
 from inkgauge.functions import textkit as T
-from inkgauge.operators import blend, chunking, evalstats, fidelity, gate, retrieve, rules
+from inkgauge.operators import blend, chunking, evalstats, feedback, fidelity, gate, retrieve, rules
 from inkgauge.operators import calibrate as C
 from inkgauge.plans import sqlkit as S
 from inkgauge.plans.checks import _PHRASES, _SLEN, _TELLS, _TESTED, _WORDN, _WORDS_TESTED, _even, _fit, drafts, edits
@@ -484,14 +484,13 @@ def pending_tasks(s, d):
 )
 def event_trail(s, d):
     x = table(s, d, "accepted_log").select("id", "voice", "text", "source", "seq").distinct().where("text is not null")
-    sha = F.substring(F.sha1("text"), 1, 12)
+    x = x.withColumn("event", feedback.event("accept", F.col("text")))
+    sha = F.col("event.text_sha")
     return x.groupBy(F.coalesce("source", F.lit("none")).alias("source"), "voice").agg(F.count("*").alias("n"), F.count_distinct(sha).alias("texts"), F.max("seq").alias("last_seq"))
 
 
 @query("accepted_numbers", "with o as (select voice, seq, min(id) as id from accepted_log where voice is not null group by all) select voice, seq, 'acc_' || lpad((row_number() over (partition by voice order by seq))::varchar, 3, '0') as acc_id from o")
 def accepted_numbers(s, d):
-    from inkgauge.operators import feedback
-
     return feedback.accepted_ids(table(s, d, "accepted_log").where("voice is not null").select("voice", "seq")).select("voice", "seq", "acc_id")
 
 
