@@ -477,9 +477,24 @@ def edit_segments(s, d):
 # --- chunking, pieces ---
 
 
-@query("chunks_overlap")
+# paragraphs as chunking packs them: where a run that fills the target ends, sentences of those above the cap, and the walk from run to run
+_CLEAN = f"regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')"
+_PACK = f"""with recursive pd as (select doc_id, list_filter(list_transform(regexp_split_to_array({_CLEAN}, {S.lit(P.PARAGRAPH_GAP)}), lambda q: {S.strip('regexp_replace(q, ' + S.lit(P.WS + '+') + ', chr(32), ' + S.lit('g') + ')')}), lambda q: len({S.tok('q')}) >= {P.PARAGRAPH_MIN}) as p from documents where text is not null),
+pw as (select *, list_transform(p, lambda q: len({S.tok('q')})) as w from pd where len(p) > 0), pu as (select *, list_concat([0], list_transform(range(1, len(w) + 1), lambda i: list_sum(w[1:i])::bigint)) as u from pw),
+os as (select doc_id, k, string_split(regexp_replace(p[k], {S.lit('([.!?])' + P.WS + '+')}, '\\1' || chr(1), 'g'), chr(1)) as s from (select doc_id, p, w, unnest(range(1, len(p) + 1)) as k from pw) where w[k] > {P.CHUNK_CAP}),
+ou as (select *, list_concat([0], list_transform(range(1, len(s) + 1), lambda i: list_sum(list_transform(s[1:i], lambda q: len({S.tok('q')})))::bigint)) as v from os),
+og(doc_id, k, a, parts) as (select doc_id, k, 0::bigint, []::varchar[] from ou union all select doc_id, k, e, list_append(parts, array_to_string(s[a + 1:e], ' ')) from (select og.doc_id, og.k, og.a, parts, s, greatest(og.a + 1, len(list_filter(v, lambda x: x <= v[og.a + 1] + {P.CHUNK_TARGET})) - 1) as e from og join ou using (doc_id, k) where og.a < len(s))),
+od as (select doc_id, k, parts from og join ou using (doc_id, k) where og.a = len(s)),
+pk(doc_id, pos, parts, fin) as (select doc_id, 0::bigint, []::varchar[], false from pu
+  union all select doc_id, case when big then pos + 1 when small then e else greatest(e - 1, pos + 1) end, case when big then list_concat(parts, bigs) when small then list_append(parts[:len(parts) - 1], parts[len(parts)] || chr(10) || chr(10) || chunk) else list_append(parts, chunk) end, not big and not small and e = n
+  from (select *, u[e + 1] - u[pos + 1] < {P.CHUNK_MIN} and len(parts) > 0 as small, array_to_string(p[pos + 1:e], chr(10) || chr(10)) as chunk from (select pk.doc_id, pk.pos, pk.parts, p, u, len(p) as n, w[pk.pos + 1] > {P.CHUNK_CAP} as big, od.parts as bigs, greatest(pk.pos + 1, len(list_filter(u, lambda x: x <= u[pk.pos + 1] + {P.CHUNK_TARGET})) - 1) as e from pk join pu using (doc_id) left join od on od.doc_id = pk.doc_id and od.k = pk.pos + 1 where not pk.fin and pk.pos < len(p)))),
+pf as (select pk.doc_id, pk.parts from pk join pu using (doc_id) where pk.fin or pk.pos >= len(p))"""
+
+
+@query("chunks_overlap", f"{_PACK} select printf('%s::%03d', doc_id::varchar, k) as id, doc_id::varchar as filename, k as chunk_idx, t as text, len({S.tok('t')}) as word_count from (select doc_id, unnest(range(0, len(parts))) as k, unnest(parts) as t from pf)")
 def chunks_overlap(s, d):
-    return chunking.chunked(table(s, d, "documents").select("doc_id", "text"), "doc_id")
+    x = chunking.chunked(table(s, d, "documents").select("doc_id", "text"), "doc_id")
+    return x.withColumns({"chunk_idx": F.col("chunk_idx").cast("long"), "word_count": F.col("word_count").cast("long")})
 
 
 @query("pieces", "with c as (select id, any_value(filename) as filename, any_value(chunk_idx) as chunk_idx, any_value(text) as text from chunks where filename is not null and text is not null group by id) select filename, string_agg(text, chr(10) || chr(10) order by chunk_idx, id) as text from c group by filename")

@@ -95,7 +95,17 @@ def anchor_overlap(s, d):
     return a.join(b, "query_id").select("query_id", n.cast("long").alias("shared"), R(n / F.size(F.array_union("x", "y"))).alias("jaccard"))
 
 
-@query("mmr_diversified")
+# greedy picks one after the other, each list of picks a row
+_MMR = f"""with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e0 from embeddings where embedding is not null), n as (select vec_id, list_transform(e0, lambda x: x / sqrt(list_dot_product(e0, e0))) as e from v),
+al as (select a.vec_id as query_id, b.vec_id as id, list_dot_product(a.e, b.e) as sim from n a join n b on a.vec_id % 20 = 0), pool as (select * from (select *, row_number() over (partition by query_id order by sim desc, id) as rank from al) where rank <= 36),
+pp as (select a.query_id, a.id as i, b.id as j, list_dot_product(x.e, y.e) as c from pool a join pool b on a.query_id = b.query_id and a.id <> b.id join n x on x.vec_id = a.id join n y on y.vec_id = b.id),
+mm(query_id, picked, k) as (select distinct query_id, []::bigint[], 0 from pool
+  union all select query_id, list_append(picked, (list(id order by round(score, 10) desc, rank))[1]), k + 1 from (select m.query_id, m.picked, m.k, pool.id, pool.rank, {P.MMR_LAMBDA} * any_value(sim) - (1 - {P.MMR_LAMBDA}) * coalesce(max(c) filter (where list_contains(m.picked, pp.j)), 0.0) as score
+    from mm m join pool on pool.query_id = m.query_id left join pp on pp.query_id = m.query_id and pp.i = pool.id where m.k < 8 and not list_contains(m.picked, pool.id) group by m.query_id, m.picked, m.k, pool.id, pool.rank) group by query_id, picked, k)
+select query_id, picked[k] as id, k as pick from mm where k > 0"""
+
+
+@query("mmr_diversified", _MMR)
 def mmr_diversified(s, d):
     v = table(s, d, "embeddings").where("embedding is not null").select("vec_id", retrieve.normalized(F.col("embedding")).alias("vec"))
     q = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
