@@ -280,7 +280,20 @@ def format_sniff(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", markup.guess_format(F.col("text")).alias("fmt"))
 
 
-@query("document_prose")
+def _demarkdown(t: str) -> str:
+    """The steps of Markdown to prose; RE2 has no back references, so paired marks are spelled out."""
+    for pattern, new in markup.MARKDOWN_STEPS:
+        if pattern.endswith("\\1"):
+            pattern, new = r"\*\*(.+?)\*\*|__(.+?)__|\*(.+?)\*|_(.+?)_", "$1$2$3$4"
+        t = f"regexp_replace({t}, {S.rx(pattern)}, {S.lit(new.replace('$', chr(92)))}, 'g')"
+    return S.strip(t)
+
+
+# plain and Markdown texts, as all of the tables are; LaTeX has tests of its own
+@query(
+    "document_prose",
+    f"with x as (select doc_id::varchar as id, text from documents where text is not null union all select id, any_value(text) from chunks where text is not null group by id) select id, case when regexp_matches(text, {S.rx(P.LATEX_SIGNS)}) then null when regexp_matches(text, {S.rx(P.MARKDOWN_SIGNS)}) then {_demarkdown('text')} else text end as prose from x",
+)
 def document_prose(s, d):
     """Documents and chunks as prose, by their sniffed format."""
     x = table(s, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("id"), "text")
