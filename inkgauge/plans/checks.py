@@ -301,13 +301,37 @@ def document_prose(s, d):
     return x.unionByName(y).select("id", markup.to_prose(F.col("text")).alias("prose"))
 
 
-@query("protected_spans")
+# what may not be edited in a Markdown text, and the parts between; plain texts are one part
+_SPAN = "'(?sm:^```.*?^```)|(?m:^\\|.*\\|[ \\t]*$)|`[^`]*`|\\]\\([^)]*\\)'"
+_PARTS = f"""ck as (select id, any_value(text) as text from chunks where text is not null group by id), md as (select id, text, regexp_matches(text, {S.rx(P.MARKDOWN_SIGNS)}) and not regexp_matches(text, {S.rx(P.LATEX_SIGNS)}) as md from ck),
+sp as (select id, text, case when md then regexp_extract_all(text, {_SPAN}) else [] end as spans, case when md then regexp_split_to_array(text, {_SPAN}) else [text] end as parts from md)"""
+
+
+@query(
+    "protected_spans",
+    f"with {_PARTS}, ab as (select id, k, length(parts[k]) as gap, coalesce(list_sum(list_transform(parts[1:k], lambda q: length(q))), 0) + coalesce(list_sum(list_transform(spans[1:k - 1], lambda q: length(q))), 0) as a, length(spans[k]) as n from (select *, unnest(range(1, len(spans) + 1)) as k from sp where len(spans) > 0)), "
+    "g as (select id, a, a + n as b, sum(case when k > 1 and gap = 0 then 0 else 1 end) over (partition by id order by k) as i from ab) select id, min(a)::int as a, max(b)::int as b from g group by id, i",
+)
 def protected_spans(s, d):
     x = table(s, d, "chunks").where("text is not null").select("id", "text").dropDuplicates(["id"])
     return T.exploded(x, ["id"], markup.protected_spans("text", markup.guess_format(F.col("text"))), "z").select("id", "z.a", "z.b")
 
 
-@query("dash_scalpel_markup")
+
+
+def _lines_of(line: str, edit: str) -> str:
+    """Over the lines x of a part q: rule lines one way, the others another."""
+    return f"list_transform(string_split(q, chr(10)), lambda x: case when regexp_matches(x, {S.rx(P.RULE_LINE)}) then {line} else {edit} end)"
+
+
+_EDITED = "array_to_string(" + _lines_of("x", f"regexp_replace(x, {S.rx(P.DASH_EDIT)}, ', ', 'g')") + ", chr(10))"
+_EDITS = "list_sum(" + _lines_of("0", S.n_found("x", P.DASH_EDIT)) + ")"
+
+
+@query(
+    "dash_scalpel_markup",
+    f"with {_PARTS}, ed as (select id, spans, list_transform(parts, lambda q: {_EDITED}) as parts, list_sum(list_transform(parts, lambda q: {_EDITS})) as n from sp) select id, regexp_replace(array_to_string(list_transform(range(1, len(parts) + 1), lambda k: parts[k] || coalesce(spans[k], '')), ''), ',[ \\t]*,', ',', 'g') as text, n::int as n from ed",
+)
 def dash_scalpel_markup(s, d):
     x = table(s, d, "chunks").where("text is not null").select("id", "text").dropDuplicates(["id"])
     return x.select("id", markup.scalpel("text", markup.guess_format(F.col("text"))).alias("z")).select("id", "z.text", "z.n")
