@@ -5,13 +5,18 @@ Everything is an expression over one row; calibrations are one row per voice.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgauge.functions import patterns as P
 from inkgauge.functions import textkit as T
 from inkgauge.operators.quantiles import group_quantiles
-from inkgauge.session import checkpointed
+from inkgauge.session import checkpointed, ship_code
+
+LONG_CHARS = 200_000  # pairs of sentences of longer texts are spread over tasks
 
 
 def _safe(x: Column, n: Column) -> Column:
@@ -179,20 +184,55 @@ def quality_columns(t: Column) -> dict[str, Column]:
     }
 
 
-def redundancy(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+def worst_pair(sentences: list[list[str]]) -> tuple[float, int | None, int | None]:
+    """(overlap, i, j) of the two sentences with the largest share of common words, of four words or more each; the first in order on ties."""
+    at: dict[str, list[int]] = {}
+    size = [len(c) for c in sentences]
+    best = (0.0, 0, 0)
+    for j, c in enumerate(sentences):
+        if size[j] < 4:
+            continue
+        shared: Counter = Counter()
+        for w in c:
+            if w in at:
+                shared.update(at[w])
+                at[w].append(j)
+            else:
+                at[w] = [j]
+        for i, n in shared.items():
+            best = min(best, (-n / min(size[i], size[j]), i, j))
+    return (-best[0], best[1], best[2]) if best[0] else (0.0, None, None)
+
+
+def redundancy(df: DataFrame, key: str, text: str = "text", long_chars: int = LONG_CHARS) -> DataFrame:
     """(key, redundancy, i, j): the worst pair of sentences by overlap of content words; the first in order on ties.
 
     Sentence pairs are found through shared words, so only pairs with some
-    overlap are ever formed; (key, word) is the join key, so that a long text
-    spreads over tasks. Texts below 40 words or without a pair give 0 and nulls.
+    overlap are ever formed: within a row, or, for texts of more than
+    ``long_chars``, by a join on (key, word), so that a long text spreads over
+    tasks. Texts below 40 words or without a pair give 0 and nulls.
     """
+    ship_code(df.sparkSession)
     base = df.where(F.col(text).isNotNull()).select(key, text).dropDuplicates([key])
-    s = T.exploded(base.where(F.size(T.words_ascii(F.col(text))) >= 40), [key], F.transform(T.sentences(F.col(text)), lambda x: F.array_distinct(content_words(x))), "c", "i").where(F.size("c") >= 4)
+    words = F.transform(T.sentences(F.col(text)), lambda x: F.array_distinct(content_words(x)))
+    enough = F.size(T.words_ascii(F.col(text))) >= 40
+
+    def pairs(batches):
+        for b in batches:
+            found = [worst_pair(c or []) for c in b.column(1).to_pylist()]
+            ov, i, j = zip(*found) if found else ((), (), ())
+            yield pa.record_batch([b.column(0), pa.array(ov, pa.float64()), pa.array(i, pa.int32()), pa.array(j, pa.int32())], names=[key, "redundancy", "i", "j"])
+
+    rest = F.length(text) > long_chars
+    near = base.where(~rest).select(key, F.when(enough, words).alias("c")).mapInArrow(pairs, f"`{key}` {df.schema[key].dataType.simpleString()}, redundancy double, i int, j int")
+    far = base.where(rest)
+    s = T.exploded(far.where(enough), [key], words, "c", "i").where(F.size("c") >= 4)
     w = T.exploded(s, [key, "i", F.size("c").alias("n")], F.col("c"), "w")
     a, b = w.select(key, "w", "i", F.col("n").alias("ni")), w.select(key, "w", F.col("i").alias("j"), F.col("n").alias("nj"))
     p = a.join(b, [key, "w"]).where("i < j").groupBy(key, "i", "j").agg((F.count("*") / F.min(F.least("ni", "nj"))).alias("ov"))
     best = p.groupBy(key).agg(F.min(F.struct((-F.col("ov")).alias("d"), "i", "j")).alias("b"))
-    return base.select(key).join(best, key, "left").select(key, F.coalesce(-F.col("b.d"), F.lit(0.0)).alias("redundancy"), F.col("b.i").alias("i"), F.col("b.j").alias("j"))
+    spread = far.select(key).join(best, key, "left").select(key, F.coalesce(-F.col("b.d"), F.lit(0.0)).alias("redundancy"), F.col("b.i").alias("i"), F.col("b.j").alias("j"))
+    return near.unionByName(spread)
 
 
 def quality_flags(density_p25: Column, specificity_p25: Column) -> Column:

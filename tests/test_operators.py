@@ -182,6 +182,16 @@ def test_presence_and_quality(spark):
     assert got["d"]["redundancy"] == 1 and (got["d"]["i"], got["d"]["j"]) == (0, 1) and got["s"]["redundancy"] == 0 and "n" not in got
 
 
+def test_redundancy_pairs_of_texts_without_a_join(spark, sf_dir):
+    """Sentences of a text meet in its row; longer texts give the same by the join."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    near, far = rules.redundancy(d, "doc_id"), rules.redundancy(d, "doc_id", long_chars=-1)
+    rows = {tuple(r) for r in near.collect()}
+    assert rows == {tuple(r) for r in far.collect()} and len(rows) >= 90 and any(r[1] for r in rows)
+    assert {tuple(r) for r in rules.redundancy(d, "doc_id", long_chars=900).collect()} == rows
+    assert rules.worst_pair([["a", "b", "c", "d"], ["a", "b"], ["a", "b", "x", "y", "z"], ["c", "d", "e", "f"]]) == (0.5, 0, 2)
+
+
 # --- rewrites ---
 
 
