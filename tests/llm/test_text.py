@@ -170,6 +170,15 @@ def test_kinds_do_not_depend_on_pieces():
             assert quality.text_counts(t, piece_chars=size) == want, (size, t)
 
 
+def test_common_words_count_every_text(spark):
+    """Words on the bound of one text in 200 all pass, as no text is left out of the counts."""
+    word = F.concat(F.lit("zq"), F.translate((F.col("id") % 200).cast("string"), "0123456789", "abcdefghij"))
+    prose = spark.range(20_000).select(F.col("id").cast("string").alias("rec_id"), F.concat(F.lit("The old gate was kept near "), word, F.lit(" until noon.")).alias("text"))
+    lists = spark.range(2_000).select(F.concat(F.lit("l"), "id").alias("rec_id"), F.lit("iron, tin, lead, zinc, gold, salt, coal, wool").alias("text"))
+    found = quality.common_words(prose.unionByName(lists))
+    assert found >= {w for r in prose.select(F.split("text", " ")[6].alias("w")).distinct().collect() for w in [r["w"]]} and len(found) == 208
+
+
 def test_common_words_are_learned(spark, sf_dir):
     found = quality.common_words(records(spark, sf_dir))
     assert {"the", "of", "was", "und", "le"} <= found and len(found) <= quality.MOST_WORDS
